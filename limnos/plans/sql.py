@@ -9,6 +9,14 @@ READINGS = """readings AS (
          (35 + (event_id * 13) % 36 + (user_id * 7) % 36) / 10e0 AS ph
   FROM events)"""
 
+READINGS_LINEITEM = """readings AS (
+  SELECT l_orderkey * 8 + l_linenumber AS reading_id, l_suppkey AS sensor_id,
+         l_returnflag || l_linestatus AS site, l_shipdate AS ts,
+         floor(l_extendedprice / 20e0) AS tds,
+         l_quantity / 2e0 AS turbidity,
+         (35 + l_partkey % 71) / 10e0 AS ph
+  FROM lineitem)"""
+
 VALID_WHERE = ("ph BETWEEN 4 AND 12 AND tds BETWEEN 0 AND 5000 "
                "AND turbidity BETWEEN 0 AND 100")
 

@@ -37,15 +37,16 @@ def events_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` -> readings (the volume table, 6x ``events``)."""
+    """``lineitem`` -> readings (the volume table, 6x ``events``).  Sensor
+    values carry few decimals (whole mg/L, half NTU, tenth pH)."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("reading_id"),
         F.col("l_suppkey").alias("sensor_id"),
         F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("site"),
         F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
-        (F.col("l_extendedprice") / 20.0).alias("tds"),
-        (F.col("l_quantity") * (1 + F.col("l_discount") * 10) / 4.0).alias("turbidity"),
+        F.floor(F.col("l_extendedprice") / 20.0).cast("double").alias("tds"),
+        (F.col("l_quantity") / 2.0).alias("turbidity"),
         ((35 + F.pmod(F.col("l_partkey"), F.lit(71))) / 10.0).alias("ph"),
     )
 
