@@ -22,8 +22,9 @@ def pystr(c) -> Column:
 
 
 def pct(c, digits: int) -> Column:
-    """Python ``{x:.N%}`` formatting."""
-    return F.format_string(f"%.{digits}f%%", col(c) * 100.0)
+    """Python ``{x:.N%}`` formatting: x * 100 in double, then rounded on the
+    exact binary value (``py_round``) before Java's formatter sees it."""
+    return F.format_string(f"%.{digits}f%%", py_round(col(c) * 100.0, digits))
 
 
 def clamp(c, lo: float, hi: float) -> Column:

@@ -9,7 +9,8 @@ from ..functions.indices import wqi_service
 from ..operators import validate as V
 from ..sources.readings import readings
 from . import query
-from .sql import READINGS, with_
+from .q_scoring import SERVICE_WQI_SQL
+from .sql import READINGS, py_round_sql, with_
 
 RB = with_(READINGS)
 
@@ -111,19 +112,9 @@ def p11_clip_readings(spark, sf_dir):
         "reading_id", "tds", "turbidity", "ph")
 
 
-@query("p12_round_values", with_(READINGS, "valid AS (SELECT * FROM readings WHERE ph BETWEEN 4 AND 12 AND tds BETWEEN 0 AND 5000 AND turbidity BETWEEN 0 AND 100)") + """
-SELECT reading_id, round(tds / 7, 1) AS tds_per_7, round(least(100e0, greatest(0e0,
-    (CASE WHEN ph BETWEEN 7.0 AND 7.5 THEN 100e0
-          WHEN ph BETWEEN 6.5 AND 8.5 THEN 80 - abs(ph - 7.25) * 20
-          WHEN ph BETWEEN 6.0 AND 9.0 THEN 60 - abs(ph - 7.25) * 10
-          ELSE greatest(0e0, 40 - abs(ph - 7.25) * 10) END) * 0.4e0
-  + (CASE WHEN tds <= 300 THEN 100e0 WHEN tds <= 600 THEN 100 - (tds - 300) / 3
-          WHEN tds <= 900 THEN 60 - (tds - 600) / 7.5
-          ELSE greatest(0e0, 20 - (tds - 900) / 50) END) * 0.3e0
-  + (CASE WHEN turbidity <= 1 THEN 100e0 WHEN turbidity <= 4 THEN 100 - (turbidity - 1) * 10
-          WHEN turbidity <= 10 THEN 60 - (turbidity - 4) * 5
-          ELSE greatest(0e0, 30 - (turbidity - 10) * 3) END) * 0.3e0)), 2) AS wqi
-FROM valid""")
+@query("p12_round_values", with_(READINGS, "valid AS (SELECT * FROM readings WHERE ph BETWEEN 4 AND 12 AND tds BETWEEN 0 AND 5000 AND turbidity BETWEEN 0 AND 100)")
+       + f"SELECT reading_id, {py_round_sql('tds / 7', 1)} AS tds_per_7, "
+       + f"{py_round_sql(SERVICE_WQI_SQL, 2)} AS wqi FROM valid")
 def p12_round_values(spark, sf_dir):
     """Python-exact rounding of derived values (1 dp sensor, 2 dp
     index); the service WQI has many exact decimal ties (quirk Q-12)."""

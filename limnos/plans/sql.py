@@ -48,3 +48,18 @@ def with_(*ctes: str) -> str:
 
 
 BASE = with_(READINGS, VALID, GRADED, LABELLED)
+
+
+def py_round_sql(x: str, digits: int) -> str:
+    """Python ``round(x, n)`` on the exact binary value, in SQL: the exact
+    product x * 10^n is p + err (Veltkamp split); ties go to even."""
+    s = f"{float(10 ** digits)!r}e0" if "e" not in repr(float(10 ** digits)) else repr(float(10 ** digits))
+    p = f"(({x}) * {s})"
+    sp = f"(({x}) * 134217729e0)"
+    hi = f"({sp} - ({sp} - ({x})))"
+    lo = f"(({x}) - {hi})"
+    err = f"(({hi} * {s} - {p}) + {lo} * {s})"
+    k = f"floor({p})"
+    f = f"({p} - {k})"
+    return (f"(({k} + CASE WHEN {f} > 0.5e0 OR ({f} = 0.5e0 AND ({err} > 0 OR ({err} = 0 "
+            f"AND abs({k}) % 2 = 1))) THEN 1 ELSE 0 END) / {s})")
