@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import py_round
 from ..functions.arrays import argmax, rule_probabilities, top_prob
 from ..functions.confidence import boost, standards_enhance
 from ..functions.grades import grade_sum, quality_class
@@ -93,6 +94,6 @@ def analysis_record(df: DataFrame, model=rule_model) -> DataFrame:
         F.when(ok, wqi_simple()).alias("water_quality_index"),
         F.when(ok, F.col("validation_warnings")).alias("validation_warnings"),
         F.when(ok, parameter_analysis()).alias("parameter_analysis"),
-        F.when(ok, F.round(wqi_service(), 2)).alias("service_wqi"),
+        F.when(ok, py_round(wqi_service(), 2)).alias("service_wqi"),
         F.when(ok, overall_assessment(F.col("quality_class"), wqi_service()))
         .alias("overall_assessment"))
