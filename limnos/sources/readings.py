@@ -21,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def events_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` -> readings.  ``ts`` stays TIMESTAMP_NTZ (wall-clock)."""
-    ev = table(spark, sf_dir, "events")
+def events_to_readings(ev: DataFrame) -> DataFrame:
+    """Map an ``events``-shaped frame (batch or stream) to readings.  ``ts``
+    stays TIMESTAMP_NTZ (wall clock)."""
     return ev.select(
         F.col("event_id").alias("reading_id"),
         F.col("user_id").alias("sensor_id"),
@@ -36,6 +36,11 @@ def events_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` -> readings."""
+    return events_to_readings(table(spark, sf_dir, "events"))
+
+
 def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` -> readings (the volume table, 6x ``events``).  Sensor
     values carry few decimals (whole mg/L, half NTU, tenth pH)."""
