@@ -1 +1,447 @@
-"""Registered queries."""
+"""ML data operators, evaluation, calibration and models (M1-M8, M10-M25,
+J5, A13-A16)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.arrays import log_probs, softmax
+from ..functions.features import ENGINEERED_FEATURES, MODEL_FEATURES, engineer_features
+from ..operators import calibrate as C
+from ..operators import evaluate as EV
+from ..operators import ml
+from ..operators import model as MD
+from ..operators.score import label_readings, rule_model, score
+from ..operators.standards import agency_compliance
+from ..session import scratch_path
+from ..sources.samples import sample_n
+from . import query
+from .common import labelled, r, valid
+from .q_confidence import CHAIN_SELECT
+from .q_features import FEATURE_SQL
+from .sql import LABELLED, READINGS, READINGS_LINEITEM, VALID, GRADED, with_
+
+BASE3 = ["tds", "turbidity", "ph"]
+HASH_SQL = "((reading_id % 2147483647) * 48271 + 42) % 2147483647"
+
+
+def split_sql(src: str, test: float = 0.2, val: float = 0.2) -> str:
+    return f"""
+, hh AS (SELECT *, {HASH_SQL} AS _h FROM {src})
+, rr AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY _h, reading_id) AS _rn,
+                count(*) OVER (PARTITION BY quality) AS _nc FROM hh)
+, cc AS (SELECT *, CAST(floor(_nc * {test!r}e0 + 0.5e0) AS BIGINT) AS _nt FROM rr)
+, dd AS (SELECT *, CAST(floor((_nc - _nt) * ({val!r}e0 / (1 - {test!r}e0)) + 0.5e0) AS BIGINT) AS _nv FROM cc)
+, sp AS (SELECT * EXCLUDE (_h, _rn, _nc, _nt, _nv),
+                CASE WHEN _rn <= _nt THEN 'test' WHEN _rn <= _nt + _nv THEN 'val' ELSE 'train' END AS split
+         FROM dd)"""
+
+
+LAB = with_(READINGS, VALID, GRADED, LABELLED)
+LAB_FEAT = with_(READINGS, VALID, GRADED, LABELLED,
+                 f"feat AS (SELECT *, {FEATURE_SQL} FROM labelled)")
+
+
+@query("m01_stratified_split", LAB + split_sql("labelled") + """
+SELECT reading_id, quality, split FROM sp""")
+def m01_stratified_split(spark, sf_dir):
+    """M1: exact stratified 60/20/20 split, seed 42."""
+    return ml.stratified_split(labelled(spark, sf_dir)).select("reading_id", "quality", "split")
+
+
+def _scaled_sql(cols):
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols)
+    sel = ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 6) AS {c}"
+                    for c in cols)
+    return f"""
+, st AS (SELECT {stats} FROM sp WHERE split = 'train')
+SELECT reading_id, split, {sel} FROM sp, st"""
+
+
+@query("m02_scale_features", LAB_FEAT + split_sql("feat") + _scaled_sql(MODEL_FEATURES))
+def m02_scale_features(spark, sf_dir):
+    """M2: all 35 model inputs scaled with the population std fitted on the
+    training split only."""
+    df = ml.stratified_split(labelled(spark, sf_dir).transform(engineer_features))
+    scaler = ml.PopulationScaler(MODEL_FEATURES).fit(df.where(F.col("split") == "train"))
+    out = scaler.transform(df)
+    return out.select("reading_id", "split", *[r(c).alias(c) for c in MODEL_FEATURES])
+
+
+@query("m03_one_hot", LAB + """
+SELECT reading_id, CASE WHEN quality = 0 THEN 1e0 ELSE 0e0 END AS y_0,
+       CASE WHEN quality = 1 THEN 1e0 ELSE 0e0 END AS y_1,
+       CASE WHEN quality = 2 THEN 1e0 ELSE 0e0 END AS y_2,
+       CASE WHEN quality = 3 THEN 1e0 ELSE 0e0 END AS y_3 FROM labelled""")
+def m03_one_hot(spark, sf_dir):
+    """M3: one-hot target (width = max label + 1)."""
+    out = ml.one_hot(labelled(spark, sf_dir).select("reading_id", "quality"))
+    return out.drop("quality")
+
+
+@query("m04_class_weights", LAB + split_sql("labelled") + """
+SELECT quality, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight
+FROM sp WHERE split = 'train' GROUP BY quality""")
+def m04_class_weights(spark, sf_dir):
+    """M4: balanced class weights of the training split, keyed by class."""
+    tr = ml.stratified_split(labelled(spark, sf_dir)).where(F.col("split") == "train")
+    return ml.class_weights(tr).select("quality", r("weight").alias("weight"))
+
+
+@query("m05_preprocess", LAB + split_sql("labelled") + """
+, w AS (SELECT quality, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight
+        FROM sp WHERE split = 'train' GROUP BY quality)
+, st AS (SELECT avg(tds) AS m_t, stddev_pop(tds) AS s_t, avg(turbidity) AS m_u,
+                stddev_pop(turbidity) AS s_u, avg(ph) AS m_p, stddev_pop(ph) AS s_p
+         FROM sp WHERE split = 'train')
+SELECT reading_id, split, quality, round(weight, 6) AS weight, round((tds - m_t) / s_t, 6) AS tds,
+       round((turbidity - m_u) / s_u, 6) AS turbidity, round((ph - m_p) / s_p, 6) AS ph
+FROM sp JOIN w USING (quality), st""")
+def m05_preprocess(spark, sf_dir):
+    """M5: split -> scaler (train) -> class weights joined by class."""
+    out, _, _ = ml.preprocess(labelled(spark, sf_dir), BASE3)
+    return out.select("reading_id", "split", "quality", r("weight").alias("weight"),
+                      *[r(c).alias(c) for c in BASE3])
+
+
+@query("m25_transform_new_readings", LAB + split_sql("labelled") + f"""
+, st AS (SELECT avg(tds) AS m_t, stddev_pop(tds) AS s_t, avg(turbidity) AS m_u,
+                stddev_pop(turbidity) AS s_u, avg(ph) AS m_p, stddev_pop(ph) AS s_p
+         FROM sp WHERE split = 'train')
+, li AS ({READINGS_LINEITEM.split(' AS (', 1)[1].rsplit(')', 1)[0]})
+SELECT reading_id, round((tds - m_t) / s_t, 6) AS tds, round((turbidity - m_u) / s_u, 6) AS turbidity,
+       round((ph - m_p) / s_p, 6) AS ph
+FROM li, st WHERE ph BETWEEN 4 AND 12 AND tds BETWEEN 0 AND 5000 AND turbidity BETWEEN 0 AND 100""")
+def m25_transform_new_readings(spark, sf_dir):
+    """New readings (lineitem) through the scaler fitted on the
+    training split of events — transform only, never refit."""
+    sp = ml.stratified_split(labelled(spark, sf_dir))
+    scaler = ml.PopulationScaler(BASE3).fit(sp.where(F.col("split") == "train"))
+    new = valid(spark, sf_dir, "lineitem").select("reading_id", *BASE3)
+    return scaler.transform(new).select("reading_id", *[r(c).alias(c) for c in BASE3])
+
+
+def _band_case(agency: str) -> str:
+    from ..schema import AGENCY_STANDARDS
+    a = AGENCY_STANDARDS[agency]
+    ph = a["ph"]
+    return f"""CASE WHEN parameter = 'ph' THEN
+      CASE WHEN value BETWEEN {ph['excellent'][0]} AND {ph['excellent'][1]} THEN 'excellent'
+           WHEN value BETWEEN {ph['good'][0]} AND {ph['good'][1]} THEN 'good'
+           WHEN value BETWEEN {ph['acceptable'][0]} AND {ph['acceptable'][1]} THEN 'acceptable'
+           ELSE 'poor' END
+    WHEN parameter = 'tds' THEN
+      CASE WHEN value <= {a['tds']['excellent']} THEN 'excellent' WHEN value <= {a['tds']['good']} THEN 'good'
+           WHEN value <= {a['tds']['acceptable']} THEN 'acceptable' ELSE 'poor' END
+    ELSE
+      CASE WHEN value <= {a['turbidity']['excellent']} THEN 'excellent'
+           WHEN value <= {a['turbidity']['good']} THEN 'good'
+           WHEN value <= {a['turbidity']['acceptable']} THEN 'acceptable' ELSE 'poor' END END"""
+
+
+@query("j05_agency_compliance", with_(READINGS, VALID) + """
+, lng AS (SELECT reading_id, 'ph' AS parameter, ph AS value FROM valid
+          UNION ALL SELECT reading_id, 'tds', tds FROM valid
+          UNION ALL SELECT reading_id, 'turbidity', turbidity FROM valid)
+""" + "\nUNION ALL\n".join(
+    f"SELECT reading_id, '{a}' AS agency, parameter, value, {_band_case(a)} AS grade FROM lng"
+    for a in ("who", "epa", "canada")))
+def j05_agency_compliance(spark, sf_dir):
+    """Every reading graded against WHO / EPA / Canada thresholds
+    (broadcast range join with the standards bands)."""
+    return agency_compliance(valid(spark, sf_dir))
+
+
+# -- scored calibration data: rule-model probabilities + C2 labels --------
+CAL = with_(READINGS, VALID, f"""chain AS (SELECT *, {CHAIN_SELECT},
+    CASE WHEN 0.4e0 * g_ph + 0.3e0 * g_tds + 0.3e0 * g_tu >= 2.5e0 THEN 3
+         WHEN 0.4e0 * g_ph + 0.3e0 * g_tds + 0.3e0 * g_tu >= 1.5e0 THEN 2
+         WHEN 0.4e0 * g_ph + 0.3e0 * g_tds + 0.3e0 * g_tu >= 0.5e0 THEN 1 ELSE 0 END AS quality
+  FROM valid)""", """cal AS (SELECT *,
+    ln(least(greatest(p0, 1e-15), 1 - 1e-15)) AS z0, ln(least(greatest(p1, 1e-15), 1 - 1e-15)) AS z1,
+    ln(least(greatest(p2, 1e-15), 1 - 1e-15)) AS z2, ln(least(greatest(p3, 1e-15), 1 - 1e-15)) AS z3
+  FROM chain)""")
+
+
+def cal_frame(spark, sf_dir):
+    """Valid readings with C2 labels, rule-model probabilities and logits."""
+    return (labelled(spark, sf_dir).transform(rule_model)
+            .withColumn("logits", log_probs("probability")))
+
+
+def _nll_sql(t: str) -> str:
+    xs = [f"(z{j} / {t})" for j in range(4)]
+    m = f"greatest({', '.join(xs)})"
+    es = [f"exp({x} - {m})" for x in xs]
+    tot = " + ".join(es)
+    py = f"(CASE quality WHEN 0 THEN {es[0]} WHEN 1 THEN {es[1]} WHEN 2 THEN {es[2]} ELSE {es[3]} END) / ({tot})"
+    return f"-ln(least(greatest({py}, 1e-15), 1 - 1e-15))"
+
+
+@query("m10_log_probs", CAL + """
+SELECT reading_id, quality, round(z0, 6) AS logit0, round(z1, 6) AS logit1, round(z2, 6) AS logit2,
+       round(z3, 6) AS logit3 FROM cal""")
+def m10_log_probs(spark, sf_dir):
+    """log(clip(p)) of the probability row."""
+    df = cal_frame(spark, sf_dir)
+    return df.select("reading_id", "quality", *[r(F.col("logits")[i]).alias(f"logit{i}") for i in range(4)])
+
+
+def _softmax_sql(t: str, prefix: str) -> str:
+    xs = [f"(z{j} / {t})" for j in range(4)]
+    m = f"greatest({', '.join(xs)})"
+    es = [f"exp({x} - {m})" for x in xs]
+    tot = " + ".join(es)
+    return ", ".join(f"round({es[j]} / ({tot}), 6) AS {prefix}{j}" for j in range(4))
+
+
+@query("m11_softmax", CAL + f"SELECT reading_id, {_softmax_sql('1e0', 'q')} FROM cal")
+def m11_softmax(spark, sf_dir):
+    """Stable row softmax of the logits (recovers the probabilities)."""
+    df = cal_frame(spark, sf_dir).withColumn("q", softmax("logits"))
+    return df.select("reading_id", *[r(F.col("q")[i]).alias(f"q{i}") for i in range(4)])
+
+
+@query("m13_temperature_apply", CAL + f"SELECT reading_id, {_softmax_sql('2e0', 'q')} FROM cal")
+def m13_temperature_apply(spark, sf_dir):
+    """softmax(logits / T) at T = 2."""
+    df = C.apply_temperature(cal_frame(spark, sf_dir), 2.0, out="q")
+    return df.select("reading_id", *[r(F.col("q")[i]).alias(f"q{i}") for i in range(4)])
+
+
+@query("m12_temperature_nll", CAL + f"""
+, grid AS (SELECT 0.1e0 + i * 0.1e0 AS temperature FROM range(0, 100) t(i))
+SELECT round(temperature, 6) AS temperature, round(sum({_nll_sql('temperature')}), 6) AS nll
+FROM cal, grid GROUP BY temperature""")
+def m12_temperature_nll(spark, sf_dir):
+    """M12 (one grid pass): total NLL at T = 0.1 .. 10.0, one aggregation."""
+    out = C.temperature_nll(cal_frame(spark, sf_dir), C.FIRST_GRID)
+    return out.select(r("temperature").alias("temperature"), r("nll").alias("nll"))
+
+
+def _fit_sql() -> str:
+    def pas(i, grid_sql):
+        return f"""
+, p{i} AS (SELECT temperature, sum({_nll_sql('temperature')}) AS nll FROM cal, ({grid_sql}) g GROUP BY temperature)
+, b{i} AS (SELECT temperature AS c, nll FROM p{i} ORDER BY nll, temperature LIMIT 1)"""
+    s = pas(1, "SELECT 0.1e0 + i * 0.1e0 AS temperature FROM range(0, 100) t(i)")
+    for i, step in ((2, 0.002), (3, 0.00004)):
+        st = f"CAST({step!r} AS DOUBLE)"
+        s += pas(i, f"SELECT c + (i - 50) * {st} AS temperature FROM b{i - 1}, range(0, 101) t(i) "
+                    f"WHERE c + (i - 50) * {st} BETWEEN 0.1 AND 10.0")
+    return s
+
+
+@query("m12_temperature_fit", CAL + _fit_sql() + """
+SELECT round(c, 6) AS temperature, round(nll, 6) AS nll FROM b3""")
+def m12_temperature_fit(spark, sf_dir):
+    """Temperature minimising the NLL on [0.1, 10] (grid, then two
+    shrinking grids)."""
+    fit = C.fit_temperature(cal_frame(spark, sf_dir))
+    return spark.createDataFrame([(round(fit["temperature"], 6), round(fit["nll"], 6))],
+                                 "temperature double, nll double")
+
+
+@query("m19_calibration_set", CAL + f"""
+SELECT reading_id, quality AS label, round(z0, 6) AS logit0, round(z1, 6) AS logit1,
+       round(z2, 6) AS logit2, round(z3, 6) AS logit3
+FROM cal ORDER BY {HASH_SQL}, reading_id LIMIT 2000""")
+def m19_calibration_set(spark, sf_dir):
+    """Seeded 2,000-row calibration sample, scored raw, as logits."""
+    df = sample_n(cal_frame(spark, sf_dir), 2000)
+    return df.select("reading_id", F.col("quality").alias("label"),
+                     *[r(F.col("logits")[i]).alias(f"logit{i}") for i in range(4)])
+
+
+@query("m14_platt_fit")
+def m14_platt_fit(spark, sf_dir):
+    """Platt scaling (Spark ML logistic regression) on the calibration
+    set; returns intercept and slope."""
+    d = cal_frame(spark, sf_dir)
+    m = C.fit_platt(d)
+    return spark.createDataFrame([(float(m.intercept), float(m.coefficients[0]))],
+                                 "intercept double, slope double")
+
+
+@query("m16_isotonic_fit")
+def m16_isotonic_fit(spark, sf_dir):
+    """Isotonic regression of correctness on top probability; returns
+    the fitted step function (boundaries, predictions)."""
+    m = C.fit_isotonic(cal_frame(spark, sf_dir))
+    b, p = [float(x) for x in m.boundaries], [float(x) for x in m.predictions]
+    return spark.createDataFrame(list(zip(b, p)), "boundary double, prediction double")
+
+
+@query("m15_calibrated_confidence")
+def m15_calibrated_confidence(spark, sf_dir):
+    """Platt and isotonic calibrated confidence per reading, the
+    probability row unchanged (quirk Q-6)."""
+    d = cal_frame(spark, sf_dir)
+    out = d
+    for m in ("platt", "isotonic"):
+        cal = C.Calibrator(m).fit(d)
+        out = cal.apply(out).withColumnRenamed("calibrated_confidence", f"{m}_confidence") \
+            .drop("calibrated_probability")
+    return out.select("reading_id", "platt_confidence", "isotonic_confidence")
+
+
+@query("m20_calibration_select")
+def m20_calibration_select(spark, sf_dir):
+    """M18 + M20: fit temperature / Platt / isotonic on a 70 % stratified
+    split, score on 30 %, flag the best."""
+    return C.select_method(cal_frame(spark, sf_dir))
+
+
+@query("m21_calibration_compare")
+def m21_calibration_compare(spark, sf_dir):
+    """M21 + A19: raw vs temperature-calibrated confidence over every
+    scored reading; mean paired difference."""
+    from ..operators.profile import mean_paired_difference
+    d = cal_frame(spark, sf_dir)
+    cal = C.Calibrator("temperature").fit(d)
+    out = cal.apply(d).withColumn("raw_confidence", F.array_max("probability"))
+    return mean_paired_difference(out, "calibrated_confidence", "raw_confidence")
+
+
+@query("m17_ensemble_calibration")
+def m17_ensemble_calibration(spark, sf_dir):
+    """Intended ensemble (0.5 temperature + 0.3 Platt + 0.2 isotonic)."""
+    d = cal_frame(spark, sf_dir)
+    cal = C.Calibrator("ensemble").fit(d)
+    out = cal.apply(d)
+    return out.select("reading_id", "calibrated_confidence",
+                      *[F.col("calibrated_probability")[i].alias(f"q{i}") for i in range(4)])
+
+
+# -- evaluation of the stand-in model against the C2 labels ---------------
+
+EVAL = CAL + """
+, ev AS (SELECT quality AS actual, model_class AS predicted FROM cal)"""
+
+
+def eval_frame(spark, sf_dir):
+    return cal_frame(spark, sf_dir).transform(score_probs)
+
+
+def score_probs(df):
+    from ..functions.arrays import argmax
+    return df.withColumn("predicted", argmax("probability"))
+
+
+@query("a13_confusion_matrix", EVAL + """
+, cls AS (SELECT CAST(i AS INTEGER) AS actual FROM range(0, 4) t(i))
+SELECT c.actual, count_if(predicted = 0) AS pred_0, count_if(predicted = 1) AS pred_1,
+       count_if(predicted = 2) AS pred_2, count_if(predicted = 3) AS pred_3
+FROM cls c LEFT JOIN ev USING (actual) GROUP BY c.actual""")
+def a13_confusion_matrix(spark, sf_dir):
+    """4 x 4 confusion matrix (zeros included)."""
+    return EV.confusion_matrix(eval_frame(spark, sf_dir), "quality", "predicted")
+
+
+@query("a14_accuracy", EVAL + """
+SELECT round(avg(CASE WHEN actual = predicted THEN 1e0 ELSE 0e0 END), 6) AS accuracy, count(*) AS n FROM ev""")
+def a14_accuracy(spark, sf_dir):
+    """Accuracy."""
+    a = EV.accuracy(eval_frame(spark, sf_dir), "quality", "predicted")
+    return a.select(r("accuracy").alias("accuracy"), "n")
+
+
+@query("a15_classification_report", EVAL + """
+, cls AS (SELECT CAST(i AS INTEGER) AS c FROM range(0, 4) t(i))
+, per AS (SELECT c, count_if(actual = c AND predicted = c) AS tp, count_if(actual = c) AS support,
+                 count_if(predicted = c) AS pred_n FROM cls, ev GROUP BY c)
+, m AS (SELECT CAST(c AS VARCHAR) AS label,
+               CASE WHEN pred_n = 0 THEN 0e0 ELSE tp / pred_n END AS precision,
+               CASE WHEN support = 0 THEN 0e0 ELSE tp / support END AS recall, support
+        FROM per WHERE support > 0 OR pred_n > 0)
+, m2 AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0e0
+                        ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM m)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, support, round(f1, 6) AS f1 FROM m2
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), sum(support), round(avg(f1), 6) FROM m2
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+       round(sum(recall * support) / sum(support), 6), sum(support),
+       round(sum(f1 * support) / sum(support), 6) FROM m2""")
+def a15_classification_report(spark, sf_dir):
+    """Precision / recall / F1 / support per class, macro and
+    weighted averages."""
+    rep = EV.classification_report(eval_frame(spark, sf_dir), "quality", "predicted")
+    return rep.select("label", r("precision").alias("precision"), r("recall").alias("recall"),
+                      F.col("support").cast("long").alias("support"), r("f1").alias("f1"))
+
+
+@query("a16_per_class_accuracy", EVAL + """
+, cls AS (SELECT CAST(i AS INTEGER) AS actual FROM range(0, 4) t(i))
+SELECT c.actual, round(CASE WHEN count(ev.actual) = 0 THEN 0e0
+                            ELSE count_if(predicted = c.actual) / count(ev.actual) END, 6) AS accuracy,
+       count(ev.actual) AS support
+FROM cls c LEFT JOIN ev USING (actual) GROUP BY c.actual""")
+def a16_per_class_accuracy(spark, sf_dir):
+    """Per-class accuracy (diagonal / row sum)."""
+    p = EV.per_class_accuracy(eval_frame(spark, sf_dir), "quality", "predicted")
+    return p.select("actual", r("accuracy").alias("accuracy"), "support")
+
+
+# -- trained Spark ML models (rows-only checks) ---------------------------
+
+def _train_split(spark, sf_dir, features):
+    df = labelled(spark, sf_dir)
+    if features != BASE3:
+        df = df.transform(engineer_features)
+    out, scaler, weights = ml.preprocess(df, features)
+    return out, scaler
+
+
+@query("m06_train_score")
+def m06_train_score(spark, sf_dir):
+    """M6 + M22: random forest on the 3 base features (class-weighted,
+    scaler fitted on train), scored on the test split."""
+    sp, _ = _train_split(spark, sf_dir, BASE3)
+    model = MD.train(sp.where(F.col("split") == "train"), BASE3)
+    test = MD.model_probabilities(model)(sp.where(F.col("split") == "test"))
+    return MD.predicted_class(test).select("reading_id", "quality", "predicted",
+                                           F.array_max("probability").alias("top_probability"))
+
+
+@query("m08_retrain_enhanced")
+def m08_retrain_enhanced(spark, sf_dir):
+    """M8: retrain on the 35 enhanced features, save the pipeline, load it
+    back and score the test split (S9 round trip)."""
+    sp, _ = _train_split(spark, sf_dir, MODEL_FEATURES)
+    model = MD.train(sp.where(F.col("split") == "train"), MODEL_FEATURES)
+    path = MD.save_model(model, scratch_path(spark, "models", "enhanced"))
+    loaded = MD.load_model(path)
+    test = MD.model_probabilities(loaded)(sp.where(F.col("split") == "test"))
+    return MD.predicted_class(test).select("reading_id", "quality", "predicted")
+
+
+@query("m22_evaluate_model")
+def m22_evaluate_model(spark, sf_dir):
+    """M22 + M24: trained model's test classification report."""
+    sp, _ = _train_split(spark, sf_dir, BASE3)
+    model = MD.train(sp.where(F.col("split") == "train"), BASE3)
+    test = MD.predicted_class(MD.model_probabilities(model)(sp.where(F.col("split") == "test")))
+    return EV.classification_report(test, "quality", "predicted")
+
+
+@query("m07_model_quality_report")
+def m07_model_quality_report(spark, sf_dir):
+    """M7 with a trained model: all valid readings scored by the forest
+    (features -> scaler -> model) and the confidence chain, reported per
+    predicted class."""
+    sp, scaler = _train_split(spark, sf_dir, BASE3)
+    model = MD.train(sp.where(F.col("split") == "train"), BASE3)
+
+    def scaled_model(df):
+        # the model sees scaled inputs; the chain sees raw readings
+        raw = df.select(*[F.col(c).alias(f"_raw_{c}") for c in BASE3], *df.columns)
+        out = MD.model_probabilities(model)(scaler.transform(raw))
+        for c in BASE3:
+            out = out.withColumn(c, F.col(f"_raw_{c}")).drop(f"_raw_{c}")
+        return out
+
+    s = score(valid(spark, sf_dir), model=scaled_model)
+    return s.groupBy("quality_label").agg(F.count(F.lit(1)).alias("n"),
+                                          F.avg("confidence").alias("mean_confidence"))
+
+
+_unused = (label_readings, ENGINEERED_FEATURES)
