@@ -445,3 +445,87 @@ def m07_model_quality_report(spark, sf_dir):
 
 
 _unused = (label_readings, ENGINEERED_FEATURES)
+
+
+# -- SMOTE (M9, J2, J6, A12) ----------------------------------------------
+
+SMOTE_BASE = LAB + """
+, cnt AS (SELECT quality, count(*) AS n FROM labelled GROUP BY quality)
+, plan AS (SELECT quality, n, (SELECT max(n) FROM cnt) - n AS need FROM cnt)
+, plan2 AS (SELECT *, need // n AS q, need % n AS rem FROM plan WHERE need > 0)
+, pts AS (SELECT reading_id, quality, tds, turbidity, ph FROM labelled
+          WHERE quality IN (SELECT quality FROM plan2))
+, pairs AS (SELECT a.reading_id AS pid, a.quality, b.reading_id AS nid,
+                   (a.tds - b.tds) * (a.tds - b.tds) + (a.turbidity - b.turbidity) * (a.turbidity - b.turbidity)
+                   + (a.ph - b.ph) * (a.ph - b.ph) AS d2,
+                   b.tds AS nn_tds, b.turbidity AS nn_turbidity, b.ph AS nn_ph
+            FROM pts a JOIN pts b ON a.quality = b.quality AND a.reading_id <> b.reading_id)
+, nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY pid ORDER BY d2, nid) AS INTEGER) AS rank
+         FROM pairs QUALIFY rank <= 5)"""
+
+SMOTE_SQL = SMOTE_BASE + f"""
+, hh AS (SELECT p.*, {HASH_SQL} AS _h FROM pts p)
+, pos AS (SELECT hh.*, row_number() OVER (PARTITION BY quality ORDER BY _h, reading_id) - 1 AS _pos FROM hh)
+, cp AS (SELECT pos.*, q + CASE WHEN _pos < rem THEN 1 ELSE 0 END AS _m FROM pos JOIN plan2 USING (quality))
+, syn AS (SELECT reading_id AS source_id, quality, tds, turbidity, ph, unnest(range(0, _m)) AS copy
+          FROM cp WHERE _m > 0)
+, kb AS (SELECT pid, count(*) AS kb FROM nn GROUP BY pid)
+, pk AS (SELECT s.*, coalesce(kb.kb, 0) AS k_b,
+                (((source_id % 2147483647) * 48271 + copy * 7919) % 2147483647)
+                  % greatest(coalesce(kb.kb, 0), 1) + 1 AS _rank,
+                ((((source_id % 2147483647) * 16807 + copy * 104729) % 2147483647) % 1000) / 1000e0 AS lam
+         FROM syn s LEFT JOIN kb ON kb.pid = s.source_id)
+, smoted AS (
+  SELECT source_id, CAST(copy AS INTEGER) AS copy, pk.quality,
+         CASE WHEN k_b > 0 THEN pk.tds + lam * (nn.nn_tds - pk.tds) ELSE pk.tds END AS tds,
+         CASE WHEN k_b > 0 THEN pk.turbidity + lam * (nn.nn_turbidity - pk.turbidity) ELSE pk.turbidity END AS turbidity,
+         CASE WHEN k_b > 0 THEN pk.ph + lam * (nn.nn_ph - pk.ph) ELSE pk.ph END AS ph
+  FROM pk LEFT JOIN nn ON nn.pid = pk.source_id AND nn.rank = pk._rank
+  UNION ALL
+  SELECT reading_id, -1, quality, tds, turbidity, ph FROM labelled)"""
+
+
+def _smote_frame(spark, sf_dir):
+    from ..operators.smote import smote
+    return smote(labelled(spark, sf_dir).select("reading_id", "quality", *BASE3))
+
+
+@query("j02_smote_neighbors", SMOTE_BASE + """
+SELECT pid, quality, rank, nid, round(d2, 6) AS d2 FROM nn""")
+def j02_smote_neighbors(spark, sf_dir):
+    """Exact 5 nearest neighbours within each minority class (grid
+    levels, never all pairs of a class)."""
+    from ..operators.smote import nearest_neighbors
+    lab = labelled(spark, sf_dir)
+    counts = {r[0]: r[1] for r in lab.groupBy("quality").count().collect()}
+    minority = [c for c, n in counts.items() if n < max(counts.values())]
+    nn = nearest_neighbors(lab, 5, classes=minority)
+    return nn.select("pid", "quality", "rank", "nid", r("d2").alias("d2"))
+
+
+@query("m09_smote_resample", SMOTE_SQL + """
+SELECT source_id, copy, quality, round(tds, 6) AS tds, round(turbidity, 6) AS turbidity,
+       round(ph, 6) AS ph FROM smoted""")
+def m09_smote_resample(spark, sf_dir):
+    """M9 + J6: SMOTE (k = 5) raising every class to the majority size;
+    originals (copy = -1) unioned with the synthetic rows."""
+    out = _smote_frame(spark, sf_dir)
+    return out.select("source_id", "copy", "quality", *[r(c).alias(c) for c in BASE3])
+
+
+@query("a12_imbalance_ratio", SMOTE_SQL + """
+, b AS (SELECT count(*) AS n FROM labelled GROUP BY quality)
+, a AS (SELECT count(*) AS n FROM smoted GROUP BY quality)
+SELECT (SELECT sum(n) FROM b) AS before_rows, (SELECT max(n) / min(n) FROM b) AS before_imbalance,
+       (SELECT sum(n) FROM a) AS after_rows, (SELECT max(n) / min(n) FROM a) AS after_imbalance,
+       (SELECT sum(n) FROM a) - (SELECT sum(n) FROM b) AS added_rows,
+       round(((SELECT sum(n) FROM a) - (SELECT sum(n) FROM b)) * 100e0 / (SELECT sum(n) FROM b), 6) AS growth_pct""")
+def a12_imbalance_ratio(spark, sf_dir):
+    """Class imbalance (max / min count) and size before and after
+    SMOTE."""
+    from ..operators.profile import imbalance_ratio
+    out = imbalance_ratio(labelled(spark, sf_dir), _smote_frame(spark, sf_dir))
+    return out.select(F.col("before_rows").cast("long").alias("before_rows"), "before_imbalance",
+                      F.col("after_rows").cast("long").alias("after_rows"), "after_imbalance",
+                      F.col("added_rows").cast("long").alias("added_rows"),
+                      r("growth_pct").alias("growth_pct"))
