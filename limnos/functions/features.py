@@ -155,7 +155,18 @@ def feature_columns(tds="tds", turbidity="turbidity", ph="ph",
     return out
 
 
-ENGINEERED_FEATURES = list(feature_columns().keys())
+# Emission order of the 32 engineered columns (a name list, so importing
+# this module needs no Spark session).
+ENGINEERED_FEATURES = [
+    "who_ph_index", "who_tds_index", "who_turbidity_index", "who_wqi", "ccme_wqi", "cpi",
+    "ph_tds_product", "ph_tds_ratio", "tds_turbidity_product", "tds_turbidity_ratio",
+    "ph_turbidity_product", "ph_turbidity_diff", "ph_tds_turbidity_index",
+    "ph_risk", "tds_risk", "turbidity_risk", "total_risk_score", "max_risk_score",
+    "risk_variance", "high_risk_count",
+    "ph_zscore", "tds_zscore", "turbidity_zscore", "ph_deviation", "tds_deviation",
+    "turbidity_deviation", "param_mean", "param_std", "param_range",
+    "drinking_safety_score", "aesthetic_score", "treatment_difficulty",
+]
 MODEL_FEATURES = ["tds", "turbidity", "ph"] + ENGINEERED_FEATURES
 
 # Feature descriptions published by the reference.
@@ -173,13 +184,69 @@ FEATURE_DESCRIPTIONS = {
 }
 
 
+def _staged(df: DataFrame, groups) -> DataFrame:
+    """The features as three projections.  Later stages refer to earlier
+    outputs by name, so no sub-expression is copied into another feature's
+    tree (CollapseProject keeps a shared non-trivial expression in its own
+    projection); each stage stays a compact whole-stage-codegen block."""
+    t, u, p = F.col("tds"), F.col("turbidity"), F.col("ph")
+    a = OrderedDict()
+    if "who" in groups:
+        a.update(list(who_indices(t, u, p).items())[:3])
+    if "ccme" in groups:
+        a["ccme_wqi"] = ccme_wqi(t, u, p)
+    if "cpi" in groups:
+        a["cpi"] = cpi(t, u, p)
+    if "interactions" in groups:
+        a.update(interactions(t, u, p))
+    if "risk" in groups:
+        a.update(list(risk_features(t, u, p).items())[:3])
+    if "stats" in groups:
+        st = stat_features(t, u, p)
+        for n in ("ph_zscore", "tds_zscore", "turbidity_zscore", "ph_deviation", "tds_deviation",
+                  "turbidity_deviation"):
+            a[n] = st[n]
+    if "health" in groups:
+        a.update(health_scores(t, u, p))
+    df = df.select("*", *[c.alias(n) for n, c in a.items()])
+    b = OrderedDict()
+    if "who" in groups:
+        b["who_wqi"] = F.pow(F.col("who_ph_index") * F.col("who_tds_index")
+                             * F.col("who_turbidity_index"), 1.0 / 3)
+    if "risk" in groups:
+        r1, r2, r3 = F.col("ph_risk"), F.col("tds_risk"), F.col("turbidity_risk")
+        b["total_risk_score"] = r1 + r2 + r3
+        b["max_risk_score"] = F.greatest(r1, r2, r3)
+        b["high_risk_count"] = ((r1 > 0.5).cast("int") + (r2 > 0.5).cast("int")
+                                + (r3 > 0.5).cast("int"))
+    if "stats" in groups:
+        b["param_mean"] = _row_mean(F.col("ph_zscore"), F.col("tds_zscore"),
+                                    F.col("turbidity_zscore"))
+    df = df.select("*", *[c.alias(n) for n, c in b.items()])
+    c3 = OrderedDict()
+    if "risk" in groups:
+        m = F.col("total_risk_score") / 3.0
+        c3["risk_variance"] = sum(((F.col(n) - m) * (F.col(n) - m) for n in
+                                   ("ph_risk", "tds_risk", "turbidity_risk")), F.lit(0.0)) / 2.0
+    if "stats" in groups:
+        zs = [F.col("ph_zscore"), F.col("tds_zscore"), F.col("turbidity_zscore")]
+        m = F.col("param_mean")
+        c3["param_std"] = F.sqrt(sum(((z - m) * (z - m) for z in zs), F.lit(0.0)) / 2.0)
+        c3["param_range"] = F.greatest(*zs) - F.least(*zs)
+    return df.select("*", *[c.alias(n) for n, c in c3.items()])
+
+
 def engineer_features(df: DataFrame, groups=FEATURE_GROUPS) -> DataFrame:
-    """Append the engineered features (one projection).  Descriptions ride
-    along as column metadata."""
-    cols = [c.alias(n, metadata={"description": FEATURE_DESCRIPTIONS[n]})
-            if n in FEATURE_DESCRIPTIONS else c.alias(n)
-            for n, c in feature_columns(groups=groups).items()]
-    return df.select("*", *cols)
+    """Append the engineered features in emission order (three staged
+    projections, see ``_staged``).  Descriptions ride along as column
+    metadata."""
+    base = list(df.columns)
+    staged = _staged(df, groups)
+    names = [n for n in feature_columns(groups=groups)]
+    assert len(ENGINEERED_FEATURES) == 32
+    return staged.select(*base, *[
+        F.col(n).alias(n, metadata={"description": FEATURE_DESCRIPTIONS[n]})
+        if n in FEATURE_DESCRIPTIONS else F.col(n) for n in names])
 
 
 def new_columns(before: DataFrame, after: DataFrame) -> list:

@@ -19,7 +19,7 @@ from ..functions.grades import grade_sum, quality_class
 from ..functions.indices import overall_assessment, wqi_service, wqi_simple
 from ..functions.text import parameter_analysis, recommendation
 from ..schema import QUALITY_LABELS, label_of
-from .validate import first_error, validation_errors, validation_warnings
+from .validate import first_error, is_valid, validation_errors, validation_warnings
 
 
 def label_readings(df: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def prediction_record(df: DataFrame, probability: str = "probability") -> DataFr
 
 def score(df: DataFrame, model=rule_model, rec_threshold: float = 0.45) -> DataFrame:
     """M7: valid rows -> model probabilities -> enhanced prediction."""
-    valid = df.where(first_error().isNull())
+    valid = df.where(is_valid())
     return enhance(model(valid), rec_threshold=rec_threshold)
 
 

@@ -6,10 +6,11 @@ multi-level grid instead of all pairs of a class: each still-unresolved
 point probes the 3 x 3 x 3 block of cells around its own cell.  Any point
 outside the block is farther than one cell side ``s``, so once a point's
 k-th candidate is within ``s`` its k neighbours are exact; otherwise it is
-retried on a grid with twice the cell side.  The first cell side follows
-each class's density (about 2(k+1) points per cell), so candidate lists stay
-short; a point whose class has at most k other rows is resolved when it has
-seen them all.  Every level's leftovers are checkpointed to the shared
+retried on a grid with twice the cell side.  The first cell side is 2^3
+times finer than each class's average density suggests (about 2(k+1)
+points per cell), so points in dense regions resolve with short candidate
+lists and sparse ones climb a few levels; a point whose class has at most
+k other rows is resolved when it has seen them all.  Every level's leftovers are checkpointed to the shared
 folder (lineage cut, executor-loss safe).
 
 Synthesis is deterministic: every class below the majority size gets
@@ -33,7 +34,10 @@ from ..sources.samples import HASH_MOD, row_hash
 from .ml import kth_keys
 
 FEATURES = ["tds", "turbidity", "ph"]
-MAX_LEVELS = 40
+MAX_LEVELS = 60
+# the first grid is 2^START_SHRINK times finer than the class-average
+# density suggests, so dense regions resolve with short candidate lists
+START_SHRINK = 3
 
 
 def _class_stats(df: DataFrame, label: str, feats: Sequence[str]) -> Dict:
@@ -69,13 +73,14 @@ def nearest_neighbors(df: DataFrame, k: int = 5, label: str = "quality", key: st
     lab_type = dict(df.dtypes)[label]
     pdf = spark.createDataFrame(
         params, f"_c {lab_type}, _n long, _s0 double, " + ", ".join(f"_lo_{f} double" for f in feats))
-    # one row per class: bounded, broadcast
-    pts = pts.join(F.broadcast(pdf), "_c")
+    # one row per class: bounded, broadcast; the class points are
+    # materialised once (reliable checkpoint) and reused by every level
+    pts = pts.join(F.broadcast(pdf), "_c").checkpoint(eager=True)
     unresolved = pts.select("_id", "_c")
     found: List[DataFrame] = []
     offsets = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
     for level in range(MAX_LEVELS):
-        side = F.col("_s0") * float(2 ** level)
+        side = F.col("_s0") * float(2.0 ** (level - START_SHRINK))
         cells = pts.select("_id", "_c", "_n", side.alias("_side"), *feats,
                            *[F.floor((F.col(f) - F.col(f"_lo_{f}")) / side).alias(f"_g{i}")
                              for i, f in enumerate(feats)])
@@ -97,21 +102,21 @@ def nearest_neighbors(df: DataFrame, k: int = 5, label: str = "quality", key: st
             t = (F.col(f"p_{f}") - F.col(f"n_{f}")) * (F.col(f"p_{f}") - F.col(f"n_{f}"))
             d2 = t if d2 is None else d2 + t
         cand = cand.withColumn("d2", d2)
+        # all windows share the pid partitioning: one exchange per level
         per_point = Window.partitionBy("pid")
-        ranked = (cand.withColumn("rank", F.row_number().over(per_point.orderBy("d2", "nid")))
-                  .withColumn("_cnt", F.count(F.lit(1)).over(per_point))
-                  .where(F.col("rank") <= k))
-        kth = ranked.groupBy("pid").agg(F.max("d2").alias("_kd2"), F.first("_cnt").alias("_cnt"),
-                                        F.first("_n").alias("_n"), F.first("_side").alias("_side"))
-        ok = kth.where(((F.col("_cnt") >= k) & (F.col("_kd2") <= F.col("_side") * F.col("_side")))
-                       | (F.col("_cnt") >= F.col("_n") - 1)).select("pid")
-        res = ranked.join(ok, "pid", "left_semi").select(
+        top = (cand.withColumn("rank", F.row_number().over(per_point.orderBy("d2", "nid")))
+               .withColumn("_cnt", F.count(F.lit(1)).over(per_point))
+               .where(F.col("rank") <= k)
+               .withColumn("_kd2", F.max("d2").over(per_point)))
+        ok = (((F.col("_cnt") >= k) & (F.col("_kd2") <= F.col("_side") * F.col("_side")))
+              | (F.col("_cnt") >= F.col("_n") - 1))
+        res = top.where(ok).select(
             "pid", F.col("_c").alias(label), "rank", "nid", "d2",
             *[F.col(f"n_{f}").alias(f"nn_{f}") for f in feats]).checkpoint(eager=True)
         found.append(res)
-        # rows never probed successfully: singletons (n = 1) have no
-        # neighbours at all and are dropped from the search here
-        unresolved = (unresolved.join(res.select(F.col("pid").alias("_id")).distinct(), "_id", "left_anti")
+        # singletons (n = 1) have no neighbours at all: never retried
+        unresolved = (unresolved.join(res.where(F.col("rank") == 1).select(F.col("pid").alias("_id")),
+                                      "_id", "left_anti")
                       .join(F.broadcast(pdf.where(F.col("_n") > 1).select("_c")), "_c", "left_semi")
                       .checkpoint(eager=True))
         if unresolved.isEmpty():

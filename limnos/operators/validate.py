@@ -33,6 +33,15 @@ def first_error(tds="tds", turbidity="turbidity", ph="ph") -> Column:
                                                      F.lit(" is outside valid range (0-100 NTU)"))))
 
 
+def is_valid(tds="tds", turbidity="turbidity", ph="ph") -> Column:
+    """Boolean twin of ``first_error().isNull()`` (no message text is
+    built, so filters stay small in generated code)."""
+    def ok(x, lo, hi):
+        return x.isNotNull() & ~F.isnan(x) & x.between(lo, hi)
+
+    return ok(col(ph), *PH_RANGE) & ok(col(tds), *TDS_RANGE) & ok(col(turbidity), *TURBIDITY_RANGE)
+
+
 def _present(x: Column) -> Column:
     """P3 skips missing values; NaN counts as missing (Q-13)."""
     return x.isNotNull() & ~F.isnan(x)
@@ -77,7 +86,7 @@ def with_first_error(df: DataFrame) -> DataFrame:
 
 def valid_readings(df: DataFrame) -> DataFrame:
     """Keep rows that pass the hard range check."""
-    return df.where(first_error().isNull())
+    return df.where(is_valid())
 
 
 def bounds_filter(df: DataFrame) -> DataFrame:
@@ -143,4 +152,4 @@ def batch_error_records(df: DataFrame, key: str = "reading_id") -> DataFrame:
 
 def batch_drop_errors(df: DataFrame) -> DataFrame:
     """Silently drop failing rows."""
-    return df.where(first_error().isNull())
+    return df.where(is_valid())

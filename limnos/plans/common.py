@@ -11,8 +11,17 @@ from ..sources.readings import readings
 
 
 def r(c, digits: int = 6) -> Column:
-    """Output rounding so two engines' last-bit differences do not matter."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    """Output rounding so two engines' last-bit differences do not matter:
+    round half away from zero of x * 10^n, then / 10^n — plain double
+    arithmetic (no per-value BigDecimal like ``F.round``), bit-identical to
+    SQL engines that round doubles this way (DuckDB does)."""
+    x = F.col(c) if isinstance(c, str) else c
+    scale = float(10 ** digits)
+    y = x * scale
+    fl = F.floor(y)
+    d = y - fl
+    up = (d > 0.5) | ((d == 0.5) & (y >= 0))
+    return F.when(x.isNull() | F.isnan(x), x).otherwise((fl + up.cast("double")) / scale)
 
 
 def valid(spark: SparkSession, sf_dir: str, source: str = "events") -> DataFrame:

@@ -99,9 +99,9 @@ def _sql_select(cols):
 
 def _make(name, group, cols):
     def fn(spark, sf_dir):
-        exprs = feature_columns(groups=(group,))
-        return valid(spark, sf_dir).select(
-            "reading_id", *[(exprs[c] if c in INT_FEATURES else r(exprs[c])).alias(c) for c in cols])
+        df = engineer_features(valid(spark, sf_dir), groups=(group,))
+        return df.select("reading_id", *[(F.col(c) if c in INT_FEATURES else r(c)).alias(c)
+                                         for c in cols])
     fn.__name__ = name
     fn.__doc__ = f"Engineered features ({group}): {', '.join(cols)}."
     query(name, FEATURES + f"SELECT reading_id, {_sql_select(cols)} FROM feat")(fn)

@@ -16,6 +16,10 @@ _LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Wide projections (32 features, the confidence chain) generate methods
+    # above HotSpot's 8 KB JIT limit; let the JIT compile them (set the same
+    # in spark.executor.extraJavaOptions on a cluster).
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
 
