@@ -185,3 +185,14 @@ def test_fine_grades(spark):
 def test_label_readings(spark):
     out = label_readings(rows(spark, [(250.0, 0.5, 7.2)])).first()
     assert (out.quality, out.quality_label) == (3, "Excellent")
+
+
+def test_feature_sweep(spark):
+    import numpy as np
+    from limnos.operators.sweep import feature_sweep, guidelines
+    out = feature_sweep(spark, "ph").orderBy("reading_id").collect()
+    assert len(out) == 100
+    assert [x.ph for x in out] == pytest.approx(list(np.linspace(5.0, 9.0, 100)))
+    # pH 7.0-7.5 with tds 300 and turbidity 2 -> grades 3/3/2 -> Good or better
+    assert {x.quality_label for x in out if 7.0 <= x.ph <= 7.5} <= {"Good", "Excellent"}
+    assert guidelines(spark).count() == 11
