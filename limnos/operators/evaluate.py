@@ -18,10 +18,16 @@ def confusion_counts(df: DataFrame, actual: str, predicted: str,
     spark = df.sparkSession
     pairs = spark.createDataFrame([(a, p) for a in classes for p in classes],
                                   "actual int, predicted int")
+    from ..session import checkpoint_dir
+
     counts = (df.groupBy(F.col(actual).cast("int").alias("actual"),
                          F.col(predicted).cast("int").alias("predicted"))
               .agg(F.count(F.lit(1)).alias("n")))
-    return pairs.join(counts, ["actual", "predicted"], "left").na.fill(0, ["n"])
+    checkpoint_dir(spark)
+    # classes^2 rows: materialised once so every metric branch reads the
+    # tiny table instead of recomputing the scored input
+    return (pairs.join(counts, ["actual", "predicted"], "left").na.fill(0, ["n"])
+            .checkpoint(eager=True))
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str,

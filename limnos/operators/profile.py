@@ -67,13 +67,18 @@ def describe(df: DataFrame, cols: Sequence[str] = SENSORS) -> DataFrame:
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
                  F.max(x).alias(f"{c}__max")]
     moments = df.agg(*aggs).collect()[0]
+    # all columns' quartiles in one bisection run: stack (column, value) and
+    # let the column name be the group
+    long = df.selectExpr("stack({}, {}) AS (_col, _val)".format(
+        len(cols), ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)))
+    n_by = {c: moments[f"{c}__count"] for c in cols}
+    q = quantiles(long, "_val", [0.25, 0.5, 0.75], group="_col", n_by_group=n_by)
     rows = []
     for c in cols:
-        n = moments[f"{c}__count"]
-        q = quantiles(df, c, [0.25, 0.5, 0.75], n_by_group={None: n}) if n else {}
+        n = n_by[c]
         rows.append((c, int(n), moments[f"{c}__mean"], moments[f"{c}__std"],
-                     moments[f"{c}__min"], q.get((None, 0.25)), q.get((None, 0.5)),
-                     q.get((None, 0.75)), moments[f"{c}__max"]))
+                     moments[f"{c}__min"], q.get((c, 0.25)), q.get((c, 0.5)),
+                     q.get((c, 0.75)), moments[f"{c}__max"]))
     return df.sparkSession.createDataFrame(
         rows, "column string, count long, mean double, std double, min double, "
               "p25 double, p50 double, p75 double, max double")
