@@ -18,8 +18,8 @@ from ..sources.readings import readings
 from . import query
 from .common import r, valid
 from .q_scoring import ASSESS_SQL, SERVICE_WQI_SQL, SIMPLE_WQI_SQL
-from .sql import (G_PH, G_TDS, G_TU, LABEL_CASE, READINGS, VALID, VALID_WHERE, py_round_sql,
-                  with_)
+from .sql import (G_PH, G_TDS, G_TU, LABEL_CASE, READINGS, READINGS_LINEITEM, VALID, VALID_WHERE,
+                  py_round_sql, with_)
 
 # -- oracle restatement of the chain ----------------------------------------
 G_TDS_OF_TURB = G_TDS.replace("tds", "turbidity")
@@ -403,14 +403,24 @@ def m07_quality_report(spark, sf_dir):
                       r("avg_ph", 4).alias("avg_ph"), "low_confidence")
 
 
-@query("m07_quality_report_lineitem")
+CHAIN_LINEITEM = with_(READINGS_LINEITEM, VALID, f"chain AS (SELECT *, {CHAIN_SELECT} FROM valid)")
+
+
+@query("m07_quality_report_lineitem", CHAIN_LINEITEM + """
+SELECT quality_label, count(*) AS n, round(avg(confidence), 6) AS mean_confidence,
+       round(avg(tds), 4) AS avg_tds, round(avg(turbidity), 4) AS avg_turbidity,
+       round(avg(ph), 4) AS avg_ph
+FROM chain GROUP BY quality_label""")
 def m07_quality_report_lineitem(spark, sf_dir):
-    """M7 flagship over the lineitem readings (volume; rows-only check)."""
+    """M7 flagship over the lineitem readings (the volume table)."""
     df = scored(spark, sf_dir, "lineitem")
-    return df.groupBy("quality_label").agg(
+    agg = df.groupBy("quality_label").agg(
         F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"),
         F.avg("tds").alias("avg_tds"), F.avg("turbidity").alias("avg_turbidity"),
         F.avg("ph").alias("avg_ph"))
+    return agg.select("quality_label", "n", r("mean_confidence").alias("mean_confidence"),
+                      r("avg_tds", 4).alias("avg_tds"), r("avg_turbidity", 4).alias("avg_turbidity"),
+                      r("avg_ph", 4).alias("avg_ph"))
 
 
 _unused = (pystr, enhance)
