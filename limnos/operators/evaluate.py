@@ -16,18 +16,15 @@ def confusion_counts(df: DataFrame, actual: str, predicted: str,
                      classes: Sequence[int] = CLASSES) -> DataFrame:
     """(actual, predicted, n) for every pair of classes, zeros included."""
     spark = df.sparkSession
-    pairs = spark.createDataFrame([(a, p) for a in classes for p in classes],
-                                  "actual int, predicted int")
-    from ..session import checkpoint_dir
-
     counts = (df.groupBy(F.col(actual).cast("int").alias("actual"),
                          F.col(predicted).cast("int").alias("predicted"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    checkpoint_dir(spark)
-    # classes^2 rows: materialised once so every metric branch reads the
-    # tiny table instead of recomputing the scored input
-    return (pairs.join(counts, ["actual", "predicted"], "left").na.fill(0, ["n"])
-            .checkpoint(eager=True))
+              .agg(F.count(F.lit(1)).alias("n")).collect())
+    # a metric table of at most classes^2 rows: every metric branch reads
+    # it instead of recomputing the scored input
+    seen = {(r["actual"], r["predicted"]): r["n"] for r in counts}
+    full = sorted(set(classes) | {a for a, _ in seen} | {p for _, p in seen})
+    return spark.createDataFrame([(a, p, int(seen.get((a, p), 0))) for a in full for p in full],
+                                 "actual int, predicted int, n long")
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Dict, List, Sequence, Tuple
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +72,10 @@ def stratified_split(df: DataFrame, label: str = "quality", key: str = "reading_
     test = test or 0.2
     val = val if val is not None else 0.2
     h = df.withColumn("_h", row_hash(key, seed).cast("double"))
-    counts = {r[0]: r[1] for r in h.groupBy(label).count().collect()}
+    # the bisection passes read only (label, key, hash): keep that narrow
+    # projection for them (lost blocks recompute from lineage), then drop it
+    narrow = h.select(label, key, "_h").persist(StorageLevel.MEMORY_AND_DISK)
+    counts = {r[0]: r[1] for r in narrow.groupBy(label).count().collect()}
     ranks, cuts = {}, {}
     for g, n in counts.items():
         n_test, n_val = _split_counts(n, test, val)
@@ -80,7 +84,10 @@ def stratified_split(df: DataFrame, label: str = "quality", key: str = "reading_
             ranks[(g, "test")] = (g, n_test - 1)
         if n_val > 0:
             ranks[(g, "val")] = (g, n_test + n_val - 1)
-    keys = kth_keys(h, label, key, "_h", ranks) if ranks else {}
+    try:
+        keys = kth_keys(narrow, label, key, "_h", ranks) if ranks else {}
+    finally:
+        narrow.unpersist()
     rows = [(g, *keys.get((g, "test"), (-1.0, -1)), *keys.get((g, "val"), (-1.0, -1)))
             for g in counts]
     # one row per class: bounded, broadcast

@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +73,11 @@ def describe(df: DataFrame, cols: Sequence[str] = SENSORS) -> DataFrame:
     long = df.selectExpr("stack({}, {}) AS (_col, _val)".format(
         len(cols), ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)))
     n_by = {c: moments[f"{c}__count"] for c in cols}
-    q = quantiles(long, "_val", [0.25, 0.5, 0.75], group="_col", n_by_group=n_by)
+    long = long.persist(StorageLevel.MEMORY_AND_DISK)  # read by every bisection pass
+    try:
+        q = quantiles(long, "_val", [0.25, 0.5, 0.75], group="_col", n_by_group=n_by)
+    finally:
+        long.unpersist()
     rows = []
     for c in cols:
         n = n_by[c]
