@@ -95,3 +95,12 @@ def s08_run_metadata(spark, sf_dir):
     return md.select(F.size("feature_names").alias("n_features"),
                      F.col("training_samples").cast("long").alias("training_samples"),
                      r("test_accuracy").alias("test_accuracy"), "model_version")
+
+
+@query("s13_preview", BASE + """
+SELECT reading_id, tds, turbidity, ph, quality_label FROM labelled ORDER BY reading_id LIMIT 5""")
+def s13_preview(spark, sf_dir):
+    """Deterministic head(5) of the labelled dataset (an ordered
+    limit: the preview is the feature)."""
+    return files.preview(labelled(spark, sf_dir).select("reading_id", "tds", "turbidity", "ph",
+                                                        "quality_label"), ["reading_id"], 5)

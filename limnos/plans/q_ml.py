@@ -529,3 +529,14 @@ def a12_imbalance_ratio(spark, sf_dir):
                       F.col("after_rows").cast("long").alias("after_rows"), "after_imbalance",
                       F.col("added_rows").cast("long").alias("added_rows"),
                       r("growth_pct").alias("growth_pct"))
+
+
+@query("p01_features_target", LAB_FEAT + f"""
+SELECT reading_id, quality, {", ".join(c if c in ("high_risk_count", "drinking_safety_score") else f"round({c}, 6) AS {c}" for c in MODEL_FEATURES)}
+FROM feat""")
+def p01_features_target(spark, sf_dir):
+    """The 35 model inputs (3 sensors + 32 engineered) and the target."""
+    df = labelled(spark, sf_dir).transform(engineer_features)
+    ints = ("high_risk_count", "drinking_safety_score")
+    return df.select("reading_id", "quality",
+                     *[F.col(c) if c in ints else r(c).alias(c) for c in MODEL_FEATURES])
