@@ -1,7 +1,8 @@
 """The 32 engineered features (F1-F32) as built-in column expressions.
 
-All features are row-local with fixed constants, so the whole stage is a
-single shuffle-free projection, identical in batch and streaming.  Features
+All features are row-local with fixed constants, so the whole stage is
+shuffle-free (three staged projections in one pipeline), identical in batch
+and streaming.  Features
 are defined for valid readings; invalid rows are routed out first
 (``operators.validate``).
 """
