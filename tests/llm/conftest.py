@@ -1,0 +1,23 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from llm_rows import SCHEMA, frame, odd_rows  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return frame(spark, odd_rows()).cache()
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def no_labels(spark):
+    return spark.createDataFrame([], "doc_id long, quality int, toxic int")
