@@ -2,11 +2,11 @@
 
 Each document gets exact rule statistics.  A forest of random split trees is
 grown on a fixed-size random subsample per tree (the method's own subsampling;
-256 rows a tree), drawn by seeded hash from all documents that pass the base
+128 rows a tree), drawn by seeded hash from all documents that pass the base
 rules.  The path length of every document gives its anomaly score, and the
-score threshold is calibrated on all labelled rows: the cut of the largest
-share of bad rows caught among those that reject at most ``max_loss`` of the
-good rows.
+score threshold is calibrated on all labelled rows: among the cuts that reject
+at most ``max_loss`` of the good rows, the one with the largest share of bad
+rows caught less the share of good rows lost.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from ._common import checkpointed, flat, slices, sums, text_hash, texts, whitesp
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PCT = 30
-TREES, SUBSAMPLE, SEED = 100, 256, 42
+TREES, SUBSAMPLE, SEED = 100, 128, 42
 MAX_LOSS = 0.01
 BINS = 2000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
-FEATURES = ("repeat", "symbols", "marks", "upper", "word_length", "dup_lines")
+# What the base rules don't judge themselves.
+FEATURES = ("symbols", "marks", "upper", "word_length")
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -103,9 +104,8 @@ def rule_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _features(df: DataFrame) -> DataFrame:
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    share = {"repeat": F.col("n_repeat_words") / words, "symbols": F.col("n_symbols") / chars,
-             "marks": F.col("n_marks") / words, "upper": F.col("n_upper") / chars,
-             "word_length": F.log(F.col("word_chars") / words + 1), "dup_lines": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))}
+    share = {"symbols": F.col("n_symbols") / chars, "marks": F.col("n_marks") / words, "upper": F.col("n_upper") / chars,
+             "word_length": F.log(F.col("word_chars") / words + 1)}
     return df.select("*", *[share[f].alias(f"f_{f}") for f in FEATURES])
 
 
@@ -200,22 +200,24 @@ def _scored(df: DataFrame, labels: DataFrame | None, id_col: str, text_col: str,
 
 
 def _threshold(scored: DataFrame, labels: DataFrame | None, id_col: str, label_col: str, max_loss: float) -> float:
-    """The lowest cut at which at most ``max_loss`` of the good labelled rows
-    lie above; without good labels nothing is rejected by the score."""
+    """The cut with the largest share of bad rows above less that of good rows,
+    among those with at most ``max_loss`` of the good rows above (of equal
+    cuts the highest); without good and bad labels nothing is rejected by the score."""
     if labels is None:
         return 1.0
     known = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
              .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("y")))
     bins = (scored.filter("not base_failed").join(known, "_id")
             .groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"))
-            .agg(F.sum(F.when(F.col("y") >= 1, 1).otherwise(0)).alias("good")).collect())
-    good = np.zeros(BINS + 1)
+            .agg(F.count_if(F.col("y") >= 1).alias("good"), F.count_if(F.col("y") < 1).alias("bad")).collect())
+    n = np.zeros((2, BINS + 1))
     for r in bins:
-        good[r["bin"]] += r["good"]
-    if not good.sum():
+        n[:, r["bin"]] += r["good"], r["bad"]
+    if not n.sum(axis=1).all():
         return 1.0
-    above = good.sum() - np.cumsum(good)           # good rows in higher bins
-    return float((int(np.argmax(above <= max_loss * good.sum())) + 1) / BINS)
+    good, bad = 1 - np.cumsum(n, axis=1) / n.sum(axis=1, keepdims=True)     # shares in higher bins
+    gain = np.where(good <= max_loss, bad - good, -1.0)
+    return float((BINS + 1 - int(np.argmax(gain[::-1]))) / BINS)
 
 
 def isolation_rules(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -226,8 +228,8 @@ def isolation_rules(df: DataFrame, labels: DataFrame | None = None, id_col: str
 
     Null text: all counts 0, base rule failed.  Null ids: scored like others,
     never matched to a label.  Repeated rows each give a row; of labels that
-    disagree the worse counts.  No labels (or none good): only the base rules
-    reject.  No document that passes the base rules, or an empty table:
+    disagree the worse counts.  Labels without both classes: only the base
+    rules reject.  No document that passes the base rules, or an empty table:
     nothing is kept.  Other columns are not read.
     """
     s = _scored(df, labels, id_col, text_col, label_col, max_loss, trees, subsample, seed)

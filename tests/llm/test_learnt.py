@@ -26,7 +26,7 @@ def test_isolation_rules_keep_good_and_drop_bad(spark):
     rows = labelled(spark, queries.op3_quality_rules(spark, SF))
     good = [r["kept"] for r in rows if r["quality"] == 1 and not r["base_failed"]]
     bad = [r["kept"] for r in rows if r["quality"] == 0]
-    assert sum(good) / len(good) >= 0.985 and sum(bad) / len(bad) <= 0.25
+    assert sum(good) / len(good) >= 0.985 and sum(bad) / len(bad) <= 0.1
     assert not any(r["kept"] and r["base_failed"] for r in rows)
 
 
