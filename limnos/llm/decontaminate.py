@@ -5,11 +5,12 @@ is broadcast, and every training passage is run against every piece.  Impacts
 are BM25 weights divided by the item's own score, so a passage that holds all
 of an item's words scores 1.  A passage is a window of twice the piece's
 longest item, moved by half its length, so every item lies whole in some
-passage.  Three bounds cut work and no results: the sum of the passage's term
-maxima, then the block maxima, both inside WAND's pivot walk; all items with a
-score of ``threshold`` or more are retrieved and then verified: five-word
-shingles of the question and of the answer must both be covered by ``overlap``
-or more.
+passage.  Bounds cut work and no results: first the passage's rare terms at
+their maxima plus the most that common terms can give any item, then the block
+maxima of all its terms, then WAND's pivot walk over the postings.  All items
+with a score of ``threshold`` or more are retrieved and then verified:
+five-word shingles of the question and of the answer must both be covered by
+``overlap`` or more.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 from ._common import slices
 
 K1, B = 1.2, 0.75
-THRESHOLD = 0.5        # of an item's own BM25 score
+THRESHOLD = 0.6        # of an item's own BM25 score
 OVERLAP = 0.8
 SHINGLE = 5
-BLOCK = 8              # items of a block in the index
+BLOCK = 2              # items of a block in the index
 PIECE_WORDS = 200_000  # words of the items of a broadcast piece, about
 MIN_WINDOW = 64
+COMMON = 0.05          # share of a piece's items from which a term counts as common
 
 _SPLIT = bytes((32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c) for c in range(256))
 
@@ -61,7 +63,7 @@ class Index:
     """BM25 impacts of a piece of items: postings by term, term and block maxima."""
 
     def __init__(self, items: list[tuple], block: int = BLOCK):
-        self.items = [(i, q, a) for i, q, a in items if q or a]
+        self.items = sorted(((i, q, a) for i, q, a in items if q or a), key=lambda x: len(x[1]) + len(x[2]))  # alike in a block
         tokens = [q + a if a is not q else q for _, q, a in self.items]
         n = len(self.items)
         self.longest = max(map(len, tokens), default=0)
@@ -79,6 +81,17 @@ class Index:
         self.block = block
         self.top = np.array([max(x for _, x in p) for p in self.postings] + [0.0])
         self.block_top = [self._maxima(p) for p in self.postings]
+        self.n_blocks = -(-n // block)
+        self.off = np.cumsum([0, *map(len, self.block_top)])
+        self.blocks = np.array([b for m in self.block_top for b in m], dtype=np.int64)
+        self.maxima = np.array([x for m in self.block_top for x in m.values()])
+        common = np.array([len(p) > COMMON * n for p in self.postings] + [True])
+        self.rare_top = np.where(common, 0.0, self.top)
+        mass = np.zeros(n)
+        for p, often in zip(self.postings, common):
+            for i, x in p if often else ():
+                mass[i] += x
+        self.common_mass = float(mass.max(initial=0.0))     # the most that common terms give an item
         self.wanted = [(shingles(q), shingles(a)) for _, q, a in self.items]
 
     def _maxima(self, postings):
@@ -121,6 +134,12 @@ class Index:
                 self._advance(cur, p, item)
         return out
 
+    def _block_bound(self, terms: np.ndarray) -> float:
+        """The best block's sum of the terms' maxima: no item scores above it."""
+        n = self.off[terms + 1] - self.off[terms]
+        at = np.arange(n.sum()) + np.repeat(self.off[terms] - np.cumsum(n) + n, n)
+        return float(np.bincount(self.blocks[at], self.maxima[at], self.n_blocks).max())
+
     def _advance(self, cur, n, to):
         for c in cur[:n]:
             post = self.postings[c[2]]
@@ -140,19 +159,16 @@ class Index:
         step = window // 2
         starts = np.arange(0, max(1, len(w) - step), step)
         ends = np.minimum(starts + window, len(w))
-        total = np.concatenate(([0.0], np.cumsum(self.top[ids])))
+        total = np.concatenate(([0.0], np.cumsum(self.rare_top[ids])))
         best: dict[int, tuple] = {}
-        for k in np.flatnonzero(total[ends] - total[starts] >= threshold - 1e-6).tolist():
+        for k in np.flatnonzero(total[ends] - total[starts] + self.common_mass >= threshold - 1e-6).tolist():
             lo, hi = int(starts[k]), int(ends[k])
             terms = np.unique(ids[lo:hi])
             terms = terms[terms >= 0]
-            if self.top[terms].sum() < threshold - 1e-6:
+            if not len(terms) or self._block_bound(terms) < threshold - 1e-6:
                 continue
+            sets: dict[int, set] = {}
             found = self.search(terms.tolist(), threshold)
-            if not found:
-                continue
-            have = shingles(w[lo:hi])
-            sets = {SHINGLE: have}
             for item, score in found:
                 q, a = (self._covered(s, w[lo:hi], sets) for s in self.wanted[item])
                 if q >= overlap and a >= overlap and (item not in best or (q + a, score) > best[item][:2]):
