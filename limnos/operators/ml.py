@@ -29,7 +29,7 @@ def _split_counts(n: int, test: float, val: float) -> Tuple[int, int]:
 
 
 def kth_keys(df: DataFrame, label: str, key: str, order: str,
-             ranks: Dict[Tuple[object, str], Tuple[object, int]]) -> Dict[Tuple[object, str], Tuple[float, int]]:
+             ranks: Dict[Tuple[object, str], Tuple[object, int]]) -> Dict[Tuple[object, str], Tuple[int, int]]:
     """Exact k-th smallest composite key (order, key) per class: the order
     value by bounded order statistics, then the key among rows tied on it.
     The tie bookkeeping for all targets is one aggregation; only targets
@@ -66,12 +66,13 @@ def stratified_split(df: DataFrame, label: str = "quality", key: str = "reading_
     round(rest * val / (1 - test)) to ``val``, the rest to ``train``.  Class
     counts are exact (not Bernoulli like ``randomSplit``), the result is
     stable under repartitioning, and no class is ever sorted in one task:
-    the two cut points per class come from ``order_statistics``.  ``test or
-    default`` semantics of the reference: pass 0 to get the default.
+    the two cut points per class come from ``order_statistics``.  A ``test``
+    of 0 or None means the default; a ``val`` of None means the default and
+    0 means no validation rows.
     """
     test = test or 0.2
     val = val if val is not None else 0.2
-    h = df.withColumn("_h", row_hash(key, seed).cast("double"))
+    h = df.withColumn("_h", row_hash(key, seed))
     # the bisection passes read only (label, key, hash): keep that narrow
     # projection for them (lost blocks recompute from lineage), then drop it
     narrow = h.select(label, key, "_h").persist(StorageLevel.MEMORY_AND_DISK)
@@ -88,11 +89,11 @@ def stratified_split(df: DataFrame, label: str = "quality", key: str = "reading_
         keys = kth_keys(narrow, label, key, "_h", ranks) if ranks else {}
     finally:
         narrow.unpersist()
-    rows = [(g, *keys.get((g, "test"), (-1.0, -1)), *keys.get((g, "val"), (-1.0, -1)))
+    rows = [(g, *keys.get((g, "test"), (-1, -1)), *keys.get((g, "val"), (-1, -1)))
             for g in counts]
     # one row per class: bounded, broadcast
     th = df.sparkSession.createDataFrame(
-        rows, f"{label} {dict(df.dtypes)[label]}, _t_h double, _t_k long, _v_h double, _v_k long")
+        rows, f"{label} {dict(df.dtypes)[label]}, _t_h long, _t_k long, _v_h long, _v_k long")
 
     def le(hc: Column, kc: Column) -> Column:
         return (F.col("_h") < hc) | ((F.col("_h") == hc) & (F.col(key) <= kc))

@@ -84,6 +84,3 @@ def feature_frame(df: DataFrame) -> DataFrame:
     """Readings + the 32 engineered features (35 model inputs)."""
     from ..functions.features import engineer_features
     return engineer_features(df)
-
-
-_unused = F

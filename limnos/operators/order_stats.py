@@ -7,31 +7,45 @@ Each pass narrows every target's value interval to one bucket's [min, max],
 so it strictly shrinks; a target is done when its bucket holds one distinct
 value.  A hot value holding a third of the rows costs nothing extra: it
 lands in one bucket whose min == max.
+
+Integers are compared as integers (exact over the whole bigint range), other
+values as doubles; infinities are ranked at the two ends.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import Dict, Hashable, List, Tuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 2048
-MAX_PASSES = 200
+MAX_PASSES = 200  # a pass cuts an interval by BUCKETS: 2^64 values need 6, doubles of all scales about 100
 
 
 def order_statistics(df: DataFrame, value: str, targets: Dict[Hashable, Tuple[object, int]],
                      group: str | None = None, buckets: int = BUCKETS) -> Dict[Hashable, float]:
     """``targets``: id -> (group value or None, 0-based rank).  Returns
-    id -> value.  NULL / NaN values are ignored."""
+    id -> value (an int for integer columns).  NULL / NaN values are ignored;
+    groups without values have no result.  Raises if a rank is out of range
+    or the search does not end."""
     spark = df.sparkSession
-    x = F.col(value).cast("double")
+    whole = isinstance(df.schema[value].dataType, T.IntegralType)
+    x = F.col(value).cast("decimal(20,0)" if whole else "double")
     base = df.select(*([F.col(group).alias("_g")] if group else [F.lit(0).alias("_g")]),
-                     x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+                     x.alias("_x")).where(F.col("_x").isNotNull() & (F.lit(True) if whole else ~F.isnan("_x")))
     groups = sorted({g for g, _ in targets.values()}, key=repr)
-    init = (base.groupBy("_g").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    inf = F.lit(float("inf"))
+    low, high = ((F.lit(0),) * 2 if whole else (F.count_if(F.col("_x") == -inf), F.count_if(F.col("_x") == inf)))
+    finite = F.col("_x") if whole else F.when(F.abs("_x") < inf, F.col("_x"))
+    init = (base.groupBy("_g").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), low.alias("low"),
+                                   high.alias("high"), F.count(F.lit(1)).alias("n"))
             .where(F.col("_g").isin([0 if g is None else g for g in groups])).collect())
-    rng = {r["_g"]: (r["lo"], r["hi"]) for r in init}
+    rng = {r["_g"]: r for r in init}
+    kind = "decimal(20,0)" if whole else "double"
+    number = int if whole else float
     # state per target: (group, rank, lo, hi, below)
     state = {}
     result: Dict[Hashable, float] = {}
@@ -39,8 +53,13 @@ def order_statistics(df: DataFrame, value: str, targets: Dict[Hashable, Tuple[ob
         key = 0 if g is None else g
         if key not in rng:
             continue
-        lo, hi = rng[key]
-        state[tid] = (key, int(rank), lo, hi, 0)
+        r, rank = rng[key], int(rank)
+        if not 0 <= rank < r["n"]:
+            raise ValueError(f"rank {rank} out of range for target {tid!r}")
+        if rank < r["low"] or rank >= r["n"] - r["high"]:
+            result[tid] = -float("inf") if rank < r["low"] else float("inf")
+        else:
+            state[tid] = (key, rank - r["low"], number(r["lo"]), number(r["hi"]), 0)
     for _ in range(MAX_PASSES):
         open_t = {t: s for t, s in state.items() if t not in result}
         for t, (g, r, lo, hi, below) in list(open_t.items()):
@@ -51,14 +70,15 @@ def order_statistics(df: DataFrame, value: str, targets: Dict[Hashable, Tuple[ob
             break
         tids = list(open_t)
         tdf = spark.createDataFrame(
-            [(i, open_t[t][0], float(open_t[t][2]), float(open_t[t][3])) for i, t in enumerate(tids)],
-            f"_t int, _g {dict(base.dtypes)['_g']}, _lo double, _hi double")
+            [(i, open_t[t][0], *map(Decimal if whole else float, open_t[t][2:4])) for i, t in enumerate(tids)],
+            f"_t int, _g {dict(base.dtypes)['_g']}, _lo {kind}, _hi {kind}")
+        # integers: whole buckets; doubles: halves of the span, which may itself exceed the largest double
+        place = (F.call_function("div", F.col("_x") - F.col("_lo"), F.call_function("div", F.col("_hi") - F.col("_lo"), F.lit(buckets)) + 1)
+                 if whole else F.floor((F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * buckets))
         # targets are a handful of rows (bounded by groups x ranks): broadcast
         hist = (base.join(F.broadcast(tdf), "_g")
                 .where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
-                .withColumn("_b", F.least(
-                    F.floor((F.col("_x") - F.col("_lo")) * (buckets / (F.col("_hi") - F.col("_lo")))),
-                    F.lit(buckets - 1)))
+                .withColumn("_b", F.least(place, F.lit(buckets - 1)))
                 .groupBy("_t", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("mn"),
                                          F.max("_x").alias("mx"))
                 .collect())
@@ -70,11 +90,13 @@ def order_statistics(df: DataFrame, value: str, targets: Dict[Hashable, Tuple[ob
             acc = below
             for row in sorted(by_t.get(i, []), key=lambda z: z["_b"]):
                 if acc + row["n"] > r:
-                    state[t] = (g, r, row["mn"], row["mx"], acc)
+                    state[t] = (g, r, number(row["mn"]), number(row["mx"]), acc)
                     break
                 acc += row["n"]
             else:
                 raise ValueError(f"rank {r} out of range for target {t!r}")
+    else:
+        raise RuntimeError(f"order statistics of {value} did not end in {MAX_PASSES} passes")
     return result
 
 
@@ -110,5 +132,5 @@ def quantiles(df: DataFrame, value: str, probs, group: str | None = None,
             lo = int(pos // 1)
             hi = min(lo + 1, n - 1)
             a, b = vals[(g, lo)], vals[(g, hi)]
-            out[(g, q)] = a + (b - a) * (pos - lo)
+            out[(g, q)] = a if a == b else a + (b - a) * (pos - lo)
     return out

@@ -23,7 +23,6 @@ x_new = x + lambda (nn - x).
 
 from __future__ import annotations
 
-import math
 from typing import Dict, List, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -145,14 +144,14 @@ def smote(df: DataFrame, k: int = 5, label: str = "quality", key: str = "reading
     nn = nearest_neighbors(df, k, label, key, feats, classes=minority)
     nn_arr = nn.groupBy("pid").agg(  # <= k rows per point: bounded group
         F.array_sort(F.collect_list(F.struct("rank", *[f"nn_{f}" for f in feats]))).alias("_nn"))
-    base = df.where(F.col(label).isin(minority)).withColumn("_h", row_hash(key, seed).cast("double"))
+    base = df.where(F.col(label).isin(minority)).withColumn("_h", row_hash(key, seed))
     ranks = {c: (c, plan[c][2] - 1) for c in minority if plan[c][2] > 0}
     cut = kth_keys(base, label, key, "_h", ranks) if ranks else {}
     spark = df.sparkSession
     lab_type = dict(df.dtypes)[label]
     pl = spark.createDataFrame(
-        [(c, plan[c][1], *(cut.get(c, (-1.0, -1)))) for c in minority],
-        f"{label} {lab_type}, _q long, _cut_h double, _cut_k long")
+        [(c, plan[c][1], *(cut.get(c, (-1, -1)))) for c in minority],
+        f"{label} {lab_type}, _q long, _cut_h long, _cut_k long")
     extra = ((F.col("_h") < F.col("_cut_h"))
              | ((F.col("_h") == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_k"))))
     copies = (base.join(F.broadcast(pl), label)
@@ -170,6 +169,3 @@ def smote(df: DataFrame, k: int = 5, label: str = "quality", key: str = "reading
                 for f in feats]
     synthetic = syn.select("source_id", F.col("copy").cast("int").alias("copy"), label, *new_vals)
     return originals.unionByName(synthetic)
-
-
-_unused = math

@@ -5,14 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import pct, pystr, text
+from ..functions import pct, text
 from ..functions.arrays import certainty
 from ..functions.confidence import (clear_case, grade_agreement, parameter_consistency,
                                     standards_class, synergy)
 from ..functions.grades import ph_grade_fine, rule_class, tds_grade_fine, turbidity_grade_fine
 from ..functions.indices import wqi_simple
 from ..operators import profile
-from ..operators.score import analysis_record, enhance, prediction_record, rule_model, score
+from ..operators.score import analysis_record, prediction_record, rule_model, score
 from ..operators.validate import with_row_index
 from ..sources.readings import readings
 from . import query
@@ -24,72 +24,92 @@ from .sql import (G_PH, G_TDS, G_TU, LABEL_CASE, READINGS, READINGS_LINEITEM, VA
 # -- oracle restatement of the chain ----------------------------------------
 G_TDS_OF_TURB = G_TDS.replace("tds", "turbidity")
 
-CHAIN_SELECT = f"""
-  {G_PH} AS g_ph, {G_TDS} AS g_tds, {G_TU} AS g_tu,
-  (g_ph + g_tds + g_tu) / 3e0 AS w,
-  exp(-2e0 * abs(w - 0)) AS e0_, exp(-2e0 * abs(w - 1)) AS e1_,
-  exp(-2e0 * abs(w - 2)) AS e2_, exp(-2e0 * abs(w - 3)) AS e3_,
-  e0_ + e1_ + e2_ + e3_ AS esum,
-  e0_ / esum AS p0, e1_ / esum AS p1, e2_ / esum AS p2, e3_ / esum AS p3,
-  greatest(p0, p1, p2, p3) AS base_confidence,
-  CAST(CASE WHEN p0 = base_confidence THEN 0 WHEN p1 = base_confidence THEN 1
-            WHEN p2 = base_confidence THEN 2 ELSE 3 END AS INTEGER) AS model_class,
-  CAST(round((g_ph + g_tds + g_tu) / 3e0) AS INTEGER) AS rule_class,
-  abs((g_ph + {G_TDS_OF_TURB} + g_tu) / 3e0 - model_class) AS _gap,
-  greatest(0e0, CASE WHEN _gap < 0.5e0 THEN least(1e0, (1 - _gap / 3e0) + 0.2e0)
-                     ELSE 1 - _gap / 3e0 END) AS consistency,
-  abs(rule_class - model_class) <= 1 AS _near,
-  base_confidence + consistency > 0 AND consistency > base_confidence * 1.5e0 AS _rule_wins,
-  CASE WHEN _near THEN
-         CASE WHEN rule_class = model_class
-              THEN least(0.95e0, least(0.95e0, base_confidence + (0.15e0 + consistency * 0.25e0)) + 0.1e0)
-              ELSE least(0.95e0, base_confidence + (0.15e0 + consistency * 0.25e0)) END
-       WHEN base_confidence + consistency > 0 THEN
-         CASE WHEN consistency > base_confidence * 1.5e0 THEN least(0.85e0, 0.6e0 + consistency * 0.25e0)
-              ELSE least(0.75e0, base_confidence + 0.1e0) END
-       ELSE base_confidence END AS standards_confidence,
-  CAST(CASE WHEN _near THEN model_class WHEN _rule_wins THEN rule_class ELSE model_class END
-       AS INTEGER) AS quality_class,
+# One step a CTE, each materialised: nothing is expanded into later steps.
+CHAIN_STEPS = [
+    ("grades", f"""{G_PH} AS g_ph,
+  {G_TDS} AS g_tds,
+  {G_TU} AS g_tu,
   CASE WHEN ph BETWEEN 7.0 AND 7.5 THEN 4e0 WHEN ph BETWEEN 6.8 AND 7.8 THEN 3.5e0
        WHEN ph BETWEEN 6.5 AND 8.5 THEN 3e0 WHEN ph BETWEEN 6.0 AND 9.0 THEN 2e0
        WHEN ph BETWEEN 5.5 AND 9.5 THEN 1e0 ELSE 0e0 END AS f_ph,
   CASE WHEN tds <= 150 THEN 4e0 WHEN tds <= 300 THEN 3.5e0 WHEN tds <= 500 THEN 3e0
        WHEN tds <= 800 THEN 2e0 WHEN tds <= 1200 THEN 1e0 ELSE 0e0 END AS f_tds,
   CASE WHEN turbidity <= 0.5 THEN 4e0 WHEN turbidity <= 1.0 THEN 3.5e0 WHEN turbidity <= 3.0 THEN 3e0
-       WHEN turbidity <= 8.0 THEN 2e0 WHEN turbidity <= 15.0 THEN 1e0 ELSE 0e0 END AS f_tu,
+       WHEN turbidity <= 8.0 THEN 2e0 WHEN turbidity <= 15.0 THEN 1e0 ELSE 0e0 END AS f_tu"""),
+    ("averages", f"""(g_ph + g_tds + g_tu) / 3e0 AS w,
+  CAST(round((g_ph + g_tds + g_tu) / 3e0) AS INTEGER) AS rule_class,
   (f_ph + f_tds + f_tu) / 3e0 AS f_avg,
-  sqrt(((f_ph - f_avg) * (f_ph - f_avg) + (f_tds - f_avg) * (f_tds - f_avg)
-        + (f_tu - f_avg) * (f_tu - f_avg)) / 3e0) AS f_sd,
-  CASE WHEN f_sd < 0.5e0 THEN least(1e0, greatest(0e0, 1 - f_sd / 2e0) + 0.2e0)
-       ELSE greatest(0e0, 1 - f_sd / 2e0) END AS agreement,
   greatest(0e0, least(3e0, ((3 - f_ph / 4e0 * 3) + (3 - f_tds / 4e0 * 3) + (3 - f_tu / 4e0 * 3)) / 3e0))
     AS standards_class,
   least(1e0, CASE WHEN f_ph >= 3 AND f_tds >= 3 THEN 0.4e0 WHEN f_ph <= 1 AND f_tds <= 1 THEN 0.3e0 ELSE 0e0 END
            + CASE WHEN f_tds >= 3 AND f_tu >= 3 THEN 0.4e0 WHEN f_tds <= 1 AND f_tu <= 1 THEN 0.3e0 ELSE 0e0 END
-           + CASE WHEN f_ph >= 3 AND f_tu >= 3 THEN 0.2e0 ELSE 0e0 END) AS synergy,
+           + CASE WHEN f_ph >= 3 AND f_tu >= 3 THEN 0.2e0 ELSE 0e0 END) AS synergy"""),
+    ("distances", f"""exp(-2e0 * abs(w - 0)) AS e0_,
+  exp(-2e0 * abs(w - 1)) AS e1_,
+  exp(-2e0 * abs(w - 2)) AS e2_,
+  exp(-2e0 * abs(w - 3)) AS e3_,
+  sqrt(((f_ph - f_avg) * (f_ph - f_avg) + (f_tds - f_avg) * (f_tds - f_avg)
+        + (f_tu - f_avg) * (f_tu - f_avg)) / 3e0) AS f_sd"""),
+    ("weights", f"""e0_ + e1_ + e2_ + e3_ AS esum,
+  CASE WHEN f_sd < 0.5e0 THEN least(1e0, greatest(0e0, 1 - f_sd / 2e0) + 0.2e0)
+       ELSE greatest(0e0, 1 - f_sd / 2e0) END AS agreement"""),
+    ("probabilities", f"""e0_ / esum AS p0,
+  e1_ / esum AS p1,
+  e2_ / esum AS p2,
+  e3_ / esum AS p3"""),
+    ("certainty", f"""greatest(p0, p1, p2, p3) AS base_confidence,
   least(1e0, (list_sort([p0, p1, p2, p3], 'DESC')[1] - list_sort([p0, p1, p2, p3], 'DESC')[2]) * 2)
-    AS certainty,
+    AS certainty"""),
+    ("model", f"""CAST(CASE WHEN p0 = base_confidence THEN 0 WHEN p1 = base_confidence THEN 1
+            WHEN p2 = base_confidence THEN 2 ELSE 3 END AS INTEGER) AS model_class"""),
+    ("gaps", f"""abs((g_ph + {G_TDS_OF_TURB} + g_tu) / 3e0 - model_class) AS _gap,
+  abs(rule_class - model_class) <= 1 AS _near,
   (tds <= 200 AND turbidity <= 1 AND ph BETWEEN 7.0 AND 7.5 AND model_class = 3)
     OR ((tds >= 1200 OR turbidity >= 15 OR ph <= 5.5 OR ph >= 9.5) AND model_class = 0)
-    OR (tds >= 1000 AND turbidity >= 8 AND model_class <= 1) AS clear_case,
+    OR (tds >= 1000 AND turbidity >= 8 AND model_class <= 1) AS clear_case"""),
+    ("consistency", f"""greatest(0e0, CASE WHEN _gap < 0.5e0 THEN least(1e0, (1 - _gap / 3e0) + 0.2e0)
+                     ELSE 1 - _gap / 3e0 END) AS consistency"""),
+    ("standards", f"""base_confidence + consistency > 0 AND consistency > base_confidence * 1.5e0 AS _rule_wins,
+  CASE WHEN _near THEN
+         CASE WHEN rule_class = model_class
+              THEN least(0.95e0, least(0.95e0, base_confidence + (0.15e0 + consistency * 0.25e0)) + 0.1e0)
+              ELSE least(0.95e0, base_confidence + (0.15e0 + consistency * 0.25e0)) END
+       WHEN base_confidence + consistency > 0 THEN
+         CASE WHEN consistency > base_confidence * 1.5e0 THEN least(0.85e0, 0.6e0 + consistency * 0.25e0)
+              ELSE least(0.75e0, base_confidence + 0.1e0) END
+       ELSE base_confidence END AS standards_confidence"""),
+    ("boost", f"""CAST(CASE WHEN _near THEN model_class WHEN _rule_wins THEN rule_class ELSE model_class END
+       AS INTEGER) AS quality_class,
   least(0.98e0, standards_confidence
     * (CASE WHEN f_avg >= 3.5e0 THEN 1.35e0 WHEN f_avg >= 2.5e0 THEN 1.25e0 ELSE 1e0 END)
     * (CASE WHEN agreement > 0.8e0 THEN 1.2e0 ELSE 1e0 END)
     * (CASE WHEN abs(standards_class - model_class) <= 0.5e0 THEN 1.15e0 ELSE 1e0 END)
     * (CASE WHEN synergy > 0.7e0 THEN 1.1e0 ELSE 1e0 END)
     * (CASE WHEN certainty > 0.6e0 THEN 1 + (certainty - 0.6e0) * 0.3e0 ELSE 1e0 END)
-    * (CASE WHEN clear_case THEN 1.12e0 ELSE 1e0 END)) AS confidence,
-  {LABEL_CASE.format(c='quality_class')} AS quality_label,
+    * (CASE WHEN clear_case THEN 1.12e0 ELSE 1e0 END)) AS confidence"""),
+    ("final", f"""{LABEL_CASE.format(c='quality_class')} AS quality_label,
   confidence > base_confidence AS enhancement_applied,
   CASE WHEN confidence < 0.45e0 THEN 'Low confidence prediction. Consider additional testing.'
        WHEN quality_class = 3 THEN 'Excellent water quality. Safe for consumption.'
        WHEN quality_class = 2 THEN 'Good water quality. Generally safe for consumption.'
        WHEN quality_class = 1 THEN 'Acceptable water quality. Monitor regularly and consider treatment.'
-       ELSE 'Poor water quality. Treatment required before consumption.' END AS recommendation
-"""
+       ELSE 'Poor water quality. Treatment required before consumption.' END AS recommendation"""),
+]
+
+
+def chain_ctes(source: str, name: str = "chain", more: str = "") -> str:
+    """The chain over ``source`` as chained CTEs that end in ``name``;
+    ``more`` are further columns of the last one."""
+    ctes, at = [], source
+    for step, columns in CHAIN_STEPS:
+        ctes.append(f"{name}_{step} AS MATERIALIZED (SELECT *, {columns} FROM {at})")
+        at = f"{name}_{step}"
+    ctes.append(f"{name} AS MATERIALIZED (SELECT *{more} FROM {at})")
+    return ",\n".join(ctes)
 
-CHAIN = with_(READINGS, VALID, f"chain AS (SELECT *, {CHAIN_SELECT} FROM valid)")
-CHAIN_ALL = with_(READINGS, f"chain AS (SELECT *, {CHAIN_SELECT} FROM readings)")
+
+CHAIN = with_(READINGS, VALID, chain_ctes("valid"))
+CHAIN_ALL = with_(READINGS, chain_ctes("readings"))
 
 
 def pct_sql(x: str, digits: int) -> str:
@@ -316,7 +336,7 @@ def c15_prompt_text(spark, sf_dir):
                                                     "recommendation").alias("prompt"))
 
 
-@query("c13_analysis_record", with_(READINGS, f"chain AS (SELECT *, {CHAIN_SELECT} FROM readings)") + f"""
+@query("c13_analysis_record", with_(READINGS, chain_ctes("readings")) + f"""
 , v AS (SELECT *, concat_ws('; ',
     CASE WHEN ph < 4.0 OR ph > 12.0 THEN 'pH ' || CAST(ph AS VARCHAR) || ' is outside realistic range (4.0-12.0)' END,
     CASE WHEN tds < 0 OR tds > 5000 THEN 'TDS ' || CAST(tds AS VARCHAR) || ' mg/L is outside realistic range (0-5000)' END,
@@ -403,7 +423,7 @@ def m07_quality_report(spark, sf_dir):
                       r("avg_ph", 4).alias("avg_ph"), "low_confidence")
 
 
-CHAIN_LINEITEM = with_(READINGS_LINEITEM, VALID, f"chain AS (SELECT *, {CHAIN_SELECT} FROM valid)")
+CHAIN_LINEITEM = with_(READINGS_LINEITEM, VALID, chain_ctes("valid"))
 
 
 @query("m07_quality_report_lineitem", CHAIN_LINEITEM + """
@@ -421,6 +441,3 @@ def m07_quality_report_lineitem(spark, sf_dir):
     return agg.select("quality_label", "n", r("mean_confidence").alias("mean_confidence"),
                       r("avg_tds", 4).alias("avg_tds"), r("avg_turbidity", 4).alias("avg_turbidity"),
                       r("avg_ph", 4).alias("avg_ph"))
-
-
-_unused = (pystr, enhance)

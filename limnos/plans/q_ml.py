@@ -6,23 +6,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import log_probs, softmax
-from ..functions.features import ENGINEERED_FEATURES, MODEL_FEATURES, engineer_features
+from ..functions.features import MODEL_FEATURES, engineer_features
 from ..operators import calibrate as C
 from ..operators import evaluate as EV
 from ..operators import ml
 from ..operators import model as MD
-from ..operators.score import label_readings, rule_model, score
+from ..operators.score import rule_model, score
 from ..operators.standards import agency_compliance
 from ..session import scratch_path
 from ..sources.samples import sample_n
 from . import query
 from .common import labelled, r, valid
-from .q_confidence import CHAIN_SELECT
+from .q_confidence import chain_ctes
 from .q_features import FEATURE_SQL
-from .sql import LABELLED, READINGS, READINGS_LINEITEM, VALID, GRADED, with_
+from .sql import HASH_SQL, LABELLED, READINGS, READINGS_LINEITEM, VALID, GRADED, with_
 
 BASE3 = ["tds", "turbidity", "ph"]
-HASH_SQL = "((reading_id % 2147483647) * 48271 + 42) % 2147483647"
 
 
 def split_sql(src: str, test: float = 0.2, val: float = 0.2) -> str:
@@ -121,22 +120,21 @@ def m25_transform_new_readings(spark, sf_dir):
     return scaler.transform(new).select("reading_id", *[r(c).alias(c) for c in BASE3])
 
 
+# Fixed values, written out here so that the library's own table is checked:
+# pH ranges and upper limits of tds and turbidity, from excellent to acceptable.
+_LIMITS = {
+    "who": (((7.0, 7.5), (6.5, 8.5), (6.0, 9.0)), (300, 600, 900), (1, 4, 10)),
+    "epa": (((6.8, 7.2), (6.5, 8.5), (6.0, 9.0)), (500, 1000, 1500), (1, 5, 15)),
+    "canada": (((7.0, 8.0), (6.5, 8.5), (6.0, 9.0)), (200, 500, 1000), (2, 8, 20)),
+}
+
+
 def _band_case(agency: str) -> str:
-    from ..schema import AGENCY_STANDARDS
-    a = AGENCY_STANDARDS[agency]
-    ph = a["ph"]
-    return f"""CASE WHEN parameter = 'ph' THEN
-      CASE WHEN value BETWEEN {ph['excellent'][0]} AND {ph['excellent'][1]} THEN 'excellent'
-           WHEN value BETWEEN {ph['good'][0]} AND {ph['good'][1]} THEN 'good'
-           WHEN value BETWEEN {ph['acceptable'][0]} AND {ph['acceptable'][1]} THEN 'acceptable'
-           ELSE 'poor' END
-    WHEN parameter = 'tds' THEN
-      CASE WHEN value <= {a['tds']['excellent']} THEN 'excellent' WHEN value <= {a['tds']['good']} THEN 'good'
-           WHEN value <= {a['tds']['acceptable']} THEN 'acceptable' ELSE 'poor' END
-    ELSE
-      CASE WHEN value <= {a['turbidity']['excellent']} THEN 'excellent'
-           WHEN value <= {a['turbidity']['good']} THEN 'good'
-           WHEN value <= {a['turbidity']['acceptable']} THEN 'acceptable' ELSE 'poor' END END"""
+    grades = ("excellent", "good", "acceptable")
+    ph, tds, turbidity = _LIMITS[agency]
+    case = lambda conds: "CASE " + " ".join(f"WHEN {c} THEN '{g}'" for c, g in zip(conds, grades)) + " ELSE 'poor' END"
+    return (f"CASE parameter WHEN 'ph' THEN {case(f'value BETWEEN {lo} AND {hi}' for lo, hi in ph)} "
+            f"WHEN 'tds' THEN {case(f'value <= {x}' for x in tds)} ELSE {case(f'value <= {x}' for x in turbidity)} END")
 
 
 @query("j05_agency_compliance", with_(READINGS, VALID) + """
@@ -153,11 +151,11 @@ def j05_agency_compliance(spark, sf_dir):
 
 
 # -- scored calibration data: rule-model probabilities + C2 labels --------
-CAL = with_(READINGS, VALID, f"""chain AS (SELECT *, {CHAIN_SELECT},
+CAL = with_(READINGS, VALID, chain_ctes("valid", more=""",
     CASE WHEN 0.4e0 * g_ph + 0.3e0 * g_tds + 0.3e0 * g_tu >= 2.5e0 THEN 3
          WHEN 0.4e0 * g_ph + 0.3e0 * g_tds + 0.3e0 * g_tu >= 1.5e0 THEN 2
-         WHEN 0.4e0 * g_ph + 0.3e0 * g_tds + 0.3e0 * g_tu >= 0.5e0 THEN 1 ELSE 0 END AS quality
-  FROM valid)""", """cal AS (SELECT *,
+         WHEN 0.4e0 * g_ph + 0.3e0 * g_tds + 0.3e0 * g_tu >= 0.5e0 THEN 1 ELSE 0 END AS quality"""),
+            """cal AS MATERIALIZED (SELECT *,
     ln(least(greatest(p0, 1e-15), 1 - 1e-15)) AS z0, ln(least(greatest(p1, 1e-15), 1 - 1e-15)) AS z1,
     ln(least(greatest(p2, 1e-15), 1 - 1e-15)) AS z2, ln(least(greatest(p3, 1e-15), 1 - 1e-15)) AS z3
   FROM chain)""")
@@ -444,9 +442,6 @@ def m07_model_quality_report(spark, sf_dir):
                                           F.avg("confidence").alias("mean_confidence"))
 
 
-_unused = (label_readings, ENGINEERED_FEATURES)
-
-
 # -- SMOTE (M9, J2, J6, A12) ----------------------------------------------
 
 SMOTE_BASE = LAB + """

@@ -10,7 +10,7 @@ from ..sources.samples import sample_n
 from . import query
 from .common import labelled, r
 from .q_confidence import CHAIN, scored
-from .sql import BASE, READINGS, with_
+from .sql import BASE, HASH_SQL, READINGS, with_
 
 SENS = ["tds", "turbidity", "ph"]
 
@@ -67,6 +67,17 @@ def a07_hist_by_quality(spark, sf_dir):
                      "quality_label")
 
 
+def _register_hist(column: str) -> None:
+    @query(f"a07_hist_by_quality_{column}", BASE + _hist_sql("labelled", column, "quality_label", 30))
+    def histogram(spark, sf_dir):
+        return _hist_out(profile.histogram_by_class(labelled(spark, sf_dir), column, "quality_label", 30), "quality_label")
+    histogram.__doc__ = f"A7: 30-bin {column} histogram per class over each class's own range."
+
+
+_register_hist("turbidity")
+_register_hist("ph")
+
+
 @query("a08_hist_confidence", CHAIN + _hist_sql("chain", "confidence", "quality_label", 20))
 def a08_hist_confidence(spark, sf_dir):
     """Exactly 20 confidence bins per predicted class."""
@@ -107,17 +118,15 @@ def a18_session_report(spark, sf_dir):
     return session_report(scored(spark, sf_dir))
 
 
-@query("a20_pairplot_sample", BASE + """
-SELECT reading_id, tds, turbidity, ph, quality_label FROM labelled
-ORDER BY ((reading_id % 2147483647) * 48271 + 42) % 2147483647, reading_id LIMIT 500""")
-def a20_pairplot_sample(spark, sf_dir):
-    """Pair-plot input (sensors + label), seeded 500-row sample."""
-    return profile.pairplot_input(labelled(spark, sf_dir), 500)
+@query("a20_pairplot_input", BASE + "SELECT reading_id, tds, turbidity, ph, quality_label FROM labelled")
+def a20_pairplot_input(spark, sf_dir):
+    """Pair-plot input (sensors + label) of every reading."""
+    return profile.pairplot_input(labelled(spark, sf_dir))
 
 
 @query("s11_sample_n", BASE + """
 SELECT reading_id, tds, turbidity, ph, quality FROM labelled
-ORDER BY ((reading_id % 2147483647) * 48271 + 42) % 2147483647, reading_id LIMIT 2000""")
+ORDER BY """ + HASH_SQL + """, reading_id LIMIT 2000""")
 def s11_sample_n(spark, sf_dir):
     """Exactly 2,000 rows without replacement, seed 42 (a sampling
     operator: the limit is the feature)."""

@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..streaming import monitor as M
 from . import query
 from .common import r
@@ -74,6 +72,3 @@ def t04_stream_sessions(spark, sf_dir):
     stream = M.sessions(M.scored_stream(M.events_stream(spark, sf_dir)))
     out = M.run_append(spark, stream, "t04")
     return _report_out(out, ["sensor_id", "session_start", "session_end"])
-
-
-_unused = F

@@ -47,6 +47,17 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def hash_sql(key: str = "reading_id", seed: int = 42) -> str:
+    """The library's seeded row hash for non-negative integer keys."""
+    m = 2147483647
+    first = f"(({key} % {m}) * {pow(48271, 2 * seed + 1, m)} + {seed % m}) % {m}"
+    high = f"((({first}) * ({first}) + {key} // {m}) % {m})"
+    low = f"(({high} * {pow(69621, 2 * seed + 3, m)} + ({first})) % {m})"
+    return f"({high} * 2147483648 + {low})"
+
+
+HASH_SQL = hash_sql()
+
 BASE = with_(READINGS, VALID, GRADED, LABELLED)
 
 

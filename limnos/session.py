@@ -30,6 +30,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", driver_memory))
+    if str(cpus).isdigit():
+        b = b.config("limnos.input.partitions", str(cpus))  # the test tables are single row groups
     for k, v in _LOCAL_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -59,16 +59,10 @@ def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 ADAPTERS = {"events": events_readings, "lineitem": lineitem_readings}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin rebalance only when the scan yields fewer splits than the
-    cluster has cores (e.g. a single Parquet row group feeds one task); on
-    large inputs, which have many splits, this is a no-op and adds no
-    shuffle.  Only planning is needed to count the splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def readings(spark: SparkSession, sf_dir: str, source: str = "events") -> DataFrame:
-    return spread(ADAPTERS[source](spark, sf_dir))
+    """Readings of a source table.  A session whose files have too few splits
+    for its cores may set ``limnos.input.partitions`` to deal rows out anew
+    (local runs on one row group do); unset, the scan's splits stay."""
+    df = ADAPTERS[source](spark, sf_dir)
+    parts = spark.conf.get("limnos.input.partitions", None)
+    return df.repartition(int(parts)) if parts else df

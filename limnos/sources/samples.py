@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 
 from ..schema import READING
 
-# A prime modulus and multiplier for the arithmetic row hash (MINSTD).  The
-# hash is a deterministic function of the key, so it is stable under any
-# repartitioning, and any SQL engine can evaluate it.
+# Prime modulus and multipliers of the arithmetic row hash.  It is a function
+# of the key and the seed, so it is stable under any repartitioning, and any
+# SQL engine can evaluate it.
 HASH_MOD = 2147483647
-HASH_MUL = 48271
+HASH_MUL = (48271, 69621)
 
 
 def row_hash(key, seed: int = 42) -> Column:
-    """Deterministic pseudo-random order key in [0, 2^31 - 1) for a
-    non-negative integer key; ties are broken by the key itself."""
-    k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.pmod(k, F.lit(HASH_MOD)) * HASH_MUL + seed, F.lit(HASH_MOD))
+    """Seeded pseudo-random order key of 62 bits (long) for a non-negative
+    integer key; ties are broken by the key itself.  The seed picks the
+    multipliers of two rounds with a square between them, so orders of
+    different seeds are unrelated."""
+    k = (F.col(key) if isinstance(key, str) else key).cast("long")
+    m1, m2 = pow(HASH_MUL[0], 2 * seed + 1, HASH_MOD), pow(HASH_MUL[1], 2 * seed + 3, HASH_MOD)
+    mod = F.lit(HASH_MOD).cast("long")
+    first = F.pmod(F.pmod(k, mod) * m1 + seed % HASH_MOD, mod)
+    high = F.pmod(first * first + F.call_function("div", k, mod), mod)
+    low = F.pmod(high * m2 + first, mod)
+    return high * F.lit(2147483648).cast("long") + low
 
 
 def readings_frame(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:

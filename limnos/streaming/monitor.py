@@ -8,7 +8,7 @@ alerts (T3) keep late rows.
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,10 +102,11 @@ def session_report(scored: DataFrame, low: float = LOW_CONFIDENCE) -> DataFrame:
 # -- running a stream to completion (file source, availableNow) -------------
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings as a stream over the ``events`` parquet (the deploy form
-    swaps the file source for Kafka; the operators do not change)."""
-    raw = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
-           .parquet(sf_dir))
+    """Readings as a stream over the ``events`` parquet, one file or a folder
+    of part files (the deploy form swaps the file source for Kafka; the
+    operators do not change)."""
+    # a pattern, because the file source takes a plain path for a folder
+    raw = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parque[t]")
     return events_to_readings(raw)
 
 
@@ -127,8 +128,11 @@ def run_update(spark: SparkSession, stream: DataFrame, keys: Sequence[str], name
     result, including windows still open at the end of the input."""
     out = scratch_path(spark, "stream", name, "out")
 
+    wrote = []
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
+        wrote.append(batch_id)
+        (batch.write.mode("overwrite")
          .parquet(f"{out}/_batch={batch_id}"))
 
     q = (stream.writeStream.outputMode("update").foreachBatch(sink)
@@ -136,14 +140,11 @@ def run_update(spark: SparkSession, stream: DataFrame, keys: Sequence[str], name
          .trigger(availableNow=True).start())
     q.awaitTermination()
     cols = stream.columns
-    try:
-        written = spark.read.parquet(f"{out}/_batch=*")
-    except Exception:  # noqa: BLE001 - no batch produced output
+    if not wrote:
         return spark.createDataFrame([], stream.schema)
+    written = spark.read.option("basePath", out).parquet(*[f"{out}/_batch={i}" for i in sorted(set(wrote))])
     latest = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
     # one row per key per batch: partitioned by key, never one task
     return (written.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1")
             .select(*cols))
 
-
-QueryBuilder = Callable[[DataFrame], DataFrame]

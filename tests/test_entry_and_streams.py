@@ -66,6 +66,3 @@ def test_oracle_spot_checks(spark, name):
                             for v in rec) for rec in df[cols].astype(object).itertuples(index=False))
 
     assert key(sdf) == key(odf)
-
-
-_unused = F

@@ -176,3 +176,34 @@ def test_describe_matches_pandas(spark):
         for ours, theirs in (("mean", "mean"), ("std", "std"), ("min", "min"), ("p25", "25%"),
                              ("p50", "50%"), ("p75", "75%"), ("max", "max")):
             assert d[c][ours] == pytest.approx(ref.loc[theirs, c], rel=1e-9)
+
+
+def test_order_statistics_are_exact_on_big_integers_and_infinities(spark):
+    big = [2 ** 53 + i for i in range(12)] + [-2 ** 63, 2 ** 63 - 1]
+    df = spark.createDataFrame([(x,) for x in big], "x long")
+    got = order_statistics(df, "x", {i: (None, i) for i in range(len(big))})
+    assert [got[i] for i in range(len(big))] == sorted(big)
+    inf = float("inf")
+    xs = [inf, -inf, 1.0, 2.5, float("nan"), None, 1e308, -1e308, 5e-324, inf]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    want = sorted(x for x in xs if x is not None and x == x)
+    got = order_statistics(df, "x", {i: (None, i) for i in range(len(want))})
+    assert [got[i] for i in range(len(want))] == want
+    with pytest.raises(ValueError):
+        order_statistics(df, "x", {0: (None, len(want))})
+
+
+def test_seeds_give_unrelated_samples(spark):
+    from limnos.sources.samples import sample_n
+    df = spark.range(100_000).withColumnRenamed("id", "reading_id")
+    a, b = ({r[0] for r in sample_n(df, 2000, seed=s).collect()} for s in (42, 43))
+    assert len(a) == 2000 and len(a & b) < 100
+
+
+def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
+    from limnos.streaming import monitor
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for d in (str(tmp_path), "/root/testdata/sf0.001"):
+        out = monitor.run_append(spark, monitor.events_stream(spark, d).select("reading_id"), "parts")
+        assert out.count() == events.count()
