@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, texts
+from ._common import first_by_hash, slices, texts
 
 TEXT_BUCKETS = 1 << 16
 META_BUCKETS = 1 << 12
@@ -205,8 +205,8 @@ def co_train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .groupBy(F.col(id_col).alias("_id")).agg(F.min((F.col(label_col) >= 1).cast("int")).alias("_y")))
     order = F.xxhash64(F.lit(seed), "_id")
     part = F.pmod(F.xxhash64(F.lit(seed + 1), "_id"), F.lit(3))
-    fit = known.filter(part > 0).orderBy(order, "_id").limit(max_fit)               # bounded, so it may be broadcast
-    hold = known.filter(part == 0).orderBy(order, "_id").limit(max_calibrate)
+    fit = first_by_hash(known.filter(part > 0), order, max_fit, "_id")               # bounded, so it may be broadcast
+    hold = first_by_hash(known.filter(part == 0), order, max_calibrate, "_id")
     base = _gather(rows.join(F.broadcast(fit), "_id"), _label_counts)
     if not base[1][0].sum() or not base[1][1].sum():
         return None

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, flat, slices, sums, text_hash, texts, whitespace, word_counts
+from ._common import checkpointed, first_by_hash, flat, slices, sums, text_hash, texts, whitespace, word_counts
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -186,12 +186,12 @@ def _scored(df: DataFrame, labels: DataFrame | None, id_col: str, text_col: str,
             max_loss: float, trees: int, subsample: int, seed: int) -> DataFrame:
     stats = checkpointed(rule_statistics(df, id_col, text_col))
     feats = _features(stats)
-    sample = (feats.filter("not base_failed").select(F.xxhash64(F.lit(seed), "_id", "_h").alias("o"),
-                                                     *[f"f_{f}" for f in FEATURES])
-              .orderBy("o", *[f"f_{f}" for f in FEATURES]).limit(trees * subsample).collect())
+    cols = [f"f_{f}" for f in FEATURES]
+    sample = first_by_hash(feats.filter("not base_failed").select("_id", "_h", *cols), F.xxhash64(F.lit(seed), "_id", "_h"),
+                           trees * subsample, *cols).select(*cols).collect()
     if not sample:
         return feats.select("_id", "_h", *STATS, "base_failed", F.lit(0.0).alias("anomaly"), F.lit(False).alias("kept"))
-    forest = grow_forest(np.array([r[1:] for r in sample], dtype=float), trees, subsample, seed)
+    forest = grow_forest(np.array(sample, dtype=float), trees, subsample, seed)
     kinds = [f.simpleString() for f in stats.schema.fields]
     scored = checkpointed(feats.mapInArrow(_score_batches(forest),
                                            ", ".join(k.replace(":", " ", 1) for k in kinds) + ", anomaly double"))
