@@ -179,7 +179,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                                             f"_id {kind}, _h long, _key string, _line int"))
     seen = suspects.groupBy("_key").agg(F.count(F.lit(1)).alias("n"),
                                         F.min(F.struct(F.col("_id").isNull(), "_id", "_h")).alias("first"))
-    repeats = seen.filter(F.col("n") >= min_docs)
+    repeats = checkpointed(seen.filter(F.col("n") >= min_docs))   # apart from the count, so that a hot key's join can be split
     drops = suspects.join(repeats, "_key")
     if keep_first:
         drops = drops.filter(~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_h") == F.col("first._h"))))
