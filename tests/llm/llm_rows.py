@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -21,3 +23,18 @@ def odd_rows():
     rows += [(10 + i, " ".join(word() for _ in range(rng.randint(1, 90))), rng.choice(["en", "fr", "de"]),
               rng.choice(["a", "b", "c", "d", "\U0001F600"]), 3) for i in range(60)]
     return rows
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return frame(spark, odd_rows()).cache()
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def no_labels(spark):
+    return spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from llm_rows import frame, odd_rows
+from llm_rows import empty, frame, no_labels, odd, odd_rows  # noqa: F401
 from limnos.llm import decontaminate, licenses, line_dedup, mixing, queries, quality_rules, secret_scan, sharding, simhash
 
 SF = "/root/testdata/sf0.01"

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from llm_rows import frame
+from llm_rows import empty, frame, no_labels, odd  # noqa: F401
 from limnos.llm import language_id, quality_classifier, quality_rules, queries
 
 SF = "/root/testdata/sf0.1"
