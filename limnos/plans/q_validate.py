@@ -65,7 +65,7 @@ def p03_validate_all(spark, sf_dir):
 SELECT reading_id, tds, turbidity, ph FROM readings
 WHERE tds BETWEEN 0 AND 5000 AND turbidity BETWEEN 0 AND 100 AND ph BETWEEN 4 AND 12""")
 def p04_bounds_filter(spark, sf_dir):
-    """Service-edge bounds as a filter (pushed into the scan plan)."""
+    """Service-edge bounds as a filter on the computed readings."""
     return readings(spark, sf_dir).transform(V.bounds_filter).select(
         "reading_id", "tds", "turbidity", "ph")
 
