@@ -1,17 +1,21 @@
 """SMOTE oversampling (M9) with exact within-class k-nearest neighbours
 (J2) and the union of original and synthetic rows (J6).
 
-Nearest neighbours (Euclidean on the raw sensors, ties by id) use a
-multi-level grid instead of all pairs of a class: each still-unresolved
-point probes the 3 x 3 x 3 block of cells around its own cell.  Any point
-outside the block is farther than one cell side ``s``, so once a point's
-k-th candidate is within ``s`` its k neighbours are exact; otherwise it is
-retried on a grid with twice the cell side.  The first cell side is 2^3
-times finer than each class's average density suggests (about 2(k+1)
-points per cell), so points in dense regions resolve with short candidate
-lists and sparse ones climb a few levels; a point whose class has at most
-k other rows is resolved when it has seen them all.  Every level's leftovers are checkpointed to the shared
-folder (lineage cut, executor-loss safe).
+Neighbours are Euclidean on the raw sensors, ties by id.  Rows of a class
+with equal sensors are one point that carries its k + 1 smallest ids, so
+any number of identical readings costs one point.  Points are searched on a
+multi-level grid instead of all pairs of a class: each unresolved point
+probes the 3 x 3 x 3 block of cells around its own.  Any point outside the
+block is farther than one cell side ``s``, so once the k-th neighbour is
+within ``s`` the list is exact; otherwise the point is retried on a grid with
+twice the cell side.  A block that spans its class's whole range has seen
+every point, so the levels end by log2(range / first side) + 2.  The first
+side of a class is the coarsest tried at which a point meets about
+``CELL_POINTS`` points in its own cell (counted, so dense regions decide).
+A point's candidates are cut to its nearest k + 1 before they are shuffled.
+Each level's lists are checkpointed to the shared folder (lineage cut,
+executor-loss safe).  Rows with a NULL, NaN or infinite sensor have no
+neighbours and are nobody's neighbour.
 
 Synthesis is deterministic: every class below the majority size gets
 ``need = n_max - n_c`` new rows; each base row makes ``need // n_c`` copies,
@@ -23,9 +27,12 @@ x_new = x + lambda (nn - x).
 
 from __future__ import annotations
 
-from typing import Dict, List, Sequence
+import math
+from functools import reduce
+from itertools import product
+from typing import List, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -33,17 +40,126 @@ from ..sources.samples import HASH_MOD, row_hash
 from .ml import kth_keys
 
 FEATURES = ["tds", "turbidity", "ph"]
-MAX_LEVELS = 60
-# the first grid is 2^START_SHRINK times finer than the class-average
-# density suggests, so dense regions resolve with short candidate lists
-START_SHRINK = 3
+CELL_POINTS = 4.0
+# sides tried for the first grid, as powers of two of the class-average one
+FIRST_SIDES = range(-10, 1, 2)
 
 
-def _class_stats(df: DataFrame, label: str, feats: Sequence[str]) -> Dict:
+def _side(spans: Sequence[float], n: int) -> float:
+    """Cube side that holds about CELL_POINTS of ``n`` points spread evenly
+    over ``spans``; axes shorter than the side do not split."""
+    lo, hi = 0.0, max(max(spans), 1e-9)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        share = 1.0
+        for sp in spans:
+            share *= min(1.0, mid / sp) if sp > 0 else 1.0
+        lo, hi = (mid, hi) if n * share < CELL_POINTS else (lo, mid)
+    return max(hi, 1e-9)
+
+
+def _cells(feats: Sequence[str], side: Column) -> List[Column]:
+    return [F.floor((F.col(f) - F.col(f"_lo_{f}")) / side).alias(f"_g{i}") for i, f in enumerate(feats)]
+
+
+def _points(df: DataFrame, k: int, label: str, key: str, feats: Sequence[str], classes) -> DataFrame:
+    """One row per class and distinct sensors: the k + 1 smallest ids."""
+    finite = [F.abs(F.col(f).cast("double")) < float("inf") for f in feats]
+    rows = df.where(reduce(lambda a, b: a & b, finite))
+    if classes is not None:
+        rows = rows.where(F.col(label).isin(list(classes)))
+    rows = rows.select(F.col(key).alias("_id"), F.col(label).alias("_c"),
+                       *[F.col(f).cast("double").alias(f) for f in feats])
+    # the rank limit is applied before the shuffle too: a hot point sends k + 1 rows a task
+    first = Window.partitionBy("_c", *feats).orderBy("_id")
+    return (rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
+            .groupBy("_c", *feats).agg(F.array_sort(F.collect_list("_id")).alias("_ids"))
+            .withColumn("_rep", F.col("_ids")[0]))
+
+
+def _first_sides(pts: DataFrame, feats: Sequence[str]) -> DataFrame:
+    """One row per class: lower corner, ranges and the first cell side."""
+    spark = pts.sparkSession
     aggs = [F.count(F.lit(1)).alias("n")]
     for f in feats:
         aggs += [F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}")]
-    return {r[label]: r.asDict() for r in df.groupBy(label).agg(*aggs).collect()}
+    stats = pts.groupBy("_c").agg(*aggs).collect()  # one row per class
+    lab_type = dict(pts.dtypes)["_c"]
+    rows = [(r["_c"], _side([r[f"hi_{f}"] - r[f"lo_{f}"] for f in feats], r["n"]),
+             *[r[f"lo_{f}"] for f in feats], *[r[f"hi_{f}"] for f in feats]) for r in stats]
+    dims = spark.createDataFrame(
+        rows, f"_c {lab_type}, _s double, " + ", ".join(f"_lo_{f} double" for f in feats) + ", "
+        + ", ".join(f"_hi_{f} double" for f in feats))
+    tried = (pts.join(F.broadcast(dims), "_c")
+             .select("_c", "_s", *feats, *[f"_lo_{f}" for f in feats],
+                     F.explode(F.array(*[F.lit(p) for p in FIRST_SIDES])).alias("_p"))
+             .select("_c", "_p", *_cells(feats, F.col("_s") * F.pow(F.lit(2.0), F.col("_p"))))
+             .groupBy("_c", "_p", *[f"_g{i}" for i in range(len(feats))]).agg(F.count(F.lit(1)).alias("_n"))
+             .groupBy("_c", "_p").agg((F.sum(F.col("_n").cast("double") * F.col("_n")) / F.sum("_n")).alias("_met"))
+             .groupBy("_c").agg(F.coalesce(F.max(F.when(F.col("_met") <= 2 * CELL_POINTS, F.col("_p"))),
+                                           F.lit(min(FIRST_SIDES))).alias("_p")))
+    chosen = {r["_c"]: r["_p"] for r in tried.collect()}
+    rows = [(r[0], r[1] * 2.0 ** chosen[r[0]], *r[2:]) for r in rows]
+    return spark.createDataFrame(rows, dims.schema)
+
+
+def neighbor_lists(df: DataFrame, k: int, label: str, key: str, feats: Sequence[str], classes=None) -> DataFrame:
+    """One row per class ``_c`` and distinct sensors: ``_nn``, the k + 1
+    nearest rows of the class (d2, id, sensors) in order, its own rows among
+    them (at d2 = 0)."""
+    checkpoint_dir(df.sparkSession)
+    pts = _points(df, k, label, key, feats, classes).checkpoint(eager=True)
+    dims = _first_sides(pts, feats)
+    # one row per class: bounded, broadcast
+    pts = pts.join(F.broadcast(dims), "_c")
+    grid = [f"_g{i}" for i in range(len(feats))]
+    around = F.array(*[F.array(*[F.lit(o) for o in off]) for off in product((-1, 0, 1), repeat=len(feats))])
+    spans = [r for r in dims.collect()]
+    levels = max((math.ceil(math.log2(max(max(r[f"_hi_{f}"] - r[f"_lo_{f}"] for f in feats) / r["_s"], 1.0)))
+                  for r in spans), default=0) + 2
+    found: List[DataFrame] = []
+    waiting = None
+    for level in range(levels):
+        side = F.col("_s") * float(2.0 ** level)
+        cells = pts.select("_c", "_rep", "_ids", *feats, side.alias("_side"), *_cells(feats, side),
+                           *[F.floor((F.col(f"_hi_{f}") - F.col(f"_lo_{f}")) / side).alias(f"_m{i}")
+                             for i, f in enumerate(feats)])
+        asked = cells if waiting is None else cells.join(waiting, ["_c", "_rep"], "left_semi")
+        whole = reduce(lambda a, b: a & b, [(F.col(g) <= 1) & (F.col(g) >= F.col(f"_m{i}") - 1)
+                                            for i, g in enumerate(grid)])
+        probe = asked.select("_c", F.col("_rep").alias("_pid"), "_side", whole.alias("_whole"),
+                             *[F.col(f).alias(f"_p_{f}") for f in feats], *grid, F.explode(around).alias("_off"))
+        probe = probe.select("_c", "_pid", "_side", "_whole", *[f"_p_{f}" for f in feats],
+                             *[(F.col(g) + F.col("_off")[i]).alias(g) for i, g in enumerate(grid)])
+        build = cells.select("_c", "_rep", "_ids", *feats, *grid)
+        d2 = reduce(lambda a, b: a + b, [(F.col(f"_p_{f}") - F.col(f)) * (F.col(f"_p_{f}") - F.col(f)) for f in feats])
+        near = Window.partitionBy("_c", "_pid").orderBy("_d2", "_rep")
+        # k + 1 nearest points hold the k + 1 nearest rows; the limit runs before the shuffle too
+        top = (probe.join(build, ["_c", *grid]).withColumn("_d2", d2)
+               .withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k + 1))
+        row = F.transform("_ids", lambda i: F.struct(F.col("_d2").alias("d2"), i.alias("id"), *feats))
+        lists = (top.groupBy("_c", "_pid", "_side", "_whole", *[f"_p_{f}" for f in feats])
+                 .agg(F.slice(F.array_sort(F.flatten(F.collect_list(row))), 1, k + 1).alias("_nn")))
+        done = F.col("_whole") | ((F.size("_nn") > k)
+                                  & (F.element_at("_nn", -1)["d2"] <= F.col("_side") * F.col("_side")))
+        lists = lists.withColumn("_done", done).checkpoint(eager=True)
+        found.append(lists.where("_done").select("_c", *[F.col(f"_p_{f}").alias(f) for f in feats], "_nn"))
+        waiting = lists.where(~F.col("_done")).select("_c", F.col("_pid").alias("_rep"))
+        if waiting.isEmpty():
+            break
+    else:
+        raise RuntimeError("a grid of the classes' whole range left points unresolved")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _with_neighbors(rows: DataFrame, lists: DataFrame, k: int, label: str, key: str,
+                    feats: Sequence[str]) -> DataFrame:
+    """``rows`` with their own k neighbours as the array ``_nn`` (NULL where
+    a row has no point)."""
+    theirs = lists.select(F.col("_c").alias(label), *feats, F.col("_nn").alias("_all"))
+    on = [label, *feats]
+    out = rows.withColumns({f: F.col(f).cast("double") for f in feats}).join(theirs, on, "left")
+    return out.withColumn("_nn", F.slice(F.filter("_all", lambda x: x["id"] != F.col(key)), 1, k)).drop("_all")
 
 
 def nearest_neighbors(df: DataFrame, k: int = 5, label: str = "quality", key: str = "reading_id",
@@ -53,79 +169,14 @@ def nearest_neighbors(df: DataFrame, k: int = 5, label: str = "quality", key: st
     Returns (pid, label, rank 1..k, nid, d2, neighbour features) with
     ``nid`` != ``pid``; classes with fewer than k + 1 rows return all
     their other rows."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    pts = df.select(F.col(key).alias("_id"), F.col(label).alias("_c"),
-                    *[F.col(f).cast("double").alias(f) for f in feats])
+    lists = neighbor_lists(df, k, label, key, feats, classes)
+    rows = df.select(key, label, *feats)
     if classes is not None:
-        pts = pts.where(F.col("_c").isin(list(classes)))
-    stats = _class_stats(pts.withColumnRenamed("_c", label), label, feats)
-    params = []
-    for c, st in stats.items():
-        spans = [max(st[f"hi_{f}"] - st[f"lo_{f}"], 0.0) for f in feats]
-        vol = 1.0
-        for sp in spans:
-            vol *= max(sp, 1e-9)
-        side = (vol * 2 * (k + 1) / max(st["n"], 1)) ** (1.0 / len(feats))
-        side = max(side, 1e-9)
-        params.append((c, st["n"], side, *[st[f"lo_{f}"] for f in feats]))
-    lab_type = dict(df.dtypes)[label]
-    pdf = spark.createDataFrame(
-        params, f"_c {lab_type}, _n long, _s0 double, " + ", ".join(f"_lo_{f} double" for f in feats))
-    # one row per class: bounded, broadcast; the class points are
-    # materialised once (reliable checkpoint) and reused by every level
-    pts = pts.join(F.broadcast(pdf), "_c").checkpoint(eager=True)
-    unresolved = pts.select("_id", "_c")
-    found: List[DataFrame] = []
-    offsets = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    for level in range(MAX_LEVELS):
-        side = F.col("_s0") * float(2.0 ** (level - START_SHRINK))
-        cells = pts.select("_id", "_c", "_n", side.alias("_side"), *feats,
-                           *[F.floor((F.col(f) - F.col(f"_lo_{f}")) / side).alias(f"_g{i}")
-                             for i, f in enumerate(feats)])
-        probe = (cells.join(unresolved, ["_id", "_c"], "left_semi")
-                 .select(F.col("_id").alias("pid"), "_c", "_n", "_side",
-                         *[F.col(f).alias(f"p_{f}") for f in feats],
-                         F.explode(F.array(*[F.array(*[F.lit(o) for o in off]) for off in offsets]))
-                         .alias("_off"),
-                         *[F.col(f"_g{i}") for i in range(len(feats))]))
-        probe = probe.select("pid", "_c", "_n", "_side", *[f"p_{f}" for f in feats],
-                             *[(F.col(f"_g{i}") + F.col("_off")[i]).alias(f"_g{i}")
-                               for i in range(len(feats))])
-        build = cells.select(F.col("_id").alias("nid"), "_c", *[F.col(f).alias(f"n_{f}") for f in feats],
-                             *[f"_g{i}" for i in range(len(feats))])
-        cand = probe.join(build, ["_c", *[f"_g{i}" for i in range(len(feats))]]).where(
-            F.col("pid") != F.col("nid"))
-        d2 = None
-        for f in feats:
-            t = (F.col(f"p_{f}") - F.col(f"n_{f}")) * (F.col(f"p_{f}") - F.col(f"n_{f}"))
-            d2 = t if d2 is None else d2 + t
-        cand = cand.withColumn("d2", d2)
-        # all windows share the pid partitioning: one exchange per level
-        per_point = Window.partitionBy("pid")
-        top = (cand.withColumn("rank", F.row_number().over(per_point.orderBy("d2", "nid")))
-               .withColumn("_cnt", F.count(F.lit(1)).over(per_point))
-               .where(F.col("rank") <= k)
-               .withColumn("_kd2", F.max("d2").over(per_point)))
-        ok = (((F.col("_cnt") >= k) & (F.col("_kd2") <= F.col("_side") * F.col("_side")))
-              | (F.col("_cnt") >= F.col("_n") - 1))
-        res = top.where(ok).select(
-            "pid", F.col("_c").alias(label), "rank", "nid", "d2",
-            *[F.col(f"n_{f}").alias(f"nn_{f}") for f in feats]).checkpoint(eager=True)
-        found.append(res)
-        # singletons (n = 1) have no neighbours at all: never retried
-        unresolved = (unresolved.join(res.where(F.col("rank") == 1).select(F.col("pid").alias("_id")),
-                                      "_id", "left_anti")
-                      .join(F.broadcast(pdf.where(F.col("_n") > 1).select("_c")), "_c", "left_semi")
-                      .checkpoint(eager=True))
-        if unresolved.isEmpty():
-            break
-    else:
-        raise RuntimeError("nearest_neighbors did not converge")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        rows = rows.where(F.col(label).isin(list(classes)))
+    near = _with_neighbors(rows, lists, k, label, key, feats)
+    return (near.select(F.col(key).alias("pid"), label, F.posexplode("_nn").alias("_i", "_x"))
+            .select("pid", label, (F.col("_i") + 1).alias("rank"), F.col("_x.id").alias("nid"),
+                    F.col("_x.d2").alias("d2"), *[F.col(f"_x.{f}").alias(f"nn_{f}") for f in feats]))
 
 
 def smote(df: DataFrame, k: int = 5, label: str = "quality", key: str = "reading_id",
@@ -141,9 +192,7 @@ def smote(df: DataFrame, k: int = 5, label: str = "quality", key: str = "reading
                           F.col(label).alias(label), *feats)
     if not minority:
         return originals
-    nn = nearest_neighbors(df, k, label, key, feats, classes=minority)
-    nn_arr = nn.groupBy("pid").agg(  # <= k rows per point: bounded group
-        F.array_sort(F.collect_list(F.struct("rank", *[f"nn_{f}" for f in feats]))).alias("_nn"))
+    lists = neighbor_lists(df, k, label, key, feats, classes=minority)
     base = df.where(F.col(label).isin(minority)).withColumn("_h", row_hash(key, seed))
     ranks = {c: (c, plan[c][2] - 1) for c in minority if plan[c][2] > 0}
     cut = kth_keys(base, label, key, "_h", ranks) if ranks else {}
@@ -154,18 +203,17 @@ def smote(df: DataFrame, k: int = 5, label: str = "quality", key: str = "reading
         f"{label} {lab_type}, _q long, _cut_h long, _cut_k long")
     extra = ((F.col("_h") < F.col("_cut_h"))
              | ((F.col("_h") == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_k"))))
-    copies = (base.join(F.broadcast(pl), label)
-              .withColumn("_m", F.col("_q") + extra.cast("long"))
-              .where(F.col("_m") > 0)
-              .select(F.col(key).alias("source_id"), label, *feats,
-                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("copy")))
-    syn = copies.join(nn_arr, copies["source_id"] == nn_arr["pid"], "left").drop("pid")
-    kb = F.coalesce(F.size("_nn"), F.lit(0))
+    chosen_rows = (base.join(F.broadcast(pl), label)
+                   .withColumn("_m", F.col("_q") + extra.cast("long")).where(F.col("_m") > 0))
+    syn = (_with_neighbors(chosen_rows, lists, k, label, key, feats)
+           .select(F.col(key).alias("source_id"), label, *feats, "_nn",
+                   F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("copy")))
+    kb = F.greatest(F.coalesce(F.size("_nn"), F.lit(0)), F.lit(0))
     idm = F.pmod(F.col("source_id"), F.lit(HASH_MOD))
     pick = F.pmod(F.pmod(idm * 48271 + F.col("copy") * 7919, F.lit(HASH_MOD)), F.greatest(kb, F.lit(1)))
     lam = F.pmod(F.pmod(idm * 16807 + F.col("copy") * 104729, F.lit(HASH_MOD)), F.lit(1000)) / 1000.0
     chosen = F.col("_nn")[pick.cast("int")]
-    new_vals = [F.when(kb > 0, F.col(f) + lam * (chosen[f"nn_{f}"] - F.col(f))).otherwise(F.col(f)).alias(f)
+    new_vals = [F.when(kb > 0, F.col(f) + lam * (chosen[f] - F.col(f))).otherwise(F.col(f)).alias(f)
                 for f in feats]
     synthetic = syn.select("source_id", F.col("copy").cast("int").alias("copy"), label, *new_vals)
     return originals.unionByName(synthetic)

@@ -92,6 +92,19 @@ def test_grid_knn_equals_brute_force(spark):
     assert got == _brute_knn(pts, 5)
 
 
+def test_knn_of_many_identical_readings(spark):
+    same = spark.range(100_000).selectExpr("id AS reading_id", "0 AS quality", "300.0D AS tds", "2.0D AS turbidity",
+                                           "7.0D AS ph")
+    odd = spark.createDataFrame([(200_000, 0, 301.0, 2.0, 7.0), (200_001, 0, None, 2.0, 7.0),
+                                 (200_002, 0, float("inf"), 2.0, 7.0), (200_003, 0, float("nan"), 2.0, 7.0)],
+                                "reading_id long, quality int, tds double, turbidity double, ph double")
+    nn = nearest_neighbors(same.unionByName(odd), 5)
+    assert nn.count() == 100_001 * 5
+    near = {r.pid: [x for x in r.n] for r in nn.where("pid IN (2, 50000, 200000)").groupBy("pid")
+            .agg(F.array_sort(F.collect_list("nid")).alias("n")).collect()}
+    assert near == {2: [0, 1, 3, 4, 5], 50_000: [0, 1, 2, 3, 4], 200_000: [0, 1, 2, 3, 4]}
+
+
 def test_smote_balances_classes(spark):
     random.seed(9)
     data = [(i, 0 if i < 300 else 1 if i < 360 else 2, random.uniform(0, 900), random.uniform(0, 20),
