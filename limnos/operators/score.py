@@ -34,6 +34,13 @@ def rule_model(df: DataFrame, sharpness: float = 2.0) -> DataFrame:
     return df.withColumn("probability", rule_probabilities(grade_sum(), sharpness))
 
 
+def disagreeing_model(df: DataFrame, sharpness: float = 0.1) -> DataFrame:
+    """Second stand-in model, unsure and mirrored: it calls good readings bad
+    and bad ones good, so that the standards step meets disagreement of two
+    classes and more, and low confidence occurs."""
+    return df.withColumn("probability", rule_probabilities(9.0 - grade_sum(), sharpness))
+
+
 def enhance(df: DataFrame, probability: str = "probability",
             rec_threshold: float = 0.45) -> DataFrame:
     """E1-E12 + C7 on a frame with readings and a probability row."""

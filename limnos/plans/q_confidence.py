@@ -12,7 +12,7 @@ from ..functions.confidence import (clear_case, grade_agreement, parameter_consi
 from ..functions.grades import ph_grade_fine, rule_class, tds_grade_fine, turbidity_grade_fine
 from ..functions.indices import wqi_simple
 from ..operators import profile
-from ..operators.score import analysis_record, prediction_record, rule_model, score
+from ..operators.score import analysis_record, disagreeing_model, prediction_record, rule_model, score
 from ..operators.validate import with_row_index
 from ..sources.readings import readings
 from . import query
@@ -97,11 +97,20 @@ CHAIN_STEPS = [
 ]
 
 
-def chain_ctes(source: str, name: str = "chain", more: str = "") -> str:
+# The distances of the second stand-in model: mirrored class, low sharpness.
+DISTANCES_DISAGREE = """exp(-0.1e0 * abs((9e0 - (g_ph + g_tds + g_tu)) / 3e0 - 0)) AS e0_,
+  exp(-0.1e0 * abs((9e0 - (g_ph + g_tds + g_tu)) / 3e0 - 1)) AS e1_,
+  exp(-0.1e0 * abs((9e0 - (g_ph + g_tds + g_tu)) / 3e0 - 2)) AS e2_,
+  exp(-0.1e0 * abs((9e0 - (g_ph + g_tds + g_tu)) / 3e0 - 3)) AS e3_,
+  sqrt(((f_ph - f_avg) * (f_ph - f_avg) + (f_tds - f_avg) * (f_tds - f_avg)
+        + (f_tu - f_avg) * (f_tu - f_avg)) / 3e0) AS f_sd"""
+
+
+def chain_ctes(source: str, name: str = "chain", more: str = "", steps=CHAIN_STEPS) -> str:
     """The chain over ``source`` as chained CTEs that end in ``name``;
     ``more`` are further columns of the last one."""
     ctes, at = [], source
-    for step, columns in CHAIN_STEPS:
+    for step, columns in steps:
         ctes.append(f"{name}_{step} AS MATERIALIZED (SELECT *, {columns} FROM {at})")
         at = f"{name}_{step}"
     ctes.append(f"{name} AS MATERIALIZED (SELECT *{more} FROM {at})")
@@ -109,6 +118,8 @@ def chain_ctes(source: str, name: str = "chain", more: str = "") -> str:
 
 
 CHAIN = with_(READINGS, VALID, chain_ctes("valid"))
+CHAIN_DISAGREE = with_(READINGS, VALID, chain_ctes("valid", steps=[
+    (step, DISTANCES_DISAGREE if step == "distances" else columns) for step, columns in CHAIN_STEPS]))
 CHAIN_ALL = with_(READINGS, chain_ctes("readings"))
 
 
@@ -156,6 +167,25 @@ def e04_standards_enhance(spark, sf_dir):
                      "quality_class")
 
 
+@query("e04_standards_enhance_disagreeing", CHAIN_DISAGREE + """
+SELECT reading_id, model_class, rule_class, round(standards_confidence, 6) AS standards_confidence, quality_class
+FROM chain""")
+def e04_standards_enhance_disagreeing(spark, sf_dir):
+    """E4 on the stand-in model that disagrees with the rules: its far
+    branches, the one where the rule class wins among them."""
+    df = score(readings(spark, sf_dir), disagreeing_model)
+    return df.select("reading_id", "model_class", rule_class("tds", "turbidity", "ph").alias("rule_class"),
+                     r("standards_confidence").alias("standards_confidence"), "quality_class")
+
+
+@query("p06_low_confidence_disagreeing", CHAIN_DISAGREE + """
+SELECT reading_id, round(confidence, 6) AS confidence FROM chain WHERE confidence < 0.7e0""")
+def p06_low_confidence_disagreeing(spark, sf_dir):
+    """P6 on the stand-in model that disagrees with the rules."""
+    return score(readings(spark, sf_dir), disagreeing_model).where(F.col("confidence") < 0.7).select(
+        "reading_id", r("confidence").alias("confidence"))
+
+
 @query("e05_booster_components", CHAIN + """
 SELECT reading_id, f_ph AS ph_fine, f_tds AS tds_fine, f_tu AS turbidity_fine,
        round(agreement, 6) AS agreement, round(certainty, 6) AS certainty,

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import profile
 from ..sources.readings import readings
 from ..sources.samples import sample_n
+from ..streaming.monitor import class_report_columns, session_report
 from . import query
 from .common import labelled, r
 from .q_confidence import CHAIN, scored
+from .q_stream import CLASS_COLS_SQL
 from .sql import BASE, HASH_SQL, READINGS, with_
 
 SENS = ["tds", "turbidity", "ph"]
@@ -110,12 +112,14 @@ def a17_confidence_stats(spark, sf_dir):
 @query("a18_session_report", CHAIN + """
 SELECT count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts,
        count_if(quality_label = 'Poor') AS poor_alerts,
-       count_if(confidence < 0.7e0) AS low_confidence FROM chain""")
+       count_if(confidence < 0.7e0) AS low_confidence,
+       """ + CLASS_COLS_SQL + " FROM chain")
 def a18_session_report(spark, sf_dir):
     """Monitoring-session report over all scored readings (the
     windowed twin is the streaming report)."""
-    from ..streaming.monitor import session_report
-    return session_report(scored(spark, sf_dir))
+    s = session_report(scored(spark, sf_dir))
+    by_class = class_report_columns()
+    return s.select(*[c for c in s.columns if c not in by_class], *[r(c).alias(c) for c in by_class])
 
 
 @query("a20_pairplot_input", BASE + "SELECT reading_id, tds, turbidity, ph, quality_label FROM labelled")

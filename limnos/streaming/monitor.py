@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.score import rule_model, score
+from ..schema import QUALITY_LABELS
 from ..session import scratch_path
 from ..sources.readings import events_to_readings
 
@@ -29,6 +30,7 @@ EVENTS_SCHEMA = T.StructType([
 
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 LOW_CONFIDENCE = 0.7
+SENSORS = ("tds", "turbidity", "ph")
 
 
 def event_time(ts: str = "ts") -> Column:
@@ -60,13 +62,29 @@ def alerts(scored: DataFrame, low: float = LOW_CONFIDENCE) -> DataFrame:
         poor.alias("is_poor"), lowc.alias("is_low_confidence"))
 
 
+def class_report_columns() -> list[str]:
+    """Names of the report's columns by class: share of the readings and mean
+    of each sensor, per label."""
+    return [c for label in QUALITY_LABELS.values() for c in
+            (f"share_{label.lower()}", *[f"avg_{s}_{label.lower()}" for s in SENSORS])]
+
+
+def _class_aggs() -> list[Column]:
+    aggs = []
+    for label in QUALITY_LABELS.values():
+        mine = F.col("quality_label") == label
+        aggs.append((F.count_if(mine) / F.count(F.lit(1))).alias(f"share_{label.lower()}"))
+        aggs += [F.avg(F.when(mine, F.col(s))).alias(f"avg_{s}_{label.lower()}") for s in SENSORS]
+    return aggs
+
+
 def _report_aggs(low: float = LOW_CONFIDENCE):
     return [F.count(F.lit(1)).alias("n"),
             F.count_if(F.col("quality_label") == "Poor").alias("poor_alerts"),
             F.count_if(F.col("confidence") < low).alias("low_confidence"),
             F.avg("confidence").alias("mean_confidence"),
             F.avg("tds").alias("avg_tds"), F.avg("turbidity").alias("avg_turbidity"),
-            F.avg("ph").alias("avg_ph")]
+            F.avg("ph").alias("avg_ph"), *_class_aggs()]
 
 
 def window_report(scored: DataFrame, window: str = "1 day", watermark: str = "1 hour",
@@ -92,11 +110,12 @@ def sessions(scored: DataFrame, gap: str = "2 hours", watermark: str = "1 hour",
 
 def session_report(scored: DataFrame, low: float = LOW_CONFIDENCE) -> DataFrame:
     """One aggregation — readings, first / last timestamp (first before
-    last, quirk Q-19), Poor alerts and low-confidence count."""
+    last, quirk Q-19), Poor alerts, low-confidence count, and the share and
+    mean sensors of each class."""
     return scored.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"),
                       F.max("ts").alias("last_ts"),
                       F.count_if(F.col("quality_label") == "Poor").alias("poor_alerts"),
-                      F.count_if(F.col("confidence") < low).alias("low_confidence"))
+                      F.count_if(F.col("confidence") < low).alias("low_confidence"), *_class_aggs())
 
 
 # -- running a stream to completion (file source, availableNow) -------------
@@ -121,6 +140,20 @@ def run_append(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_sessions(spark: SparkSession, readings_stream: DataFrame, readings_batch: DataFrame, name: str,
+                 model=rule_model, by: Sequence[str] = ("sensor_id",), gap: str = "2 hours",
+                 watermark: str = "1 hour") -> DataFrame:
+    """T4 up to the monitor's stop: the sessions that the stream emitted
+    (append mode: once the watermark passes their end), and those still open
+    when the input ends, closed by a final pass over the readings that came
+    after the last emitted session of their key."""
+    emitted = run_append(spark, sessions(scored_stream(readings_stream, model), gap, watermark, by), name)
+    last = emitted.groupBy(*by).agg(F.max("session_end").alias("_end"))
+    rest = (scored_stream(readings_batch, model).join(last, list(by), "left")
+            .where(F.col("_end").isNull() | (F.col("ts") >= F.col("_end"))).drop("_end"))
+    return emitted.unionByName(sessions(rest, gap, watermark, by))
+
+
 def run_update(spark: SparkSession, stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Update-mode stateful query: each micro-batch's changed rows are
     appended with their batch id (``foreachBatch``, idempotent per batch id);

@@ -42,6 +42,22 @@ def test_window_report_stream_equals_batch(spark):
     assert norm(got) == norm(batch)
 
 
+def test_sessions_are_all_reported(spark):
+    got = M.run_sessions(spark, M.events_stream(spark, SF001), events_readings(spark, SF001), "test_t4")
+    batch = M.sessions(M.scored_stream(events_readings(spark, SF001)))
+    cols = ["sensor_id", "session_start", "session_end", "n", "poor_alerts", "share_poor"]
+    assert sorted(got.select(*cols).collect()) == sorted(batch.select(*cols).collect())
+    assert got.agg({"n": "sum"}).collect()[0][0] == M.scored_stream(events_readings(spark, SF001)).count()
+
+
+def test_disagreeing_model_reaches_the_far_branches(spark):
+    rows = E.queries()["e04_standards_enhance_disagreeing"](spark, SF001)
+    far = rows.where("abs(rule_class - model_class) >= 2")
+    assert far.where("quality_class = rule_class").count() > 0
+    assert far.where("quality_class = model_class").count() > 0
+    assert E.queries()["p06_low_confidence_disagreeing"](spark, SF001).count() > 0
+
+
 def test_scored_stream_equals_batch(spark):
     stream = M.run_append(spark, M.scored_stream(M.events_stream(spark, SF001)), "test_t1")
     batch = M.scored_stream(events_readings(spark, SF001))
