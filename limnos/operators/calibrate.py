@@ -1,8 +1,8 @@
 """Probability calibration.
 
-* Temperature scaling is fitted by grid search: one aggregation evaluates
-  the NLL at every grid temperature (one ``sum`` per grid point, no join
-  with the grid), then the grid shrinks around the best point; only the
+* Temperature scaling is fitted by grid search: each reading is exploded over
+  the grid's temperatures and one aggregation sums the NLL by grid point (no
+  join with the grid), then the grid shrinks around the best point; only the
   grid's NLL values (bounded by the grid size) reach the driver.
 * Platt scaling and isotonic regression are Spark ML estimators
   (``LogisticRegression``, ``IsotonicRegression``) on the top probability.
@@ -29,17 +29,6 @@ def with_logits(df: DataFrame, probability: str = "probability", out: str = "log
     return df.withColumn(out, log_probs(probability))
 
 
-def _nll_row(logits: str, label: str, temperature: float) -> Column:
-    """-log(clip(softmax(z / T)[label])) with scalar columns (4 classes)."""
-    x = [F.col(logits)[j] / temperature for j in range(N_CLASSES)]
-    m = F.greatest(*x)
-    e = [F.exp(xj - m) for xj in x]
-    total = e[0] + e[1] + e[2] + e[3]
-    lab = F.col(label)
-    p_y = (F.when(lab == 0, e[0]).when(lab == 1, e[1]).when(lab == 2, e[2]).otherwise(e[3])) / total
-    return -F.log(F.least(F.greatest(p_y, F.lit(EPS)), F.lit(1 - EPS)))
-
-
 def temperature_nll(df: DataFrame, temperatures: Sequence[float], logits: str = "logits",
                     label: str = "quality") -> DataFrame:
     """M12 (one pass): total NLL at each temperature.  The grid is a literal

@@ -7,7 +7,6 @@ class, so broadcasting it is bounded by the class count.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Sequence
 
 from pyspark import StorageLevel
@@ -172,7 +171,3 @@ def pairplot_input(df: DataFrame, n: int | None = None, key: str = "reading_id")
 
     out = df.select(key, "tds", "turbidity", "ph", "quality_label")
     return sample_n(out, n, key) if n else out
-
-
-def union_all(frames) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
