@@ -79,8 +79,9 @@ def test_oracle_spot_checks(spark, name):
     cols = sorted(sdf.columns)
 
     def key(df):
-        return sorted(tuple(None if (isinstance(v, float) and v != v) else
+        return sorted((tuple(None if (isinstance(v, float) and v != v) else
                             (round(v, 9) if isinstance(v, float) else str(v) if hasattr(v, "isoformat") else v)
-                            for v in rec) for rec in df[cols].astype(object).itertuples(index=False))
+                            for v in rec) for rec in df[cols].astype(object).itertuples(index=False)),
+                      key=lambda rec: [(v is not None, v) if v is not None else (False, 0) for v in rec])
 
     assert key(sdf) == key(odf)
