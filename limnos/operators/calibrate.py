@@ -3,9 +3,14 @@
 * Temperature scaling is fitted by grid search: each reading is exploded over
   the grid's temperatures and one aggregation sums the NLL by grid point (no
   join with the grid), then the grid shrinks around the best point; only the
-  grid's NLL values (bounded by the grid size) reach the driver.
+  grid's NLL values (bounded by the grid size) reach the driver.  The three
+  passes read the logits from a cache, not through the scoring chain again.
 * Platt scaling and isotonic regression are Spark ML estimators
   (``LogisticRegression``, ``IsotonicRegression``) on the top probability.
+  They are fitted on counts by top probability in steps of ``RESOLUTION``:
+  Spark's isotonic regression gathers its pooled points in the driver, so
+  this bounds them (1 / RESOLUTION points at most), whatever the input.
+* A fit raises on a label that is NULL or no class.
 * As in the reference, Platt and isotonic leave the probability row
   unchanged (they scale a row by one factor, then renormalise — quirk Q-6);
   their output is a separate ``calibrated_confidence`` column.
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 from ..functions.arrays import EPS, argmax, log_probs, softmax, top_prob
 
 N_CLASSES = 4
+#: Step of the top probability within which readings count as one point.
+RESOLUTION = 1e-6
 
 
 def with_logits(df: DataFrame, probability: str = "probability", out: str = "logits") -> DataFrame:
@@ -29,6 +36,13 @@ def with_logits(df: DataFrame, probability: str = "probability", out: str = "log
     return df.withColumn(out, log_probs(probability))
 
 
+def _known(label: str) -> Column:
+    """The label; raises where it is NULL or no class."""
+    c = F.col(label)
+    return F.when(c.isin(*range(N_CLASSES)), c).otherwise(
+        F.raise_error(F.concat(F.lit("no class: "), F.coalesce(c.cast("string"), F.lit("NULL")))).cast("int"))
+
+
 def temperature_nll(df: DataFrame, temperatures: Sequence[float], logits: str = "logits",
                     label: str = "quality") -> DataFrame:
     """M12 (one pass): total NLL at each temperature.  The grid is a literal
@@ -37,17 +51,17 @@ def temperature_nll(df: DataFrame, temperatures: Sequence[float], logits: str =
     the map side) — no join with the grid, one small generated function."""
     temps = F.array(*[F.lit(float(t)) for t in temperatures])
     z = [F.col(logits)[j] for j in range(N_CLASSES)]
-    lab = F.col(label)
+    lab = F.col("_label")
 
     def nll(t):
         x = [zj / t for zj in z]
         m = F.greatest(*x)
         e = [F.exp(xj - m) for xj in x]
         p_y = (F.when(lab == 0, e[0]).when(lab == 1, e[1]).when(lab == 2, e[2])
-               .otherwise(e[3])) / (e[0] + e[1] + e[2] + e[3])
+               .when(lab == 3, e[3])) / (e[0] + e[1] + e[2] + e[3])
         return -F.log(F.least(F.greatest(p_y, F.lit(EPS)), F.lit(1 - EPS)))
 
-    per_row = df.select(F.posexplode(F.transform(temps, nll)).alias("_i", "_nll"))
+    per_row = df.select(logits, _known(label).alias("_label")).select(F.posexplode(F.transform(temps, nll)).alias("_i", "_nll"))
     sums = per_row.groupBy("_i").agg(F.sum("_nll").alias("nll"))
     return sums.select(temps[F.col("_i")].alias("temperature"), "nll")
 
@@ -64,14 +78,17 @@ REFINE_STEPS = (0.002, 0.00004)
 def fit_temperature(df: DataFrame, logits: str = "logits", label: str = "quality") -> Dict[str, float]:
     """Minimise the NLL over T in [0.1, 10]: a 100-point grid, then two
     101-point grids around the best point (ties -> smaller T)."""
-    df = df.select(logits, label)
-    temps = FIRST_GRID
-    best = None
-    for step in (None,) + REFINE_STEPS:
-        if step is not None:
-            temps = grid(best[0], step, 50)
-        vals = temperature_nll(df, temps, logits, label).collect()
-        best = min(((r["temperature"], r["nll"]) for r in vals), key=lambda tn: (tn[1], tn[0]))
+    df = df.select(logits, label).persist()
+    try:
+        temps = FIRST_GRID
+        best = None
+        for step in (None,) + REFINE_STEPS:
+            if step is not None:
+                temps = grid(best[0], step, 50)
+            vals = temperature_nll(df, temps, logits, label).collect()
+            best = min(((r["temperature"], r["nll"]) for r in vals), key=lambda tn: (tn[1], tn[0]))
+    finally:
+        df.unpersist()
     return {"temperature": best[0], "nll": best[1]}
 
 
@@ -87,29 +104,49 @@ def _top_features(df: DataFrame, probability: str) -> DataFrame:
             .withColumn("_top_vec", array_to_vector(F.array("_top"))))
 
 
+def _points(df: DataFrame, probability: str, label: str, hit) -> DataFrame:
+    """(_top, _hits, _n): readings and hits by top probability.  A point is
+    the smallest top probability of its step, so equal values stay as they
+    are.  At most 1 / RESOLUTION rows."""
+    rows = df.select(F.col(probability).alias("_p"), _known(label).alias("_label"))
+    rows = rows.select(top_prob("_p").alias("_top"), hit(F.col("_p"), F.col("_label")).cast("long").alias("_hit"))
+    return (rows.groupBy(F.round(F.col("_top") / RESOLUTION).cast("long").alias("_step"))
+            .agg(F.min("_top").alias("_top"), F.sum("_hit").alias("_hits"), F.count(F.lit(1)).alias("_n"))
+            .drop("_step"))
+
+
 def fit_platt(df: DataFrame, probability: str = "probability", label: str = "quality"):
     """Logistic regression of "the true class holds the top
     probability" on the top probability; sklearn's C=1 is regParam = 1/n
-    without standardisation."""
+    without standardisation.  Each point weighs its hits and its misses."""
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
 
-    d = _top_features(df, probability).withColumn(
-        "_hit", (F.col(probability)[F.col(label)] == F.col("_top")).cast("double"))
-    n = d.count()
-    lr = LogisticRegression(featuresCol="_top_vec", labelCol="_hit", regParam=1.0 / max(n, 1),
-                            elasticNetParam=0.0, standardization=False, maxIter=100,
-                            probabilityCol="_pp", rawPredictionCol="_raw", predictionCol="_pred")
-    return lr.fit(d)
+    points = _points(df, probability, label, lambda p, y: p[y] == F.array_max(p)).persist()
+    try:
+        n = points.agg(F.sum("_n")).first()[0] or 0
+        side = F.explode(F.array(F.struct(F.lit(1.0).alias("hit"), F.col("_hits").alias("n")),
+                                 F.struct(F.lit(0.0).alias("hit"), (F.col("_n") - F.col("_hits")).alias("n"))))
+        d = (points.select(array_to_vector(F.array("_top")).alias("_top_vec"), side.alias("_s"))
+             .select("_top_vec", F.col("_s.hit").alias("_hit"), F.col("_s.n").cast("double").alias("_w"))
+             .where("_w > 0"))
+        lr = LogisticRegression(featuresCol="_top_vec", labelCol="_hit", weightCol="_w", regParam=1.0 / max(n, 1),
+                                elasticNetParam=0.0, standardization=False, maxIter=100,
+                                probabilityCol="_pp", rawPredictionCol="_raw", predictionCol="_pred")
+        return lr.fit(d)
+    finally:
+        points.unpersist()
 
 
 def fit_isotonic(df: DataFrame, probability: str = "probability", label: str = "quality"):
     """Isotonic regression of "argmax is right" on the top probability
-    (Spark ML; predictions clip to the fitted range outside it)."""
+    (Spark ML; predictions clip to the fitted range outside it).  A point's
+    value is its share of hits, its weight its readings."""
     from pyspark.ml.regression import IsotonicRegression
 
-    d = (_top_features(df, probability)
-         .withColumn("_hit", (argmax(probability) == F.col(label)).cast("double")))
-    return IsotonicRegression(featuresCol="_top", labelCol="_hit", isotonic=True,
+    d = (_points(df, probability, label, lambda p, y: argmax(p) == y)
+         .select("_top", (F.col("_hits") / F.col("_n")).alias("_hit"), F.col("_n").cast("double").alias("_w")))
+    return IsotonicRegression(featuresCol="_top", labelCol="_hit", weightCol="_w", isotonic=True,
                               predictionCol="_iso").fit(d)
 
 
@@ -177,8 +214,37 @@ class Calibrator:
 
     def params(self, spark) -> DataFrame:
         """The calibrator's scalars as a one-row frame."""
-        return spark.createDataFrame([(self.method, float(self.temperature), self.is_fitted)],
-                                     "method string, temperature double, is_fitted boolean")
+        return spark.createDataFrame(
+            [(self.method, float(self.temperature), self.is_fitted, dict(self.weights))],
+            "method string, temperature double, is_fitted boolean, weights map<string,double>")
+
+    def _models(self) -> Dict[str, object]:
+        if self.model is None:
+            return {}
+        return self.model if isinstance(self.model, dict) else {self.method: self.model}
+
+    def save(self, spark, path: str) -> str:
+        """Scalars and fitted Spark ML models, one folder."""
+        for name, model in self._models().items():
+            model.write().overwrite().save(f"{path}/{name}")
+        self.params(spark).coalesce(1).write.mode("overwrite").json(f"{path}/params")
+        return path
+
+    @classmethod
+    def load(cls, spark, path: str) -> "Calibrator":
+        """The calibrator that ``save`` wrote."""
+        from pyspark.ml.classification import LogisticRegressionModel
+        from pyspark.ml.regression import IsotonicRegressionModel
+
+        p = spark.read.schema("method string, temperature double, is_fitted boolean, "
+                              "weights map<string,double>").json(f"{path}/params").first()
+        cal = cls(p["method"], p["temperature"], None, p["is_fitted"], dict(p["weights"]))
+        kinds = {"platt": LogisticRegressionModel, "isotonic": IsotonicRegressionModel}
+        wanted = kinds if cal.method == "ensemble" else {cal.method} & set(kinds)
+        models = {name: kinds[name].load(f"{path}/{name}") for name in wanted if cal.is_fitted}
+        if models:
+            cal.model = models if cal.method == "ensemble" else models[cal.method]
+        return cal
 
 
 def select_method(df: DataFrame, logits: str = "logits", label: str = "quality",
@@ -192,21 +258,23 @@ def select_method(df: DataFrame, logits: str = "logits", label: str = "quality",
     n = df.count()
     if n < min_rows:
         raise ValueError(f"insufficient calibration data: {n} < {min_rows}")
-    split = stratified_split(df, label, key, test=0.3, val=0.0)
-    train = split.where(F.col("split") == "train")
-    test = split.where(F.col("split") == "test").withColumn("_orig", softmax(logits))
-    rows = []
-    for i, m in enumerate(methods):
-        cal = Calibrator(m).fit(train, logits, label)
-        scored = cal.apply(test, logits)
-        r = scored.agg(
-            F.avg((argmax("_orig") == F.col(label)).cast("double")).alias("original_accuracy"),
-            F.avg((argmax("calibrated_probability") == F.col(label)).cast("double"))
-            .alias("calibrated_accuracy"),
-            F.avg(top_prob("calibrated_probability") - top_prob("_orig")).alias("confidence_change"),
-        ).collect()[0]
-        rows.append((i, m, r["original_accuracy"], r["calibrated_accuracy"], r["confidence_change"],
-                     r["calibrated_accuracy"] + 0.5 * r["confidence_change"], float(cal.temperature)))
+    split = stratified_split(df, label, key, test=0.3, val=0.0).select(logits, label, "split").persist()
+    try:
+        train = split.where(F.col("split") == "train")
+        cals = [Calibrator(m).fit(train, logits, label) for m in methods]
+        # every method's output side by side, scored in one aggregation
+        scored = split.where(F.col("split") == "test").withColumn("_orig", softmax(logits))
+        for i, cal in enumerate(cals):
+            scored = cal.apply(scored, logits, f"_c{i}").drop("calibrated_confidence")
+        right = lambda p: F.avg((argmax(p) == F.col(label)).cast("double"))
+        got = scored.agg(right("_orig").alias("orig"), *[x for i in range(len(cals)) for x in (
+            right(f"_c{i}").alias(f"right{i}"),
+            F.avg(top_prob(f"_c{i}") - top_prob("_orig")).alias(f"change{i}"))]).first()
+    finally:
+        split.unpersist()
+    rows = [(i, m, got["orig"], got[f"right{i}"], got[f"change{i}"],
+             got[f"right{i}"] + 0.5 * got[f"change{i}"], float(cal.temperature))
+            for i, (m, cal) in enumerate(zip(methods, cals))]
     best = max(rows, key=lambda x: (x[5], -x[0]))[0]
     return df.sparkSession.createDataFrame(
         [(m, oa, ca, cc, s, t, i == best) for i, m, oa, ca, cc, s, t in rows],

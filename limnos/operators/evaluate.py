@@ -10,32 +10,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CLASSES = (0, 1, 2, 3)
+#: Most distinct (actual, predicted) pairs that come to the driver.
+MAX_PAIRS = 1_000_000
+
+
+def _confusion(df: DataFrame, actual: str, predicted: str, classes: Sequence[int]) -> tuple[dict, list]:
+    """Counts by (actual, predicted) and the classes: those given and any
+    others that occur.  Raises on a NULL class and beyond ``MAX_PAIRS``."""
+    counts = (df.groupBy(F.col(actual).cast("int").alias("actual"),
+                         F.col(predicted).cast("int").alias("predicted"))
+              .agg(F.count(F.lit(1)).alias("n")).limit(MAX_PAIRS + 1).collect())
+    if len(counts) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of classes: {actual} or {predicted} is no class")
+    seen = {(r["actual"], r["predicted"]): r["n"] for r in counts}
+    found = {c for pair in seen for c in pair}
+    if None in found:
+        raise ValueError(f"{actual} or {predicted} holds NULL")
+    return seen, sorted(set(classes) | found)
 
 
 def confusion_counts(df: DataFrame, actual: str, predicted: str,
                      classes: Sequence[int] = CLASSES) -> DataFrame:
     """(actual, predicted, n) for every pair of classes, zeros included."""
-    spark = df.sparkSession
-    counts = (df.groupBy(F.col(actual).cast("int").alias("actual"),
-                         F.col(predicted).cast("int").alias("predicted"))
-              .agg(F.count(F.lit(1)).alias("n")).collect())
     # a metric table of at most classes^2 rows: every metric branch reads
     # it instead of recomputing the scored input
-    seen = {(r["actual"], r["predicted"]): r["n"] for r in counts}
-    full = sorted(set(classes) | {a for a, _ in seen} | {p for _, p in seen})
-    return spark.createDataFrame([(a, p, int(seen.get((a, p), 0))) for a in full for p in full],
-                                 "actual int, predicted int, n long")
+    seen, full = _confusion(df, actual, predicted, classes)
+    return df.sparkSession.createDataFrame([(a, p, int(seen.get((a, p), 0))) for a in full for p in full],
+                                           "actual int, predicted int, n long")
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str,
                      classes: Sequence[int] = CLASSES) -> DataFrame:
-    """Actual x predicted, one column per predicted class (explicit
-    pivot values: no extra job, stable columns)."""
-    wide = (df.groupBy(F.col(actual).cast("int").alias("actual"))
-            .pivot(predicted, list(classes)).agg(F.count(F.lit(1))))
-    dim = df.sparkSession.createDataFrame([(c,) for c in classes], "actual int")
-    out = dim.join(wide, "actual", "left").na.fill(0)
-    return out.select("actual", *[F.col(str(c)).cast("long").alias(f"pred_{c}") for c in classes])
+    """Actual x predicted, one column per predicted class; a class that
+    occurs beside ``classes`` gets its row and column too."""
+    seen, full = _confusion(df, actual, predicted, classes)
+    return df.sparkSession.createDataFrame([(a, *[int(seen.get((a, p), 0)) for p in full]) for a in full],
+                                           ", ".join(["actual int", *[f"pred_{p} long" for p in full]]))
 
 
 def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -91,3 +101,15 @@ def per_class_accuracy(df: DataFrame, actual: str, predicted: str,
                                       .otherwise(0)).cast("double"), F.sum("n")),
                    F.lit(0.0)).alias("accuracy"),
         F.sum("n").alias("support"))
+
+
+def summary(df: DataFrame, actual: str, predicted: str, classes: Sequence[int] = CLASSES) -> DataFrame:
+    """One row per class (label, accuracy, support) and one labelled
+    ``all``: overall accuracy and the number of rows."""
+    seen, full = _confusion(df, actual, predicted, classes)
+    support = {a: sum(seen.get((a, p), 0) for p in full) for a in full}
+    right = {a: seen.get((a, a), 0) for a in full}
+    rows = [(str(a), right[a] / support[a] if support[a] else 0.0, support[a]) for a in full]
+    n = sum(support.values())
+    rows.append(("all", sum(right.values()) / n if n else 0.0, n))
+    return df.sparkSession.createDataFrame(rows, "label string, accuracy double, support long")

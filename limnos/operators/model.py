@@ -78,9 +78,3 @@ def load_model(path: str):
 def predicted_class(df: DataFrame, probability: str = "probability") -> DataFrame:
     from ..functions.arrays import argmax
     return df.withColumn("predicted", argmax(probability))
-
-
-def feature_frame(df: DataFrame) -> DataFrame:
-    """Readings + the 32 engineered features (35 model inputs)."""
-    from ..functions.features import engineer_features
-    return engineer_features(df)

@@ -13,13 +13,15 @@ from ..operators import ml
 from ..operators import model as MD
 from ..operators.score import rule_model, score
 from ..operators.standards import agency_compliance
+from ..schema import label_of
 from ..session import scratch_path
+from ..sources.files import write_and_verify
 from ..sources.samples import sample_n
 from . import query
 from .common import labelled, r, valid
 from .q_confidence import chain_ctes
 from .q_features import FEATURE_SQL
-from .sql import HASH_SQL, LABELLED, READINGS, READINGS_LINEITEM, VALID, GRADED, with_
+from .sql import HASH_SQL, LABEL_CASE, LABELLED, READINGS, READINGS_LINEITEM, VALID, GRADED, with_
 
 BASE3 = ["tds", "turbidity", "ph"]
 
@@ -290,7 +292,29 @@ def m20_calibration_select(spark, sf_dir):
     return C.select_method(cal_frame(spark, sf_dir))
 
 
-@query("m21_calibration_compare")
+def _top_sql(t: str) -> str:
+    """The largest of softmax(logits / t)."""
+    xs = [f"(z{j} / {t})" for j in range(4)]
+    m = f"greatest({', '.join(xs)})"
+    return f"1e0 / ({' + '.join(f'exp({x} - {m})' for x in xs)})"
+
+
+@query("s10_calibrator_roundtrip", CAL + _fit_sql() + f"""
+SELECT reading_id, round(c, 6) AS temperature, round({_top_sql('c')}, 6) AS calibrated_confidence
+FROM cal, b3""")
+def s10_calibrator_roundtrip(spark, sf_dir):
+    """The fitted calibrator is saved, loaded and applied to every
+    reading."""
+    d = cal_frame(spark, sf_dir)
+    path = C.Calibrator("temperature").fit(d).save(spark, scratch_path(spark, "models", "calibrator"))
+    cal = C.Calibrator.load(spark, path)
+    return cal.apply(d).select("reading_id", r(F.lit(cal.temperature)).alias("temperature"),
+                               r("calibrated_confidence").alias("calibrated_confidence"))
+
+
+@query("m21_calibration_compare", CAL + _fit_sql() + f"""
+SELECT round(avg({_top_sql('c')} - greatest(p0, p1, p2, p3)), 6) AS mean_difference, count(*) AS n
+FROM cal, b3""")
 def m21_calibration_compare(spark, sf_dir):
     """M21 + A19: raw vs temperature-calibrated confidence over every
     scored reading; mean paired difference."""
@@ -298,7 +322,8 @@ def m21_calibration_compare(spark, sf_dir):
     d = cal_frame(spark, sf_dir)
     cal = C.Calibrator("temperature").fit(d)
     out = cal.apply(d).withColumn("raw_confidence", F.array_max("probability"))
-    return mean_paired_difference(out, "calibrated_confidence", "raw_confidence")
+    diff = mean_paired_difference(out, "calibrated_confidence", "raw_confidence")
+    return diff.select(r("mean_difference").alias("mean_difference"), "n")
 
 
 @query("m17_ensemble_calibration")
@@ -414,11 +439,21 @@ def m08_retrain_enhanced(spark, sf_dir):
 
 @query("m22_evaluate_model")
 def m22_evaluate_model(spark, sf_dir):
-    """M22 + M24: trained model's test classification report."""
+    """Trained model's test classification report."""
+    return EV.classification_report(_tested(spark, sf_dir), "quality", "predicted")
+
+
+@query("m24_model_summary")
+def m24_model_summary(spark, sf_dir):
+    """Trained model's test accuracy, overall and by class, with
+    supports."""
+    return EV.summary(_tested(spark, sf_dir), "quality", "predicted")
+
+
+def _tested(spark, sf_dir):
     sp, _ = _train_split(spark, sf_dir, BASE3)
     model = MD.train(sp.where(F.col("split") == "train"), BASE3)
-    test = MD.predicted_class(MD.model_probabilities(model)(sp.where(F.col("split") == "test")))
-    return EV.classification_report(test, "quality", "predicted")
+    return MD.predicted_class(MD.model_probabilities(model)(sp.where(F.col("split") == "test")))
 
 
 @query("m07_model_quality_report")
@@ -508,6 +543,17 @@ def m09_smote_resample(spark, sf_dir):
     return out.select("source_id", "copy", "quality", *[r(c).alias(c) for c in BASE3])
 
 
+@query("p15_resampled_set", SMOTE_SQL + f"""
+SELECT source_id, copy, quality, {LABEL_CASE.format(c='quality')} AS quality_label, round(tds, 6) AS tds,
+       round(turbidity, 6) AS turbidity, round(ph, 6) AS ph FROM smoted""")
+def p15_resampled_set(spark, sf_dir):
+    """P15 + S5: the resampled set, synthetic rows labelled by their class,
+    written, read back and verified."""
+    out = _smote_frame(spark, sf_dir).withColumn("quality_label", label_of(F.col("quality")))
+    back = write_and_verify(out, scratch_path(spark, "io", "resampled"), "parquet")
+    return back.select("source_id", "copy", "quality", "quality_label", *[r(c).alias(c) for c in BASE3])
+
+
 @query("a12_imbalance_ratio", SMOTE_SQL + """
 , b AS (SELECT count(*) AS n FROM labelled GROUP BY quality)
 , a AS (SELECT count(*) AS n FROM smoted GROUP BY quality)

@@ -220,3 +220,92 @@ def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
     for d in (str(tmp_path), "/root/testdata/sf0.001"):
         out = monitor.run_append(spark, monitor.events_stream(spark, d).select("reading_id"), "parts")
         assert out.count() == events.count()
+
+
+def _scored_rows(n=1200):
+    random.seed(21)
+    out = []
+    for i in range(n):
+        top = random.choice([0.4, 0.55, 0.7, 0.85, 0.95])
+        p = [(1 - top) / 3] * 4
+        guess = i % 4
+        p[guess] = top
+        label = guess if random.random() < top ** 2 else (guess + 1 + i % 3) % 4
+        out.append((i, label, p))
+    return out
+
+
+SCORED = "reading_id long, quality int, probability array<double>"
+
+
+def test_calibration_on_counts_equals_calibration_on_rows(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import IsotonicRegression
+
+    from limnos.operators import calibrate as C
+    data = _scored_rows()
+    df = spark.createDataFrame(data, SCORED)
+    rows = spark.createDataFrame([(max(p), float(p.index(max(p)) == y)) for _, y, p in data], "t double, hit double")
+    lr = LogisticRegression(featuresCol="v", labelCol="hit", regParam=1 / len(data), standardization=False).fit(
+        rows.withColumn("v", array_to_vector(F.array("t"))))
+    got = C.fit_platt(df)
+    assert got.intercept == pytest.approx(lr.intercept, abs=1e-3)
+    assert got.coefficients[0] == pytest.approx(lr.coefficients[0], abs=1e-3)
+    iso = IsotonicRegression(featuresCol="t", labelCol="hit").fit(rows)
+    got = C.fit_isotonic(df)
+    assert list(got.boundaries) == pytest.approx(list(iso.boundaries))
+    assert list(got.predictions) == pytest.approx(list(iso.predictions))
+
+
+@pytest.mark.parametrize("method", ["temperature", "platt", "isotonic", "ensemble"])
+def test_calibrator_is_the_same_after_save_and_load(spark, tmp_path, method):
+    from limnos.operators import calibrate as C
+    df = C.with_logits(spark.createDataFrame(_scored_rows(400), SCORED))
+    cal = C.Calibrator(method).fit(df)
+    back = C.Calibrator.load(spark, cal.save(spark, str(tmp_path / "cal")))
+    a, b = ({x.reading_id: x.calibrated_confidence for x in c.apply(df).collect()} for c in (cal, back))
+    assert a == b and len(a) == 400 and back.weights == cal.weights
+
+
+@pytest.mark.parametrize("label", [None, 4])
+def test_calibration_rejects_a_label_that_is_no_class(spark, label):
+    from limnos.operators import calibrate as C
+    df = C.with_logits(spark.createDataFrame([(1, label, [0.7, 0.1, 0.1, 0.1]), (2, 0, [0.7, 0.1, 0.1, 0.1])], SCORED))
+    for fit in (lambda: C.fit_temperature(df), lambda: C.fit_platt(df), lambda: C.fit_isotonic(df)):
+        with pytest.raises(Exception, match="no class"):
+            fit()
+
+
+def test_method_selection_scores_every_method(spark):
+    from limnos.operators import calibrate as C
+    df = C.with_logits(spark.createDataFrame(_scored_rows(), SCORED))
+    got = {x.method: x for x in C.select_method(df).collect()}
+    assert set(got) == {"temperature", "platt", "isotonic"} and sum(x.is_best for x in got.values()) == 1
+    assert got["platt"].confidence_change == pytest.approx(0.0, abs=1e-9)
+    assert got["platt"].calibrated_accuracy == got["platt"].original_accuracy
+
+
+def test_metrics_keep_classes_beside_the_list(spark):
+    df = spark.createDataFrame([(0, 0), (0, 7), (1, 1)], "quality int, predicted int")
+    cm = {x.actual: x for x in EV.confusion_matrix(df, "quality", "predicted").collect()}
+    assert cm[0].pred_7 == 1 and set(cm) == {0, 1, 2, 3, 7}
+    assert EV.confusion_counts(df, "quality", "predicted").agg(F.sum("n")).first()[0] == 3
+    s = {x.label: (x.accuracy, x.support) for x in EV.summary(df, "quality", "predicted").collect()}
+    assert s["0"] == (0.5, 2) and s["2"] == (0.0, 0) and s["all"] == (pytest.approx(2 / 3), 3)
+    with pytest.raises(ValueError):
+        EV.summary(spark.createDataFrame([(0, None)], "quality int, predicted int"), "quality", "predicted")
+
+
+def test_net_has_the_configured_shape_and_learns(spark):
+    from limnos.operators import model as MD
+    random.seed(3)
+    data = []
+    for i in range(400):
+        c = i % 4
+        data.append((i, c, c - 1.5 + random.gauss(0, 0.1), 1.5 - c + random.gauss(0, 0.1), random.gauss(0, 0.1)))
+    df = spark.createDataFrame(data, "reading_id long, quality int, tds double, turbidity double, ph double")
+    model = MD.train(df, ["tds", "turbidity", "ph"], kind="mlp")
+    assert list(model.stages[-1].getLayers()) == [3, 64, 32, 16, 4]
+    out = MD.predicted_class(MD.model_probabilities(model)(df))
+    assert out.where("predicted = quality").count() >= 360
