@@ -219,10 +219,10 @@ def m12_temperature_nll(spark, sf_dir):
     return out.select(r("temperature").alias("temperature"), r("nll").alias("nll"))
 
 
-def _fit_sql() -> str:
+def _fit_sql(src: str = "cal") -> str:
     def pas(i, grid_sql):
         return f"""
-, p{i} AS (SELECT temperature, sum({_nll_sql('temperature')}) AS nll FROM cal, ({grid_sql}) g GROUP BY temperature)
+, p{i} AS (SELECT temperature, sum({_nll_sql('temperature')}) AS nll FROM {src}, ({grid_sql}) g GROUP BY temperature)
 , b{i} AS (SELECT temperature AS c, nll FROM p{i} ORDER BY nll, temperature LIMIT 1)"""
     s = pas(1, "SELECT 0.1e0 + i * 0.1e0 AS temperature FROM range(0, 100) t(i)")
     for i, step in ((2, 0.002), (3, 0.00004)):
@@ -263,13 +263,29 @@ def m14_platt_fit(spark, sf_dir):
                                  "intercept double, slope double")
 
 
-@query("m16_isotonic_fit")
+# the fit at a point is the largest, over its starts, of the smallest mean up to its ends
+ISOTONIC_SQL = CAL + """
+, pts AS (SELECT min(top) AS t, sum(hit) AS h, count(*) AS n
+          FROM (SELECT greatest(p0, p1, p2, p3) AS top, CASE WHEN model_class = quality THEN 1 ELSE 0 END AS hit FROM cal)
+          GROUP BY CAST(round(top / 1e-6) AS BIGINT))
+, sums AS MATERIALIZED (SELECT t, h, n, row_number() OVER w AS i, sum(h) OVER w AS to_h, sum(n) OVER w AS to_n
+                        FROM pts WINDOW w AS (ORDER BY t))
+, spans AS MATERIALIZED (SELECT a.i AS i, b.i AS j, (b.to_h - a.to_h + a.h) / CAST(b.to_n - a.to_n + a.n AS DOUBLE) AS m
+                         FROM sums a JOIN sums b ON a.i <= b.i)
+, least_mean AS (SELECT k.i AS k, s.i, min(s.m) AS m FROM sums k JOIN spans s ON s.i <= k.i AND s.j >= k.i GROUP BY ALL)
+, fitted AS (SELECT k, round(max(m), 6) AS f FROM least_mean GROUP BY k)"""
+
+
+@query("m16_isotonic_fit", ISOTONIC_SQL + """
+SELECT round(t, 6) AS boundary, f AS prediction FROM fitted JOIN sums ON i = k
+QUALIFY lag(f) OVER (ORDER BY k) IS DISTINCT FROM f OR lead(f) OVER (ORDER BY k) IS DISTINCT FROM f""")
 def m16_isotonic_fit(spark, sf_dir):
     """Isotonic regression of correctness on top probability; returns
     the fitted step function (boundaries, predictions)."""
     m = C.fit_isotonic(cal_frame(spark, sf_dir))
     b, p = [float(x) for x in m.boundaries], [float(x) for x in m.predictions]
-    return spark.createDataFrame(list(zip(b, p)), "boundary double, prediction double")
+    out = spark.createDataFrame(list(zip(b, p)), "boundary double, prediction double")
+    return out.select(r("boundary").alias("boundary"), r("prediction").alias("prediction"))
 
 
 @query("m15_calibrated_confidence")
@@ -285,13 +301,6 @@ def m15_calibrated_confidence(spark, sf_dir):
     return out.select("reading_id", "platt_confidence", "isotonic_confidence")
 
 
-@query("m20_calibration_select")
-def m20_calibration_select(spark, sf_dir):
-    """M18 + M20: fit temperature / Platt / isotonic on a 70 % stratified
-    split, score on 30 %, flag the best."""
-    return C.select_method(cal_frame(spark, sf_dir))
-
-
 def _top_sql(t: str) -> str:
     """The largest of softmax(logits / t)."""
     xs = [f"(z{j} / {t})" for j in range(4)]
@@ -299,6 +308,27 @@ def _top_sql(t: str) -> str:
     return f"1e0 / ({' + '.join(f'exp({x} - {m})' for x in xs)})"
 
 
+@query("m20_calibration_select", CAL + split_sql("cal", 0.3, 0.0) + """
+, train AS MATERIALIZED (SELECT * FROM sp WHERE split = 'train')""" + _fit_sql("train") + f"""
+, held AS (SELECT avg(CASE WHEN model_class = quality THEN 1e0 ELSE 0e0 END) AS acc,
+                  avg({_top_sql('c')} - greatest(p0, p1, p2, p3)) AS change, any_value(c) AS c
+           FROM sp, b3 WHERE split = 'test')
+, methods AS (SELECT 0 AS i, 'temperature' AS method, acc, round(change, 6) AS change, c FROM held
+              UNION ALL SELECT 1, 'platt', acc, 0e0, 1e0 FROM held
+              UNION ALL SELECT 2, 'isotonic', acc, 0e0, 1e0 FROM held)
+SELECT method, round(acc, 6) AS original_accuracy, round(acc, 6) AS calibrated_accuracy, change AS confidence_change,
+       round(acc + 0.5e0 * change, 5) AS score, round(c, 6) AS temperature,
+       row_number() OVER (ORDER BY acc + 0.5e0 * change DESC, i) = 1 AS is_best FROM methods""")
+def m20_calibration_select(spark, sf_dir):
+    """M18 + M20: fit temperature / Platt / isotonic on a 70 % stratified
+    split, score on 30 %, flag the best.  Platt and isotonic leave the
+    probabilities as they are."""
+    out = C.select_method(cal_frame(spark, sf_dir))
+    return out.select("method", *[r(c).alias(c) for c in ("original_accuracy", "calibrated_accuracy",
+                                                          "confidence_change", "temperature")],
+                      r("score", 5).alias("score"), "is_best")
+
+
 @query("s10_calibrator_roundtrip", CAL + _fit_sql() + f"""
 SELECT reading_id, round(c, 6) AS temperature, round({_top_sql('c')}, 6) AS calibrated_confidence
 FROM cal, b3""")
