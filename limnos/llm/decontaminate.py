@@ -10,7 +10,7 @@ their maxima plus the most that common terms can give any item, then the block
 maxima of all its terms, then WAND's pivot walk over the postings.  All items
 with a score of ``threshold`` or more are retrieved and then verified:
 five-word shingles of the question and of the answer must both be covered by
-``overlap`` or more.
+``overlap`` or more, or those of the whole item where no question mark parts it.
 """
 
 from __future__ import annotations
@@ -42,16 +42,12 @@ def words(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_SPLIT).split() if text else []
 
 
-def question_answer(text: str | None) -> tuple[list[bytes], list[bytes]]:
-    """Question and answer of an item: up to the first question mark and the
-    rest, or the first and second half of its words where there is none."""
+def question_answer(text: str | None) -> tuple[list[bytes], ...]:
+    """Question and answer of an item, up to the first question mark and the
+    rest; where they are not both there, the whole item as its only part."""
     head, mark, tail = (text or "").partition("?")
     q, a = words(head), words(tail)
-    if mark and q and a:
-        return q, a
-    w = words(text)
-    half = (len(w) + 1) // 2
-    return w[:half], w[half:] or w
+    return (q, a) if mark and q and a else (words(text),)
 
 
 def shingles(w: list[bytes], k: int = SHINGLE) -> set[tuple]:
@@ -63,8 +59,8 @@ class Index:
     """BM25 impacts of a piece of items: postings by term, term and block maxima."""
 
     def __init__(self, items: list[tuple], block: int = BLOCK):
-        self.items = sorted(((i, q, a) for i, q, a in items if q or a), key=lambda x: len(x[1]) + len(x[2]))  # alike in a block
-        tokens = [q + a if a is not q else q for _, q, a in self.items]
+        self.items = sorted((x for x in items if any(x[1:])), key=lambda x: sum(map(len, x[1:])))  # alike in a block
+        tokens = [[t for part in parts for t in part] for _, *parts in self.items]
         n = len(self.items)
         self.longest = max(map(len, tokens), default=0)
         mean = sum(map(len, tokens)) / n if n else 1.0
@@ -92,7 +88,7 @@ class Index:
             for i, x in p if often else ():
                 mass[i] += x
         self.common_mass = float(mass.max(initial=0.0))     # the most that common terms give an item
-        self.wanted = [(shingles(q), shingles(a)) for _, q, a in self.items]
+        self.wanted = [(shingles(parts[0]), shingles(parts[-1])) for _, *parts in self.items]
 
     def _maxima(self, postings):
         out: dict[int, float] = {}
@@ -225,8 +221,9 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD,
                overlap: float = OVERLAP, piece_words: int = PIECE_WORDS) -> DataFrame:
     """A row for each row of ``df`` and item that it verifiably holds: id,
-    ``item_id``, ``score``, ``question_overlap``, ``answer_overlap`` and
-    ``passage_word`` (first word of the best passage).
+    ``item_id``, ``score``, ``question_overlap``, ``answer_overlap`` (both the
+    whole item's where no question mark parts it) and ``passage_word`` (first
+    word of the best passage).
 
     Null and empty texts hold nothing; items without words are held by
     nothing; an empty benchmark or table gives no rows.  Parts of items under

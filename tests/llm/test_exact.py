@@ -351,6 +351,23 @@ def test_leaks_need_question_and_answer(spark, odd, empty):
     assert decontaminate.drop_leaks(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_leaks_with_one_word_edited_are_found(spark):
+    rng = np.random.default_rng(8)
+    filler = " ".join(f"w{i}" for i in range(150))
+    items, rows = [], []
+    for i, n in enumerate((29, 30, 40, 59)):      # one edit breaks 5 of 25 shingles at least
+        w = [f"t{x}" for x in rng.permutation(300)[:n]]
+        items.append((i, " ".join(w)))
+        for at in (0, n // 4, n // 2, n - 1):
+            rows.append((100 * i + at, f"{filler} {' '.join([*w[:at], 'edited', *w[at + 1:]])} {filler}", None, None, None))
+        gone = [x if j % 10 else "edited" for j, x in enumerate(w)]
+        rows.append((100 * i + 99, f"{filler} {' '.join(gone)} {filler}", None, None, None))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(frame(spark, rows), bench).collect()}
+    assert got == {(r[0], r[0] // 100) for r in rows if r[0] % 100 < 99}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(frame(spark, rows), bench).collect()} == {99, 199, 299, 399}
+
+
 def test_wand_finds_all_above_threshold():
     rng = np.random.default_rng(5)
     vocab = [f"t{i}".encode() for i in range(60)]
