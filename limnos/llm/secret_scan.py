@@ -2,8 +2,9 @@
 
 Each text yields base spans by three fixed patterns and further candidates by
 broader ones.  All candidates' value hashes are counted over the whole corpus
-by distinct repositories and owners: a value under many owners is a widely
-copied example, one that stays with few owners looks live.  Broader candidates
+by distinct owners: a value under many owners is a widely copied example, one
+that stays with few owners looks live, however many documents of theirs hold
+it (so the verdict does not turn with the size of the corpus).  Broader candidates
 become spans only when they look live; base spans stay and carry the verdict.
 """
 
@@ -36,7 +37,6 @@ WIDER = (("prefixed", re.compile(r"(?a:\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs
 ORDER = {k: i for i, k in enumerate((*KINDS, *(k for k, _ in WIDER)))}
 MIN_ENTROPY = 3.8      # bits a character of a random candidate
 MAX_OWNERS = 2         # most owners of a value that looks live
-MAX_REPOS = 8          # most repositories of a value that looks live
 
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -94,28 +94,23 @@ def _candidate_batches(batches):
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+                 max_owners: int = MAX_OWNERS) -> DataFrame:
     """One row per row of ``df``: id, ``n_assign``, ``n_access``, ``n_hex``,
     ``base`` and ``spans`` (text ``kind:start:end`` by start, then kind, joined
     by commas), ``n_live`` and ``n_example`` (candidates by verdict).
 
-    Null and empty texts have no spans.  A null owner or repository is an
-    owner or repository of its own.  Null ids and repeated rows are rows like
-    others (a repeated row is no further repository).  Other columns are not read.
+    Null and empty texts have no spans.  A null owner is an owner of its own.
+    Null ids and repeated rows are rows like others.  Other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
     own = F.xxhash64(F.col(owner_col).isNull(), F.col(owner_col))
-    repo = F.xxhash64(F.col(repo_col).isNull(), F.col(repo_col))
-    rows = checkpointed(df.select(F.col(id_col).alias("_id"), own.alias("_own"), repo.alias("_repo"),
-                                  F.col(text_col).alias("_text"))
-                        .mapInArrow(_candidate_batches, f"_id {kind}, _own long, _repo long, found array<struct<"
+    rows = checkpointed(df.select(F.col(id_col).alias("_id"), own.alias("_own"), F.col(text_col).alias("_text"))
+                        .mapInArrow(_candidate_batches, f"_id {kind}, _own long, found array<struct<"
                                     "start: long, end: long, kind: string, base: boolean, value: long>>"))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())   # stable: the rows are checkpointed
-    each = rows.select("_row", "_own", "_repo", F.inline("found"))
-    owners = (each.select("value", "_own", "_repo").distinct()
-              .groupBy("value", "_own").agg(F.count(F.lit(1)).alias("r"))
-              .groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repos")))
-    live = owners.select("value", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
+    each = rows.select("_row", "_own", F.inline("found"))
+    owners = each.select("value", "_own").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
+    live = owners.select("value", (F.col("owners") <= max_owners).alias("live"))
     place = F.struct("start", F.element_at(F.create_map(*[F.lit(x) for k in ORDER.items() for x in k]), F.col("kind")).alias("o"),
                      F.concat_ws(":", "kind", "start", "end").alias("s"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["s"]), ",")

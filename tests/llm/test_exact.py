@@ -307,6 +307,14 @@ def test_ownership_separates_examples_from_live(spark):
     assert all(got[i]["spans"] == "" and got[i]["n_example"] == 1 for i in range(6))
 
 
+def test_secrets_of_one_owner_stay_live_in_many_documents(spark):
+    live, example = "ghp_" + "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF", "ghp_" + "1111aaaaBBBB2222ccccDDDD3333eeee"
+    rows = [(i, f"mine {live} in {i}", "en", "owner1", None) for i in range(20)] + [(50 + i, f"see {example}", "en", f"owner{i}", None) for i in range(3)]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(frame(spark, rows)).collect()}
+    assert all(got[i]["spans"] == f"prefixed:5:{5 + len(live)}" and (got[i]["n_live"], got[i]["n_example"]) == (1, 0) for i in range(20))
+    assert all(got[50 + i]["spans"] == "" and got[50 + i]["n_example"] == 1 for i in range(3))
+
+
 # ------------------------------------------------------------------ decontamination
 
 def slow_leaks(text, items):
