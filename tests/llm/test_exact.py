@@ -449,6 +449,22 @@ def test_mixed_documents_hold_what_is_taken(spark, odd):
     assert got == +plan
 
 
+def test_a_tiny_source_does_not_cut_the_others(spark):
+    text = lambda i, n: " ".join(f"d{i}w{j}" for j in range(n))
+    rows = [(i, text(i, 150 + i % 80), "en", "big" if i % 3 else "hot", 1) for i in range(900)]
+    tiny = [(1000 + i, text(1000 + i, 50), "en", "tiny", 1) for i in range(2)]
+    for own in (rows, rows + tiny):
+        whole = {r[0]: r[1] for r in own}
+        cut, words = Counter(), Counter()
+        for r in mixing.mixed_documents(frame(spark, own)).collect():
+            assert whole[r["doc_id"]].startswith(r["text"])     # first words of a document, never scraps
+            cut[r["source"]] += r["text"] != whole[r["doc_id"]]
+            words[r["source"]] += len(r["text"].split())
+        assert max(cut.values()) <= 1 and sum(cut.values()) <= len(words)
+        goal = {r["source"]: r["target"] for r in mixing.mix_sources(frame(spark, own)).collect()}
+        assert all(abs(words[s] - g) <= g / 512 + 1 for s, g in goal.items())
+
+
 def test_shard_quotas_add_up():
     block, plan = mixing.plan_mix(["a", "b", "c"], [50_000, 20_000, 900])
     assert all(min(p["quotas"]) >= 0 for p in plan)
