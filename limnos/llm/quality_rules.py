@@ -3,10 +3,13 @@
 Each document gets exact rule statistics.  A forest of random split trees is
 grown on a fixed-size random subsample per tree (the method's own subsampling;
 128 rows a tree), drawn by seeded hash from all documents that pass the base
-rules.  The path length of every document gives its anomaly score, and the
-score threshold is calibrated on all labelled rows: among the cuts that reject
-at most ``max_loss`` of the good rows, the one with the largest share of bad
-rows caught less the share of good rows lost.
+rules.  There is one forest on the shares of characters and one on those of
+repeats: 4 % of the good rows repeat a line, and in a common forest these
+would use up the allowance.  The path length of every document gives its
+anomaly scores, and each forest's threshold is calibrated on all labelled
+rows: among the cuts that reject, with those of the forests before, at most
+``max_loss`` of the good rows, the one with the largest share of bad rows
+caught less the share of good rows lost.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ TREES, SUBSAMPLE, SEED = 100, 128, 42
 MAX_LOSS = 0.01
 BINS = 2000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
-# What the base rules don't judge themselves.
-FEATURES = ("symbols", "marks", "upper", "word_length")
+FORESTS = (("symbols", "marks", "upper", "word_length"), ("repeat", "dup_lines"))
+FEATURES = tuple(f for own in FORESTS for f in own)
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -104,8 +107,9 @@ def rule_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _features(df: DataFrame) -> DataFrame:
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    share = {"symbols": F.col("n_symbols") / chars, "marks": F.col("n_marks") / words, "upper": F.col("n_upper") / chars,
-             "word_length": F.log(F.col("word_chars") / words + 1)}
+    share = {"repeat": F.col("n_repeat_words") / words, "symbols": F.col("n_symbols") / chars,
+             "marks": F.col("n_marks") / words, "upper": F.col("n_upper") / chars,
+             "word_length": F.log(F.col("word_chars") / words + 1), "dup_lines": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))}
     return df.select("*", *[share[f].alias(f"f_{f}") for f in FEATURES])
 
 
@@ -168,15 +172,16 @@ def anomaly(forest: dict, x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-(total / len(forest["roots"])) / forest["norm"])
 
 
-def _score_batches(forest: dict):
-    cols = [f"f_{f}" for f in FEATURES]
-
+def _score_batches(forests: list[dict]):
     def run(batches):
         for b in batches:
-            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols]).astype(float)
-            keep = [n for n in b.schema.names if n not in cols]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep],
-                                              pa.array(anomaly(forest, x) if len(x) else np.zeros(0))], [*keep, "anomaly"])
+            scores = []
+            for own, forest in zip(FORESTS, forests):
+                x = np.column_stack([b.column(f"f_{f}").to_numpy(zero_copy_only=False) for f in own]).astype(float)
+                scores.append(pa.array(anomaly(forest, x) if len(x) else np.zeros(0)))
+            keep = [n for n in b.schema.names if not n.startswith("f_")]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], *scores],
+                                             [*keep, *[f"anomaly_{k}" for k in range(len(FORESTS))]])
     return run
 
 
@@ -191,40 +196,51 @@ def _scored(df: DataFrame, labels: DataFrame | None, id_col: str, text_col: str,
                            trees * subsample, *cols).select(*cols).collect()
     if not sample:
         return feats.select("_id", "_h", *STATS, "base_failed", F.lit(0.0).alias("anomaly"), F.lit(False).alias("kept"))
-    forest = grow_forest(np.array(sample, dtype=float), trees, subsample, seed)
-    kinds = [f.simpleString() for f in stats.schema.fields]
-    scored = checkpointed(feats.mapInArrow(_score_batches(forest),
-                                           ", ".join(k.replace(":", " ", 1) for k in kinds) + ", anomaly double"))
-    cut = _threshold(scored, labels, id_col, label_col, max_loss)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= cut))
-
-
-def _threshold(scored: DataFrame, labels: DataFrame | None, id_col: str, label_col: str, max_loss: float) -> float:
-    """The cut with the largest share of bad rows above less that of good rows,
-    among those with at most ``max_loss`` of the good rows above (of equal
-    cuts the highest); without good and bad labels nothing is rejected by the score."""
+    x = np.array(sample, dtype=float)
+    forests = [grow_forest(x[:, [FEATURES.index(f) for f in own]], trees, subsample, seed) for own in FORESTS]
+    kinds = [f.simpleString().replace(":", " ", 1) for f in stats.schema.fields]
+    names = [f"anomaly_{k}" for k in range(len(FORESTS))]
+    scored = checkpointed(feats.mapInArrow(_score_batches(forests), ", ".join([*kinds, *[f"{n} double" for n in names]])))
+    kept = ~F.col("base_failed")
+    for name, cut in zip(names, _thresholds(scored, names, labels, id_col, label_col, max_loss)):
+        kept = kept & (F.col(name) <= cut)
+    return scored.withColumn("anomaly", F.greatest(*names)).withColumn("kept", kept)
+
+
+def _thresholds(scored: DataFrame, names: list[str], labels: DataFrame | None, id_col: str, label_col: str,
+                max_loss: float) -> list[float]:
+    """For each score in turn the cut with the largest share of bad rows above
+    less that of good rows, among those with at most ``max_loss`` of the good
+    rows above it or an earlier cut (of equal cuts the highest); without good
+    and bad labels nothing is rejected by the scores."""
     if labels is None:
-        return 1.0
+        return [1.0] * len(names)
     known = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
              .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("y")))
-    bins = (scored.filter("not base_failed").join(known, "_id")
-            .groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"))
-            .agg(F.count_if(F.col("y") >= 1).alias("good"), F.count_if(F.col("y") < 1).alias("bad")).collect())
-    n = np.zeros((2, BINS + 1))
-    for r in bins:
-        n[:, r["bin"]] += r["good"], r["bad"]
-    if not n.sum(axis=1).all():
-        return 1.0
-    good, bad = 1 - np.cumsum(n, axis=1) / n.sum(axis=1, keepdims=True)     # shares in higher bins
-    gain = np.where(good <= max_loss, bad - good, -1.0)
-    return float((BINS + 1 - int(np.argmax(gain[::-1]))) / BINS)
+    rows = scored.filter("not base_failed").join(known, "_id")
+    cuts, left = [], F.lit(True)                   # left: not above an earlier cut
+    for name in names:
+        bins = (rows.groupBy(F.floor(F.col(name) * BINS).cast("int").alias("bin"))
+                .agg(F.count_if(F.col("y") >= 1).alias("all"), F.count_if((F.col("y") >= 1) & left).alias("good"),
+                     F.count_if(F.col("y") < 1).alias("bad")).collect())
+        n = np.zeros((3, BINS + 1))
+        for r in bins:
+            n[:, r["bin"]] += r["all"], r["good"], r["bad"]
+        total, stay, bads = n.sum(axis=1)
+        if not total or not bads:
+            return [1.0] * len(names)
+        good, bad = (stay - np.cumsum(n[1])) / total, 1 - np.cumsum(n[2]) / bads     # shares in higher bins
+        gain = np.where(good + (total - stay) / total <= max_loss, bad - good, -1.0)
+        cuts.append(float((BINS + 1 - int(np.argmax(gain[::-1]))) / BINS))
+        left = left & (F.col(name) <= cuts[-1])
+    return cuts
 
 
 def isolation_rules(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "quality", max_loss: float = MAX_LOSS, trees: int = TREES,
                     subsample: int = SUBSAMPLE, seed: int = SEED) -> DataFrame:
     """One row per row of ``df``: id, rule statistics, ``base_failed``,
-    ``anomaly`` and ``kept``.
+    ``anomaly`` (the larger of the forests' scores) and ``kept``.
 
     Null text: all counts 0, base rule failed.  Null ids: scored like others,
     never matched to a label.  Repeated rows each give a row; of labels that

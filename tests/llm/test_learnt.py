@@ -57,6 +57,18 @@ def test_rules_without_labels_reject_by_base_only(spark, odd, no_labels):
     assert kept == Counter(repr(r["doc_id"]) for r in out if r["kept"])
 
 
+def test_duplicate_lines_are_judged_by_the_forest(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n)) + rng.choice([".", "!", ""])
+    rows = [(i, "\n".join(line(6) for _ in range(12)), "en", "s", 1) for i in range(600)]
+    menus = [(1000 + i, "\n".join(f"{line(4)}\nhome\nshop" for _ in range(12)), "en", "s", 1) for i in range(12)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)] + [(1000 + i, 0, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_rules.isolation_rules(frame(spark, rows + menus), labels).collect()}
+    assert not any(r["base_failed"] for r in got.values()) and all(got[1000 + i]["n_dup_lines"] == 22 for i in range(12))
+    assert not any(got[1000 + i]["kept"] for i in range(12)) and sum(got[i]["kept"] for i in range(600)) >= 580
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     rows = queries.op7_language_id(spark, SF).join(docs(spark).select("doc_id", "lang", "text"), "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
