@@ -5,12 +5,14 @@ file's tokens stream through it and give matching statistics: at each token
 the longest template substring that ends there.  Full phrases are read off the
 suffix links (exact places); long matches are chained per notice (in order in
 file and template, gaps allowed) into covered template spans, and a notice is
-labelled when its chain covers enough of it.
+labelled when a chain covers enough of it.  A notice that stands in a file
+several times gives a span for each place.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -167,7 +169,9 @@ class Scanner:
         return self.auto.length[link] < length <= self.auto.length[v]
 
     def _chains(self, matches):
-        """Best chain of each notice: the most template tokens covered in order."""
+        """Chains of each notice that cover enough of it, none over another of
+        the same notice: the most template tokens covered in order first, then
+        on over what is left of the matches outside."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for start, end, v in matches:
             for t, e in self.auto.ends[v]:
@@ -176,26 +180,49 @@ class Scanner:
         spans = []
         for t, ms in by.items():
             ms = sorted(set(ms))
-            best: list[tuple[int, int]] = []               # covered tokens, start of the chain
-            top = (0, 0, 0)
-            first = 0
-            for i, (s, e, te) in enumerate(ms):
-                got = (e - s, s)
-                while first < i and ms[first][1] + self.max_gap < s and ms[first][0] + self.lengths[t] + self.max_gap < s:
-                    first += 1
-                for k in range(first, i):
-                    ps, pe, pte = ms[k]
-                    over = max(0, pe - s, pte - (te - (e - s)))
-                    if pe < e and pte < te and ps < s and s - pe <= self.max_gap and e - s > over:
-                        got = max(got, (best[k][0] + e - s - over, best[k][1]), key=lambda x: (x[0], x[1]))
-                best.append(got)
-                if got[0] > top[0]:
-                    top = (got[0], got[1], e)
-            share = min(1.0, top[0] / self.lengths[t])
-            if share >= self.min_cover:
-                spans.append((top[1], top[2], t, share))
+            while ms:
+                taken: list[tuple[int, int]] = []
+                for cover, start, end in sorted(self._best_chains(t, ms), key=lambda x: -x[0]):
+                    at = bisect_left(taken, (start, end))
+                    if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                        taken.insert(at, (start, end))
+                        spans.append((start, end, t, min(1.0, cover / self.lengths[t])))
+                ms = self._outside(ms, taken) if taken else []
         return sorted(spans)
 
+    def _best_chains(self, t: int, ms: list[tuple[int, int, int]]):
+        """(covered tokens, start, end) of the best chain to each match, where it covers enough."""
+        best: list[tuple[int, int]] = []                   # covered tokens, start of the chain
+        first = 0
+        for i, (s, e, te) in enumerate(ms):
+            got = (e - s, s)
+            while first < i and ms[first][1] + self.max_gap < s and ms[first][0] + self.lengths[t] + self.max_gap < s:
+                first += 1
+            for k in range(first, i):
+                ps, pe, pte = ms[k]
+                over = max(0, pe - s, pte - (te - (e - s)))
+                if pe < e and pte < te and ps < s and s - pe <= self.max_gap and e - s > over:
+                    got = max(got, (best[k][0] + e - s - over, best[k][1]))
+            best.append(got)
+            if min(1.0, got[0] / self.lengths[t]) >= self.min_cover:
+                yield got[0], got[1], e
+
+    def _outside(self, ms: list[tuple[int, int, int]], taken: list[tuple[int, int]]):
+        """The stretches of the matches outside the taken spans, of ``min_match`` or more."""
+        out = set()
+        for s, e, te in ms:
+            at = s
+            k = max(0, bisect_left(taken, (s, s)) - 1)
+            while k < len(taken) and taken[k][0] < e:
+                lo, hi = taken[k]
+                if lo - at >= self.min_match:
+                    out.add((at, lo, te - (e - lo)))
+                at = max(at, hi)
+                k += 1
+            if e - at >= self.min_match:
+                out.add((at, e, te))
+        return sorted(out)
+
     def row(self, text: bytes | None):
         tokens = words(text)
         places, spans = self.scan(tokens)
@@ -229,7 +256,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     phrases), ``first_word`` / ``last_word`` (their smallest and largest start;
     null without places), ``base_labels``, ``labels`` (with those of covered
     notices), ``score`` (1 with a phrase, else the best covered share of at
-    least ``min_cover``, else 0) and ``spans`` (JSON: start, end, label, share).
+    least ``min_cover``, else 0) and ``spans`` (JSON: start, end, label, share;
+    one for each place of a notice, those of the same notice not overlapping).
 
     Null and empty texts: no words, no labels, score 0.  Null ids and repeated
     rows are rows like others.  Other columns are not read.  ``params`` go to

@@ -246,6 +246,23 @@ def test_notices_are_chained_over_gaps():
     assert scanner.row(" ".join(reversed(notice)).encode())[5] == ""
 
 
+def test_every_place_of_a_notice_is_a_span():
+    scanner = licenses.Scanner()
+    mit, bsd = (licenses.NOTICES[k][1].split() for k in (0, 2))
+    spans = lambda w: json.loads(scanner.row(" ".join(w).encode())[7])
+    n, b = len(mit), len(bsd)
+    for gap in (0, 3, 40):
+        own = ["other"] * gap
+        assert spans((mit + own) * 50) == [[i * (n + gap), i * (n + gap) + n, "mit", 1.0] for i in range(50)]
+        part = mit[:20] + ["changed"] + mit[22:]           # a lesser copy, before and after a whole one
+        got = spans(part + own + mit + own + bsd + own + part)
+        assert [x[2] for x in got] == ["mit", "mit", "bsd", "mit"]
+        at = n - 1 + gap
+        assert [x[:2] for x in got] == [[0, n - 1], [at, at + n], [at + n + gap, at + n + gap + b], [at + n + b + 2 * gap, at + 2 * n + b + 2 * gap - 1]]
+        assert all(x[3] >= 0.7 for x in got)
+    assert len(spans(mit[:n // 2] + ["other"] * 40 + mit[:n // 2])) == 0
+
+
 # ------------------------------------------------------------------ lines
 
 def slow_lines(rows, least=10):
