@@ -8,7 +8,8 @@ longest item, moved by half its length, so every item lies whole in some
 passage.  Bounds cut work and no results: first the passage's rare terms at
 their maxima plus the most that common terms can give any item, then the block
 maxima of all its terms, then WAND's pivot walk over the postings.  All items
-with a score of ``threshold`` or more are retrieved and then verified:
+with a score of ``threshold`` or more are retrieved and then verified; unless
+it is given, it is the least that a passage covered to ``overlap`` can score:
 five-word shingles of the question and of the answer must both be covered by
 ``overlap`` or more, or those of the whole item where no question mark parts it.
 """
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from ._common import slices
 
 K1, B = 1.2, 0.75
-THRESHOLD = 0.6        # of an item's own BM25 score
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 2              # items of a block in the index
@@ -90,6 +90,29 @@ class Index:
         self.common_mass = float(mass.max(initial=0.0))     # the most that common terms give an item
         self.wanted = [(shingles(parts[0]), shingles(parts[-1])) for _, *parts in self.items]
 
+    def least_score(self, overlap: float) -> float:
+        """A score that every passage reaches which covers the parts of an item
+        to ``overlap``.  With a window of a part left, a word that the passage
+        lacks on its left is the first of a broken window, one on its right the
+        last: words lacking are no more than windows broken, and cost at most
+        what the heaviest of them weigh."""
+        weight: list[dict[bytes, float]] = [{} for _ in self.items]
+        for t, v in self.vocab.items():
+            for i, x in self.postings[v]:
+                weight[i][t] = x
+        least = 1.0
+        for (_, *parts), own in zip(self.items, weight):
+            tf = Counter(t for part in parts for t in part)
+            lost = 0.0
+            for part in filter(None, parts):
+                k = min(SHINGLE, len(part))
+                often = sorted(Counter(zip(*[part[i:] for i in range(k)])).values(), reverse=True)
+                missing = min(len(often), int(len(often) * (1 - overlap) + 1e-9))
+                broken = len(part) if missing == len(often) else sum(often[:missing])
+                lost += sum(sorted((own[t] / tf[t] for t in part), reverse=True)[:broken])
+            least = min(least, 1.0 - lost)
+        return max(0.0, least - 1e-9)
+
     def _maxima(self, postings):
         out: dict[int, float] = {}
         for i, x in postings:
@@ -180,13 +203,14 @@ class Index:
         return len(wanted & sets[k]) / len(wanted)
 
 
-def _match_batches(held, threshold: float, overlap: float):
+def _match_batches(held, threshold: float | None, overlap: float):
     def run(batches):
         index = Index(held.value)
+        least = index.least_score(overlap) if threshold is None else threshold
         for b in slices(batches, "_text"):
             row, got = [], []
             for i, t in enumerate(b.column("_text").to_pylist()):
-                for m in index.matches(t, threshold, overlap):
+                for m in index.matches(t, least, overlap):
                     row.append(i)
                     got.append(m)
             if row:
@@ -199,11 +223,12 @@ def _match_batches(held, threshold: float, overlap: float):
     return run
 
 
-def _clean_batches(held, text_col: str, threshold: float, overlap: float):
+def _clean_batches(held, text_col: str, threshold: float | None, overlap: float):
     def run(batches):
         index = Index(held.value)
+        least = index.least_score(overlap) if threshold is None else threshold
         for b in slices(batches, text_col):
-            yield b.filter(pa.array([not index.matches(t, threshold, overlap) for t in b.column(text_col).to_pylist()]))
+            yield b.filter(pa.array([not index.matches(t, least, overlap) for t in b.column(text_col).to_pylist()]))
     return run
 
 
@@ -218,7 +243,7 @@ def _pieces(benchmark: DataFrame, item_col: str, item_text: str, piece_words: in
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD,
+               item_col: str = "item_id", item_text: str = "text", threshold: float | None = None,
                overlap: float = OVERLAP, piece_words: int = PIECE_WORDS) -> DataFrame:
     """A row for each row of ``df`` and item that it verifiably holds: id,
     ``item_id``, ``score``, ``question_overlap``, ``answer_overlap`` (both the
@@ -226,7 +251,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     word of the best passage).
 
     Null and empty texts hold nothing; items without words are held by
-    nothing; an empty benchmark or table gives no rows.  Parts of items under
+    nothing; a ``threshold`` that is given may pass over covered items; an empty benchmark or table gives no rows.  Parts of items under
     five words must occur whole.  Repeated rows and repeated items each count;
     null ids stay null.  Other columns are not read.
     """
@@ -241,7 +266,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-               item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP,
+               item_text: str = "text", threshold: float | None = None, overlap: float = OVERLAP,
                piece_words: int = PIECE_WORDS) -> DataFrame:
     """The rows of ``df``, all columns, that hold no item (a filter: nothing is shuffled)."""
     for held in _pieces(benchmark, item_col, item_text, piece_words):

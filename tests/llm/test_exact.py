@@ -393,6 +393,25 @@ def test_leaks_with_one_word_edited_are_found(spark):
     assert {r["doc_id"] for r in decontaminate.drop_leaks(frame(spark, rows), bench).collect()} == {99, 199, 299, 399}
 
 
+def test_no_covered_passage_scores_under_the_derived_threshold():
+    common = [f"c{i}".encode() for i in range(48)]
+    rare = [f"r{i}".encode() for i in range(11)]
+    items = [(0, rare + common), *((i, common) for i in range(1, 2000))]     # the first item's edge holds its weight
+    index = decontaminate.Index(items)
+    assert [m[0] for m in index.matches(b" ".join(common).decode(), index.least_score(0.8), 0.8) if index.items[m[0]][0] == 0]
+    rng = np.random.default_rng(6)
+    items = [(i, [b"t%d" % j for j in rng.zipf(1.3, n) % 50]) for i, n in enumerate(rng.integers(1, 40, 60))]
+    index = decontaminate.Index(items)
+    least = index.least_score(0.8)
+    for _ in range(300):
+        w = list(items[rng.integers(0, 60)][1])
+        for _ in range(rng.integers(0, 3)):
+            w[rng.integers(0, len(w))] = b"edited"
+        w = w[rng.integers(0, 1 + len(w) // 6):]
+        text = b" ".join(w).decode()
+        assert [m[0] for m in index.matches(text, least, 0.8)] == [m[0] for m in index.matches(text, 1e-6, 0.8)]
+
+
 def test_wand_finds_all_above_threshold():
     rng = np.random.default_rng(5)
     vocab = [f"t{i}".encode() for i in range(60)]
