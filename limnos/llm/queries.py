@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and the pipeline, with the DuckDB
+"""Registered queries of the operators and the pipeline, with the DuckDB
 SQL of those that SQL can express."""
 
 from __future__ import annotations
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontaminate, language_id, licenses, line_dedup, mixing, quality_classifier, quality_rules, secret_scan,
-               sharding, simhash)
+               sharding, simhash, token_align)
 from ._common import shared_path, table
 
 N_SHARDS = 16
@@ -67,6 +67,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_corpus(table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------- pipeline stages
 
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -98,7 +102,8 @@ STAGES = [("quality_rules", stage_quality_rules), ("simhash_near_dedup", stage_n
           ("benchmark_decontamination", stage_decontamination), ("source_mixing", stage_mixing), ("sharding", stage_sharding)]
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_quality_rules, op4_license_scan, op5_line_dedup,
-                                   op6_quality_classifier, op7_language_id, op8_secret_scan, op9_decontamination, op10_mixing)}
+                                   op6_quality_classifier, op7_language_id, op8_secret_scan, op9_decontamination, op10_mixing,
+                                   op11_token_alignment)}
 
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), " \
        "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
