@@ -3,11 +3,13 @@ SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, language_id, licenses, line_dedup, mixing, quality_classifier, quality_rules, secret_scan,
-               sharding, simhash, token_align)
+from . import (decontaminate, language_id, licenses, line_dedup, mixing, periodic_runs, quality_classifier, quality_rules,
+               secret_scan, sharding, simhash, token_align)
 from ._common import shared_path, table
 
 N_SHARDS = 16
@@ -71,6 +73,30 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align_corpus(table(spark, sf_dir, "documents"))
 
 
+def repeat_tail(doc_id, words: list) -> list:
+    """The contract's edit of one document in ten: its words from some place on
+    become repetitions of the first of them.  A null id leaves them as they are."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.find_runs(table(spark, sf_dir, "documents"), edit=repeat_tail)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"),
+                                                              (-r["period"]).alias("shorter"))))
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.shorter")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.shorter")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
 # ---------------------------------------------------------------- pipeline stages
 
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -103,7 +129,7 @@ STAGES = [("quality_rules", stage_quality_rules), ("simhash_near_dedup", stage_n
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_quality_rules, op4_license_scan, op5_line_dedup,
                                    op6_quality_classifier, op7_language_id, op8_secret_scan, op9_decontamination, op10_mixing,
-                                   op11_token_alignment)}
+                                   op11_token_alignment, op12_periodic_runs)}
 
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), " \
        "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
