@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontaminate, language_id, licenses, line_dedup, mixing, periodic_runs, quality_classifier, quality_rules,
-               secret_scan, sharding, simhash, token_align)
+               secret_scan, sharding, simhash, token_align, toxicity)
 from ._common import shared_path, table
 
 N_SHARDS = 16
@@ -97,6 +97,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # ---------------------------------------------------------------- pipeline stages
 
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -129,7 +133,7 @@ STAGES = [("quality_rules", stage_quality_rules), ("simhash_near_dedup", stage_n
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_quality_rules, op4_license_scan, op5_line_dedup,
                                    op6_quality_classifier, op7_language_id, op8_secret_scan, op9_decontamination, op10_mixing,
-                                   op11_token_alignment, op12_periodic_runs)}
+                                   op11_token_alignment, op12_periodic_runs, op13_toxicity)}
 
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), " \
        "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
