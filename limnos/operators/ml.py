@@ -139,6 +139,27 @@ class PopulationScaler:
                                      "feature string, mean double, std double")
 
 
+MAX_CLASSES = 10_000   # most label values: bounds what is collected and broadcast by class
+
+
+def fit_moments(df: DataFrame, columns: Sequence[str], label: str) -> Tuple[PopulationScaler, Dict[object, int]]:
+    """The scaler over all rows and the number of rows of each class, from one
+    scan: counts, means and variances by class, put together on the driver
+    (one row a class; more than ``MAX_CLASSES`` label values raise)."""
+    aggs = [f for i, c in enumerate(columns) for f in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}"))]
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *aggs).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"over {MAX_CLASSES} values: is {label} a class?")
+    scaler = PopulationScaler(list(columns), {}, {})
+    for i, c in enumerate(columns):
+        own = [(r[f"n{i}"], r[f"m{i}"], r[f"v{i}"]) for r in rows if r[f"n{i}"]]
+        n = sum(k for k, _, _ in own)
+        mean = sum(k * m for k, m, _ in own) / n if n else 0.0
+        scaler.means[c] = mean
+        scaler.stds[c] = (sum(k * (v + (m - mean) ** 2) for k, m, v in own) / n) ** 0.5 if n else 0.0
+    return scaler, {r[label]: r["n"] for r in rows if r[label] is not None}
+
+
 def one_hot(df: DataFrame, label: str = "quality", prefix: str = "y") -> DataFrame:
     """M3: one-hot target, width = max label + 1 (like ``to_categorical``)."""
     width = df.agg(F.max(label)).collect()[0][0] + 1
@@ -159,11 +180,14 @@ def class_weights(df: DataFrame, label: str = "quality") -> DataFrame:
 
 def preprocess(df: DataFrame, features: Sequence[str], label: str = "quality",
                key: str = "reading_id", seed: int = 42):
-    """M5: split -> scaler fitted on train -> weights joined by class.
+    """M5: split -> scaler and class weights from one scan of train, weights
+    joined by class.
     Returns (frame with ``split``, scaled features and ``weight``, scaler,
     weights frame)."""
     split = stratified_split(df, label, key, seed=seed)
-    scaler = PopulationScaler(list(features)).fit(split.where(F.col("split") == "train"))
-    weights = class_weights(split.where(F.col("split") == "train"), label)
+    scaler, counts = fit_moments(split.where(F.col("split") == "train"), features, label)
+    n = sum(counts.values())
+    weights = df.sparkSession.createDataFrame([(c, n / (len(counts) * k)) for c, k in counts.items()],
+                                              f"{label} {dict(df.dtypes)[label]}, weight double")
     out = scaler.transform(split).join(F.broadcast(weights), label, "left")
     return out, scaler, weights

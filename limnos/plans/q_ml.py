@@ -434,37 +434,51 @@ def a16_per_class_accuracy(spark, sf_dir):
     return p.select("actual", r("accuracy").alias("accuracy"), "support")
 
 
-# -- trained Spark ML models (rows-only checks) ---------------------------
+# -- trained models (rows-only checks) ------------------------------------
 
-def _train_split(spark, sf_dir, features):
-    df = labelled(spark, sf_dir)
-    if features != BASE3:
-        df = df.transform(engineer_features)
-    out, scaler, weights = ml.preprocess(df, features)
-    return out, scaler
+def _splits(spark, sf_dir):
+    """Raw labelled readings of the train, validation and test splits."""
+    sp = ml.stratified_split(labelled(spark, sf_dir))
+    return [sp.where(F.col("split") == s) for s in ("train", "val", "test")]
 
 
 @query("m06_train_score")
 def m06_train_score(spark, sf_dir):
     """M6 + M22: random forest on the 3 base features (class-weighted,
     scaler fitted on train), scored on the test split."""
-    sp, _ = _train_split(spark, sf_dir, BASE3)
-    model = MD.train(sp.where(F.col("split") == "train"), BASE3)
-    test = MD.model_probabilities(model)(sp.where(F.col("split") == "test"))
-    return MD.predicted_class(test).select("reading_id", "quality", "predicted",
-                                           F.array_max("probability").alias("top_probability"))
+    train, _, test = _splits(spark, sf_dir)
+    out = MD.model_probabilities(MD.train(train, BASE3))(test)
+    return MD.predicted_class(out).select("reading_id", "quality", "predicted",
+                                          F.array_max("probability").alias("top_probability"))
+
+
+@query("m06_net")
+def m06_net(spark, sf_dir):
+    """M6: the class-weighted softmax net on the 3 base features (gradients
+    summed over partitions, early stop on the validation split), reported by
+    class on the test split."""
+    train, val, test = _splits(spark, sf_dir)
+    model = MD.train(train, BASE3, kind="net", validation=val)
+    out = MD.predicted_class(MD.model_probabilities(model)(test))
+    return EV.classification_report(out, "quality", "predicted")
 
 
 @query("m08_retrain_enhanced")
 def m08_retrain_enhanced(spark, sf_dir):
-    """M8: retrain on the 35 enhanced features, save the pipeline, load it
-    back and score the test split (S9 round trip)."""
-    sp, _ = _train_split(spark, sf_dir, MODEL_FEATURES)
-    model = MD.train(sp.where(F.col("split") == "train"), MODEL_FEATURES)
-    path = MD.save_model(model, scratch_path(spark, "models", "enhanced"))
-    loaded = MD.load_model(path)
-    test = MD.model_probabilities(loaded)(sp.where(F.col("split") == "test"))
-    return MD.predicted_class(test).select("reading_id", "quality", "predicted")
+    """M8: retrain on the 35 enhanced features, save the whole pipeline, load
+    it back and score the raw readings of the test split (S9 round trip)."""
+    train, _, test = _splits(spark, sf_dir)
+    path = MD.save_model(MD.train(train, MODEL_FEATURES), scratch_path(spark, "models", "enhanced"))
+    out = MD.model_probabilities(MD.load_model(path))(test)
+    return MD.predicted_class(out).select("reading_id", "quality", "predicted")
+
+
+@query("m08_spot_samples")
+def m08_spot_samples(spark, sf_dir):
+    """M8: the five spot readings, by the rules and by the model retrained on
+    the 35 enhanced features, saved and loaded."""
+    path = MD.save_model(MD.train(_splits(spark, sf_dir)[0], MODEL_FEATURES), scratch_path(spark, "models", "spot"))
+    return MD.spot_samples(spark, MD.load_model(path))
 
 
 @query("m22_evaluate_model")
@@ -481,9 +495,8 @@ def m24_model_summary(spark, sf_dir):
 
 
 def _tested(spark, sf_dir):
-    sp, _ = _train_split(spark, sf_dir, BASE3)
-    model = MD.train(sp.where(F.col("split") == "train"), BASE3)
-    return MD.predicted_class(MD.model_probabilities(model)(sp.where(F.col("split") == "test")))
+    train, _, test = _splits(spark, sf_dir)
+    return MD.predicted_class(MD.model_probabilities(MD.train(train, BASE3))(test))
 
 
 @query("m07_model_quality_report")
@@ -491,18 +504,8 @@ def m07_model_quality_report(spark, sf_dir):
     """M7 with a trained model: all valid readings scored by the forest
     (features -> scaler -> model) and the confidence chain, reported per
     predicted class."""
-    sp, scaler = _train_split(spark, sf_dir, BASE3)
-    model = MD.train(sp.where(F.col("split") == "train"), BASE3)
-
-    def scaled_model(df):
-        # the model sees scaled inputs; the chain sees raw readings
-        raw = df.select(*[F.col(c).alias(f"_raw_{c}") for c in BASE3], *df.columns)
-        out = MD.model_probabilities(model)(scaler.transform(raw))
-        for c in BASE3:
-            out = out.withColumn(c, F.col(f"_raw_{c}")).drop(f"_raw_{c}")
-        return out
-
-    s = score(valid(spark, sf_dir), model=scaled_model)
+    model = MD.train(_splits(spark, sf_dir)[0], BASE3)
+    s = score(valid(spark, sf_dir), model=MD.model_probabilities(model))
     return s.groupBy("quality_label").agg(F.count(F.lit(1)).alias("n"),
                                           F.avg("confidence").alias("mean_confidence"))
 
