@@ -4,7 +4,6 @@
 from __future__ import annotations
 
 from ..operators.score import disagreeing_model
-from ..sources.readings import readings
 from ..streaming import monitor as M
 from . import query
 from .common import r
@@ -87,6 +86,6 @@ def t04_stream_sessions(spark, sf_dir):
     """T4: one report per monitoring session (2-hour inactivity gap) per
     sensor: session windows in append mode, emitted once the watermark (max
     event time - 1 hour) passes their end; those still open when the input
-    ends are closed by a final pass."""
-    out = M.run_sessions(spark, M.events_stream(spark, sf_dir), readings(spark, sf_dir), "t04")
+    ends are read from the query's state."""
+    out = M.run_sessions(spark, M.events_stream(spark, sf_dir), "t04")
     return _report_out(out, ["sensor_id", "session_start", "session_end"])

@@ -29,8 +29,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     session from the platform; nothing in the library calls this."""
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         # a busy sensor's readings merge in each task before they meet in one
-         .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
          .config("spark.driver.memory", driver_memory))
     if str(cpus).isdigit():
         b = b.config("limnos.input.partitions", str(cpus))  # the test tables are single row groups
