@@ -1,15 +1,15 @@
 """Probability calibration.
 
-* Temperature scaling is fitted by grid search: each reading is exploded over
-  the grid's temperatures and one aggregation sums the NLL by grid point (no
-  join with the grid), then the grid shrinks around the best point; only the
-  grid's NLL values (bounded by the grid size) reach the driver.  The three
-  passes read the logits from a cache, not through the scoring chain again.
-* Platt scaling and isotonic regression are Spark ML estimators
-  (``LogisticRegression``, ``IsotonicRegression``) on the top probability.
-  They are fitted on counts by top probability in steps of ``RESOLUTION``:
-  Spark's isotonic regression gathers its pooled points in the driver, so
-  this bounds them (1 / RESOLUTION points at most), whatever the input.
+* Temperature scaling and Platt scaling are Newton searches: each pass over the
+  (cached) logits or top probabilities is one aggregation to a single row of
+  loss, slope and curvature; the temperature's search is in 1 / T, where the
+  loss is convex, and is kept inside a bracket.
+* Isotonic regression is pool-adjacent-violators over ranges of the top
+  probability: each range pools its points, and the block lists are dealt into
+  other ranges and pooled again until no neighbours violate the order.  Pooling
+  in any order gives the same blocks, so nothing is gathered and no point is
+  rounded.
+* ``temperature_nll`` gives the loss on a grid of temperatures.
 * A fit raises on a label that is NULL or no class.
 * As in the reference, Platt and isotonic leave the probability row
   unchanged (they scale a row by one factor, then renormalise — quirk Q-6);
@@ -21,14 +21,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Dict, List, Optional, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import EPS, argmax, log_probs, softmax, top_prob
+from ..session import scratch_path
 
 N_CLASSES = 4
-#: Step of the top probability within which readings count as one point.
-RESOLUTION = 1e-6
+T_RANGE = (0.1, 10.0)
+#: Decimals of a probability: what softmax leaves of equal ones.
+DIGITS = 12
 
 
 def with_logits(df: DataFrame, probability: str = "probability", out: str = "logits") -> DataFrame:
@@ -36,6 +41,11 @@ def with_logits(df: DataFrame, probability: str = "probability", out: str = "log
     return df.withColumn(out, log_probs(probability))
 
 
+def settled(p: Column) -> Column:
+    """A probability without the last bits that softmax makes up."""
+    return F.floor(p * 10.0 ** DIGITS + 0.5) / 10.0 ** DIGITS
+
+
 def _known(label: str) -> Column:
     """The label; raises where it is NULL or no class."""
     c = F.col(label)
@@ -66,30 +76,58 @@ def temperature_nll(df: DataFrame, temperatures: Sequence[float], logits: str =
     return sums.select(temps[F.col("_i")].alias("temperature"), "nll")
 
 
-def grid(center: float, step: float, half: int, lo: float = 0.1, hi: float = 10.0) -> List[float]:
-    return [center + (i - half) * step for i in range(2 * half + 1)
-            if lo <= center + (i - half) * step <= hi]
-
-
 FIRST_GRID = [0.1 + i * 0.1 for i in range(100)]
-REFINE_STEPS = (0.002, 0.00004)
 
 
-def fit_temperature(df: DataFrame, logits: str = "logits", label: str = "quality") -> Dict[str, float]:
-    """Minimise the NLL over T in [0.1, 10]: a 100-point grid, then two
-    101-point grids around the best point (ties -> smaller T)."""
+def _slopes(df: DataFrame, points: Sequence[float], logits: str, label: str) -> List[tuple]:
+    """(NLL, slope, curvature) at each u = 1 / T, from one aggregation."""
+    z = [F.col(logits)[j] for j in range(N_CLASSES)]
+    z_y = F.when(F.col("_label") == 0, z[0]).when(F.col("_label") == 1, z[1]).when(F.col("_label") == 2, z[2]).otherwise(z[3])
+    rows, aggs = df.select(logits, _known(label).alias("_label")), []
+    for i, u in enumerate(points):
+        x = [zj * F.lit(float(u)) for zj in z]
+        m = F.greatest(*x)
+        e = [F.exp(xj - m) for xj in x]
+        total = e[0] + e[1] + e[2] + e[3]
+        mean = (e[0] * z[0] + e[1] * z[1] + e[2] * z[2] + e[3] * z[3]) / total
+        square = (e[0] * z[0] * z[0] + e[1] * z[1] * z[1] + e[2] * z[2] * z[2] + e[3] * z[3] * z[3]) / total
+        aggs += [F.sum(m + F.log(total) - z_y * F.lit(float(u))).alias(f"f{i}"), F.sum(mean - z_y).alias(f"g{i}"),
+                 F.sum(square - mean * mean).alias(f"h{i}")]
+    row = rows.agg(*aggs).first()
+    return [(row[f"f{i}"] or 0.0, row[f"g{i}"] or 0.0, row[f"h{i}"] or 0.0) for i in range(len(points))]
+
+
+def fit_temperature(df: DataFrame, logits: str = "logits", label: str = "quality", tolerance: float = 1e-10,
+                    steps: int = 60) -> Dict[str, float]:
+    """The T in [0.1, 10] of the smallest NLL, by Newton steps in u = 1 / T;
+    the first pass brackets the slope's change of sign, and a step that leaves
+    the bracket goes to its middle.
+    Without rows, T is 1."""
     df = df.select(logits, label).persist()
     try:
-        temps = FIRST_GRID
-        best = None
-        for step in (None,) + REFINE_STEPS:
-            if step is not None:
-                temps = grid(best[0], step, 50)
-            vals = temperature_nll(df, temps, logits, label).collect()
-            best = min(((r["temperature"], r["nll"]) for r in vals), key=lambda tn: (tn[1], tn[0]))
+        points = (1 / T_RANGE[1], 0.3, 1.0, 3.0, 1 / T_RANGE[0])
+        got = _slopes(df, points, logits, label)
+        if all(f == 0 and g == 0 for f, g, _ in got):
+            return {"temperature": 1.0, "nll": 0.0}
+        if got[0][1] >= 0:
+            return {"temperature": T_RANGE[1], "nll": got[0][0]}
+        if got[-1][1] <= 0:
+            return {"temperature": T_RANGE[0], "nll": got[-1][0]}
+        i = max(i for i, (_, g, _) in enumerate(got) if g < 0)
+        lo, hi, u, now = points[i], points[i + 1], points[i], got[i]
+        for _ in range(steps):
+            _, g, h = now
+            lo, hi = (lo, u) if g > 0 else (u, hi)
+            to = u - g / h if h > 0 else lo
+            if not lo < to < hi:
+                to = (lo + hi) / 2
+            moved, u = abs(to - u), to
+            now = _slopes(df, (u,), logits, label)[0]
+            if moved <= tolerance * u:
+                break
     finally:
         df.unpersist()
-    return {"temperature": best[0], "nll": best[1]}
+    return {"temperature": 1 / u, "nll": now[0]}
 
 
 def apply_temperature(df: DataFrame, temperature: float, logits: str = "logits",
@@ -98,56 +136,137 @@ def apply_temperature(df: DataFrame, temperature: float, logits: str = "logits",
     return df.withColumn(out, softmax(logits, temperature))
 
 
-def _top_features(df: DataFrame, probability: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-    return (df.withColumn("_top", top_prob(probability))
-            .withColumn("_top_vec", array_to_vector(F.array("_top"))))
+@dataclass
+class Platt:
+    """P(the true class holds the top probability) = sigmoid(intercept +
+    slope * top)."""
 
+    intercept: float
+    slope: float
 
-def _points(df: DataFrame, probability: str, label: str, hit) -> DataFrame:
-    """(_top, _hits, _n): readings and hits by top probability.  A point is
-    the smallest top probability of its step, so equal values stay as they
-    are.  At most 1 / RESOLUTION rows."""
-    rows = df.select(F.col(probability).alias("_p"), _known(label).alias("_label"))
-    rows = rows.select(top_prob("_p").alias("_top"), hit(F.col("_p"), F.col("_label")).cast("long").alias("_hit"))
-    return (rows.groupBy(F.round(F.col("_top") / RESOLUTION).cast("long").alias("_step"))
-            .agg(F.min("_top").alias("_top"), F.sum("_hit").alias("_hits"), F.count(F.lit(1)).alias("_n"))
-            .drop("_step"))
+    def confidence(self, top: Column) -> Column:
+        return 1 / (1 + F.exp(-(F.lit(self.intercept) + F.lit(self.slope) * top)))
 
 
-def fit_platt(df: DataFrame, probability: str = "probability", label: str = "quality"):
-    """Logistic regression of "the true class holds the top
-    probability" on the top probability; sklearn's C=1 is regParam = 1/n
-    without standardisation.  Each point weighs its hits and its misses."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    points = _points(df, probability, label, lambda p, y: p[y] == F.array_max(p)).persist()
+def fit_platt(df: DataFrame, probability: str = "probability", label: str = "quality", tolerance: float = 1e-10,
+              steps: int = 50) -> Platt:
+    """Logistic regression of "the true class holds the top probability"
+    on the top probability, with a penalty of slope^2 / 2 and none on the
+    intercept (sklearn's C = 1).  Newton steps from the log-odds of a hit; a
+    pass is one row of gradient and Hessian.  Where all readings hit (or none
+    does) there is no finite intercept: the log-odds count half a miss (hit)."""
+    rows = df.select(F.col(probability).alias("_p"), _known(label).alias("_label"))
+    rows = rows.select(top_prob("_p").alias("x"), F.when(F.col("_p")[F.col("_label")] == F.array_max("_p"), 1.0).otherwise(0.0).alias("y")).persist()
     try:
-        n = points.agg(F.sum("_n")).first()[0] or 0
-        side = F.explode(F.array(F.struct(F.lit(1.0).alias("hit"), F.col("_hits").alias("n")),
-                                 F.struct(F.lit(0.0).alias("hit"), (F.col("_n") - F.col("_hits")).alias("n"))))
-        d = (points.select(array_to_vector(F.array("_top")).alias("_top_vec"), side.alias("_s"))
-             .select("_top_vec", F.col("_s.hit").alias("_hit"), F.col("_s.n").cast("double").alias("_w"))
-             .where("_w > 0"))
-        lr = LogisticRegression(featuresCol="_top_vec", labelCol="_hit", weightCol="_w", regParam=1.0 / max(n, 1),
-                                elasticNetParam=0.0, standardization=False, maxIter=100,
-                                probabilityCol="_pp", rawPredictionCol="_raw", predictionCol="_pred")
-        return lr.fit(d)
+        n, hits = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
+        if not n:
+            return Platt(0.0, 0.0)
+        if hits in (0, n):
+            k = 0.5 if hits == 0 else n - 0.5
+            return Platt(float(np.log(k / (n - k))), 0.0)
+        b = np.array([np.log(hits / (n - hits)), 0.0])
+        for _ in range(steps):
+            p = 1 / (1 + F.exp(-(F.lit(float(b[0])) + F.lit(float(b[1])) * F.col("x"))))
+            e, w = F.col("y") - p, p * (1 - p)
+            g0, g1, h00, h01, h11 = rows.agg(F.sum(e), F.sum(e * F.col("x")), F.sum(w), F.sum(w * F.col("x")),
+                                             F.sum(w * F.col("x") * F.col("x"))).first()
+            step = np.linalg.solve([[h00, h01], [h01, h11 + 1.0]], [g0, g1 - b[1]])
+            b = b + step * min(1.0, 5.0 / max(1e-300, float(np.abs(step).max())))
+            if np.abs(step).max() <= tolerance:
+                break
     finally:
-        points.unpersist()
+        rows.unpersist()
+    return Platt(float(b[0]), float(b[1]))
 
 
-def fit_isotonic(df: DataFrame, probability: str = "probability", label: str = "quality"):
-    """Isotonic regression of "argmax is right" on the top probability
-    (Spark ML; predictions clip to the fitted range outside it).  A point's
-    value is its share of hits, its weight its readings."""
-    from pyspark.ml.regression import IsotonicRegression
+BLOCK_ROWS = 100_000    # blocks that one task pools, at least
 
-    d = (_points(df, probability, label, lambda p, y: argmax(p) == y)
-         .select("_top", (F.col("_hits") / F.col("_n")).alias("_hit"), F.col("_n").cast("double").alias("_w")))
-    return IsotonicRegression(featuresCol="_top", labelCol="_hit", weightCol="_w", isotonic=True,
-                              predictionCol="_iso").fit(d)
+
+def _pool(batches):
+    """Pool-adjacent-violators over a partition's blocks (lo, hi, hits, n), which
+    come in order; only blocks not yet pooled are held."""
+    lo, hi, hits, n = [], [], [], []
+    for b in batches:
+        for a, z, h, k in zip(*(b.column(c).to_pylist() for c in ("lo", "hi", "hits", "n"))):
+            while lo and hits[-1] * k >= h * n[-1]:
+                a, h, k = lo.pop(), h + hits.pop(), k + n.pop()
+                hi.pop()
+            lo.append(a), hi.append(z), hits.append(h), n.append(k)
+    yield pa.RecordBatch.from_arrays([pa.array(lo, pa.float64()), pa.array(hi, pa.float64()), pa.array(hits, pa.int64()),
+                                      pa.array(n, pa.int64())], ["lo", "hi", "hits", "n"])
+
+
+def _violations(blocks: DataFrame) -> int:
+    """Neighbours in neighbouring ranges whose order is wrong (one row a range)."""
+    ends = blocks.groupBy("part").agg(F.min(F.struct("lo", "hits", "n")).alias("first"), F.max(F.struct("lo", "hits", "n")).alias("last"))
+    prev = F.lag("last").over(Window.orderBy("first.lo"))
+    return (ends.withColumn("prev", prev)
+            .where(F.col("prev.hits") * F.col("first.n") >= F.col("first.hits") * F.col("prev.n")).count())
+
+
+def _curve(held):
+    """Interpolation on broadcast boundaries and values."""
+    @F.pandas_udf("double")
+    def at(t: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(t, *held.value))
+    return at
+
+
+@dataclass
+class Isotonic:
+    """The fitted blocks, a written table (part, lo, hi, hits, n) in which
+    each part is a range of the top probability; values are hits / n.  Between
+    blocks the value is interpolated, outside it is clipped."""
+
+    blocks: DataFrame
+
+    def steps(self) -> DataFrame:
+        """Boundaries and predictions: both ends of each block."""
+        value = F.col("hits") / F.col("n")
+        ends = F.when(F.col("lo") == F.col("hi"), F.array("lo")).otherwise(F.array("lo", "hi"))
+        return self.blocks.select(F.explode(ends).alias("boundary"), value.alias("prediction"))
+
+    def apply(self, df: DataFrame, top: str, out: str) -> DataFrame:
+        """Calibrated confidence of ``top``.  The curve is broadcast part by
+        part (a part's blocks are at most a few times ``BLOCK_ROWS``), each for
+        the readings of its range, so its whole size does not matter."""
+        spark = df.sparkSession
+        ranges = sorted(tuple(r) for r in self.blocks.groupBy("part").agg(F.min("lo"), F.max("hi"))
+                        .select("min(lo)", "max(hi)", "part").collect())
+        result, left = F.lit(None).cast("double"), None
+        for i, (lo, hi, part) in enumerate(ranges):
+            own = self.blocks.where(F.col("part") == part).orderBy("lo").toPandas()
+            x = np.concatenate(([left[0]] if left else [], np.column_stack((own["lo"], own["hi"])).ravel()))
+            v = np.concatenate(([left[1]] if left else [], np.repeat(own["hits"] / own["n"], 2)))
+            left = (x[-1], v[-1])
+            mine = F.col(top) <= hi if i + 1 < len(ranges) else F.lit(True)
+            result = F.when(result.isNull() & mine, _curve(spark.sparkContext.broadcast((x, v)))(F.col(top))).otherwise(result)
+        return df.withColumn(out, result)
+
+
+def fit_isotonic(df: DataFrame, probability: str = "probability", label: str = "quality") -> Isotonic:
+    """Isotonic regression of "argmax is right" on the top probability.
+    Equal probabilities (to ``DIGITS``) are one point; points and blocks only
+    meet by range.  Rows without probabilities are left out."""
+    spark = df.sparkSession
+    rows = df.select(F.col(probability).alias("_p"), _known(label).alias("_label"))
+    rows = rows.where(F.col("_p").isNotNull()).select(settled(top_prob("_p")).alias("lo"), (argmax("_p") == F.col("_label")).cast("long").alias("hit"))
+    blocks = rows.groupBy("lo").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n")) \
+                 .select("lo", F.col("lo").alias("hi"), "hits", "n")
+    path = scratch_path(spark, "isotonic", "points")
+    blocks.write.parquet(path)
+    blocks = spark.read.parquet(path)
+    turn, n = 0, blocks.count()
+    while True:
+        ranges = max(1, -(-n // BLOCK_ROWS) + turn % 2)     # other cuts in every round
+        path = scratch_path(spark, "isotonic", f"round{turn}")
+        (blocks.select("lo", "hi", "hits", "n").repartitionByRange(ranges, "lo").sortWithinPartitions("lo")
+         .mapInArrow(_pool, "lo double, hi double, hits long, n long")
+         .withColumn("part", F.spark_partition_id()).write.parquet(path))
+        blocks = spark.read.parquet(path)
+        n, turn = blocks.count(), turn + 1
+        if not _violations(blocks):
+            return Isotonic(blocks)
 
 
 @dataclass
@@ -177,15 +296,9 @@ class Calibrator:
         return self
 
     def _conf(self, model, df: DataFrame, prob: str, out: str) -> DataFrame:
-        d = _top_features(df, prob)
-        if hasattr(model, "coefficients"):  # Platt
-            res = model.setFeaturesCol("_top_vec").setProbabilityCol("_pp") \
-                .setRawPredictionCol("_raw").setPredictionCol("_pred").transform(d)
-            from pyspark.ml.functions import vector_to_array
-            res = res.withColumn(out, vector_to_array("_pp")[1]).drop("_pp", "_raw", "_pred")
-        else:  # isotonic
-            res = model.setFeaturesCol("_top").setPredictionCol(out).transform(d)
-        return res.drop("_top", "_top_vec")
+        if isinstance(model, Platt):
+            return df.withColumn(out, model.confidence(top_prob(prob)))
+        return model.apply(df.withColumn("_top", settled(top_prob(prob))), "_top", out).drop("_top")
 
     def apply(self, df: DataFrame, logits: str = "logits",
               out: str = "calibrated_probability") -> DataFrame:
@@ -224,24 +337,25 @@ class Calibrator:
         return self.model if isinstance(self.model, dict) else {self.method: self.model}
 
     def save(self, spark, path: str) -> str:
-        """Scalars and fitted Spark ML models, one folder."""
+        """Scalars, the Platt line and the isotonic blocks, one folder."""
         for name, model in self._models().items():
-            model.write().overwrite().save(f"{path}/{name}")
+            if isinstance(model, Platt):
+                table = spark.createDataFrame([(model.intercept, model.slope)], "intercept double, slope double").coalesce(1)
+            else:
+                table = model.blocks
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
         self.params(spark).coalesce(1).write.mode("overwrite").json(f"{path}/params")
         return path
 
     @classmethod
     def load(cls, spark, path: str) -> "Calibrator":
         """The calibrator that ``save`` wrote."""
-        from pyspark.ml.classification import LogisticRegressionModel
-        from pyspark.ml.regression import IsotonicRegressionModel
-
         p = spark.read.schema("method string, temperature double, is_fitted boolean, "
                               "weights map<string,double>").json(f"{path}/params").first()
         cal = cls(p["method"], p["temperature"], None, p["is_fitted"], dict(p["weights"]))
-        kinds = {"platt": LogisticRegressionModel, "isotonic": IsotonicRegressionModel}
+        kinds = {"platt": lambda t: Platt(*t.select("intercept", "slope").first()), "isotonic": Isotonic}
         wanted = kinds if cal.method == "ensemble" else {cal.method} & set(kinds)
-        models = {name: kinds[name].load(f"{path}/{name}") for name in wanted if cal.is_fitted}
+        models = {name: kinds[name](spark.read.parquet(f"{path}/{name}")) for name in wanted if cal.is_fitted}
         if models:
             cal.model = models if cal.method == "ensemble" else models[cal.method]
         return cal

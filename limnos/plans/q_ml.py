@@ -219,24 +219,59 @@ def m12_temperature_nll(spark, sf_dir):
     return out.select(r("temperature").alias("temperature"), r("nll").alias("nll"))
 
 
-def _fit_sql(src: str = "cal") -> str:
-    def pas(i, grid_sql):
-        return f"""
-, p{i} AS (SELECT temperature, sum({_nll_sql('temperature')}) AS nll FROM {src}, ({grid_sql}) g GROUP BY temperature)
-, b{i} AS (SELECT temperature AS c, nll FROM p{i} ORDER BY nll, temperature LIMIT 1)"""
-    s = pas(1, "SELECT 0.1e0 + i * 0.1e0 AS temperature FROM range(0, 100) t(i)")
-    for i, step in ((2, 0.002), (3, 0.00004)):
-        st = f"CAST({step!r} AS DOUBLE)"
-        s += pas(i, f"SELECT c + (i - 50) * {st} AS temperature FROM b{i - 1}, range(0, 101) t(i) "
-                    f"WHERE c + (i - 50) * {st} BETWEEN 0.1 AND 10.0")
-    return s
+def _slope_sql(u: str) -> str:
+    """Loss, slope and curvature in u = 1 / T, summed over readings."""
+    xs = [f"(z{j} * {u})" for j in range(4)]
+    es = [f"exp({x} - greatest({', '.join(xs)}))" for x in xs]
+    tot = f"({' + '.join(es)})"
+    mean = f"(({' + '.join(f'{e} * z{j}' for j, e in enumerate(es))}) / {tot})"
+    square = f"(({' + '.join(f'{e} * z{j} * z{j}' for j, e in enumerate(es))}) / {tot})"
+    zy = "(CASE quality WHEN 0 THEN z0 WHEN 1 THEN z1 WHEN 2 THEN z2 ELSE z3 END)"
+    return (f"sum(greatest({', '.join(xs)}) + ln({tot}) - {zy} * {u}) AS f, sum({mean} - {zy}) AS g, "
+            f"sum({square} - {mean} * {mean}) AS h")
+
+
+def _fit_sql(src: str = "cal", steps: int = 30) -> str:
+    """Newton in u = 1 / T within a bracket, step by step; b3 holds the
+    temperature and its loss."""
+    s = f"""
+, lower AS MATERIALIZED (SELECT {_slope_sql('0.1e0')} FROM {src}), upper AS MATERIALIZED (SELECT {_slope_sql('10e0')} FROM {src})
+, u0 AS (SELECT 1e0 AS u, 0.1e0 AS lo, 10e0 AS hi)"""
+    for i in range(steps):
+        s += f"""
+, n{i} AS MATERIALIZED (SELECT u, lo, hi, {_slope_sql('u')} FROM {src}, u{i} GROUP BY u, lo, hi)
+, w{i} AS (SELECT u, CASE WHEN g > 0 THEN lo ELSE u END AS lo, CASE WHEN g > 0 THEN u ELSE hi END AS hi, u - g / h AS t FROM n{i})
+, u{i + 1} AS MATERIALIZED (SELECT CASE WHEN t > lo AND t < hi THEN t ELSE (lo + hi) / 2 END AS u, lo, hi FROM w{i})"""
+    return s + f"""
+, b2 AS MATERIALIZED (SELECT CASE WHEN lower.g >= 0 THEN 0.1e0 WHEN upper.g <= 0 THEN 10e0 ELSE u END AS u FROM u{steps}, lower, upper)
+, b3 AS MATERIALIZED (SELECT 1 / u AS c, f AS nll FROM (SELECT u, {_slope_sql('u')} FROM {src}, b2 GROUP BY u))"""
+
+
+PLATT_STEPS = 12
+
+
+def _platt_sql(src: str = "cal") -> str:
+    """Newton steps of the Platt line (intercept a, slope b) on the top
+    probability x and whether the true class holds it."""
+    s = f"""
+, xy AS MATERIALIZED (SELECT greatest(p0, p1, p2, p3) AS x, CASE WHEN CASE quality WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2
+    ELSE p3 END = greatest(p0, p1, p2, p3) THEN 1e0 ELSE 0e0 END AS y FROM {src})
+, a0 AS (SELECT ln(sum(y) / (count(*) - sum(y))) AS a, 0e0 AS b FROM xy)"""
+    for i in range(PLATT_STEPS):
+        s += f"""
+, q{i} AS MATERIALIZED (SELECT a, b, sum(y - p) AS g0, sum((y - p) * x) - b AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01,
+    sum(p * (1 - p) * x * x) + 1 AS h11 FROM (SELECT x, y, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM xy, a{i}) GROUP BY a, b)
+, a{i + 1} AS MATERIALIZED (SELECT a + s0 * k AS a, b + s1 * k AS b FROM (SELECT a, b, s0, s1,
+    least(1e0, 5 / greatest(1e-300, abs(s0), abs(s1))) AS k FROM (SELECT a, b, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS s0,
+    (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS s1 FROM q{i})))"""
+    return s + f"""
+, line AS MATERIALIZED (SELECT a, b FROM a{PLATT_STEPS})"""
 
 
 @query("m12_temperature_fit", CAL + _fit_sql() + """
 SELECT round(c, 6) AS temperature, round(nll, 6) AS nll FROM b3""")
 def m12_temperature_fit(spark, sf_dir):
-    """Temperature minimising the NLL on [0.1, 10] (grid, then two
-    shrinking grids)."""
+    """Temperature minimising the NLL on [0.1, 10] (Newton in 1 / T)."""
     fit = C.fit_temperature(cal_frame(spark, sf_dir))
     return spark.createDataFrame([(round(fit["temperature"], 6), round(fit["nll"], 6))],
                                  "temperature double, nll double")
@@ -253,42 +288,45 @@ def m19_calibration_set(spark, sf_dir):
                      *[r(F.col("logits")[i]).alias(f"logit{i}") for i in range(4)])
 
 
-@query("m14_platt_fit")
+@query("m14_platt_fit", CAL + _platt_sql() + """
+SELECT round(a, 5) AS intercept, round(b, 5) AS slope FROM line""")
 def m14_platt_fit(spark, sf_dir):
-    """Platt scaling (Spark ML logistic regression) on the calibration
-    set; returns intercept and slope."""
-    d = cal_frame(spark, sf_dir)
-    m = C.fit_platt(d)
-    return spark.createDataFrame([(float(m.intercept), float(m.coefficients[0]))],
-                                 "intercept double, slope double")
+    """Platt scaling (distributed Newton steps) on the calibration set;
+    returns intercept and slope."""
+    line = C.fit_platt(cal_frame(spark, sf_dir))
+    return spark.createDataFrame([(line.intercept, line.slope)], "intercept double, slope double") \
+        .select(r("intercept", 5).alias("intercept"), r("slope", 5).alias("slope"))
 
 
 # the fit at a point is the largest, over its starts, of the smallest mean up to its ends
-ISOTONIC_SQL = CAL + """
-, pts AS (SELECT min(top) AS t, sum(hit) AS h, count(*) AS n
-          FROM (SELECT greatest(p0, p1, p2, p3) AS top, CASE WHEN model_class = quality THEN 1 ELSE 0 END AS hit FROM cal)
-          GROUP BY CAST(round(top / 1e-6) AS BIGINT))
+ISOTONIC = """
+, pts AS (SELECT t, sum(hit) AS h, count(*) AS n
+          FROM (SELECT round(greatest(p0, p1, p2, p3), 12) AS t, CASE WHEN model_class = quality THEN 1 ELSE 0 END AS hit FROM cal)
+          GROUP BY t)
 , sums AS MATERIALIZED (SELECT t, h, n, row_number() OVER w AS i, sum(h) OVER w AS to_h, sum(n) OVER w AS to_n
                         FROM pts WINDOW w AS (ORDER BY t))
 , spans AS MATERIALIZED (SELECT a.i AS i, b.i AS j, (b.to_h - a.to_h + a.h) / CAST(b.to_n - a.to_n + a.n AS DOUBLE) AS m
                          FROM sums a JOIN sums b ON a.i <= b.i)
-, least_mean AS (SELECT k.i AS k, s.i, min(s.m) AS m FROM sums k JOIN spans s ON s.i <= k.i AND s.j >= k.i GROUP BY ALL)
-, fitted AS (SELECT k, round(max(m), 6) AS f FROM least_mean GROUP BY k)"""
+, least_mean AS (SELECT i, j AS k, min(m) OVER (PARTITION BY i ORDER BY j DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM spans)
+, fitted AS MATERIALIZED (SELECT k, max(m) AS f FROM least_mean GROUP BY k)
+, curve AS MATERIALIZED (SELECT t, f FROM fitted JOIN sums ON i = k)"""
+ISOTONIC_SQL = CAL + ISOTONIC
 
 
 @query("m16_isotonic_fit", ISOTONIC_SQL + """
-SELECT round(t, 6) AS boundary, f AS prediction FROM fitted JOIN sums ON i = k
-QUALIFY lag(f) OVER (ORDER BY k) IS DISTINCT FROM f OR lead(f) OVER (ORDER BY k) IS DISTINCT FROM f""")
+SELECT round(t, 6) AS boundary, round(f, 6) AS prediction FROM curve
+QUALIFY lag(f) OVER (ORDER BY t) IS DISTINCT FROM f OR lead(f) OVER (ORDER BY t) IS DISTINCT FROM f""")
 def m16_isotonic_fit(spark, sf_dir):
     """Isotonic regression of correctness on top probability; returns
     the fitted step function (boundaries, predictions)."""
-    m = C.fit_isotonic(cal_frame(spark, sf_dir))
-    b, p = [float(x) for x in m.boundaries], [float(x) for x in m.predictions]
-    out = spark.createDataFrame(list(zip(b, p)), "boundary double, prediction double")
+    out = C.fit_isotonic(cal_frame(spark, sf_dir)).steps()
     return out.select(r("boundary").alias("boundary"), r("prediction").alias("prediction"))
 
 
-@query("m15_calibrated_confidence")
+@query("m15_calibrated_confidence", ISOTONIC_SQL + _platt_sql() + """
+SELECT reading_id, round(1 / (1 + exp(-(a + b * greatest(p0, p1, p2, p3)))), 5) AS platt_confidence,
+       round(f, 6) AS isotonic_confidence
+FROM cal, line JOIN curve ON true WHERE t = round(greatest(p0, p1, p2, p3), 12)""")
 def m15_calibrated_confidence(spark, sf_dir):
     """Platt and isotonic calibrated confidence per reading, the
     probability row unchanged (quirk Q-6)."""
@@ -298,7 +336,8 @@ def m15_calibrated_confidence(spark, sf_dir):
         cal = C.Calibrator(m).fit(d)
         out = cal.apply(out).withColumnRenamed("calibrated_confidence", f"{m}_confidence") \
             .drop("calibrated_probability")
-    return out.select("reading_id", "platt_confidence", "isotonic_confidence")
+    return out.select("reading_id", r("platt_confidence", 5).alias("platt_confidence"),
+                      r("isotonic_confidence").alias("isotonic_confidence"))
 
 
 def _top_sql(t: str) -> str:
@@ -356,14 +395,19 @@ def m21_calibration_compare(spark, sf_dir):
     return diff.select(r("mean_difference").alias("mean_difference"), "n")
 
 
-@query("m17_ensemble_calibration")
+@query("m17_ensemble_calibration", ISOTONIC_SQL + _platt_sql() + _fit_sql() + f"""
+, soft AS (SELECT cal.*, c, {", ".join(f"exp((z{j} - greatest(z0, z1, z2, z3)) / c) AS e{j}" for j in range(4))} FROM cal, b3)
+SELECT reading_id, round(0.5e0 * greatest(e0, e1, e2, e3) / (e0 + e1 + e2 + e3)
+                         + 0.3e0 / (1 + exp(-(a + b * greatest(p0, p1, p2, p3)))) + 0.2e0 * f, 5) AS calibrated_confidence,
+       {", ".join(f"round(0.5e0 * e{j} / (e0 + e1 + e2 + e3) + 0.5e0 * p{j}, 6) AS q{j}" for j in range(4))}
+FROM soft, line, curve WHERE t = round(greatest(p0, p1, p2, p3), 12)""")
 def m17_ensemble_calibration(spark, sf_dir):
     """Intended ensemble (0.5 temperature + 0.3 Platt + 0.2 isotonic)."""
     d = cal_frame(spark, sf_dir)
     cal = C.Calibrator("ensemble").fit(d)
     out = cal.apply(d)
-    return out.select("reading_id", "calibrated_confidence",
-                      *[F.col("calibrated_probability")[i].alias(f"q{i}") for i in range(4)])
+    return out.select("reading_id", r("calibrated_confidence", 5).alias("calibrated_confidence"),
+                      *[r(F.col("calibrated_probability")[i]).alias(f"q{i}") for i in range(4)])
 
 
 # -- evaluation of the stand-in model against the C2 labels ---------------

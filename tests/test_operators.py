@@ -1,8 +1,10 @@
 """Distributed operators checked against brute force on small fixtures."""
 
+import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,24 +240,70 @@ def _scored_rows(n=1200):
 SCORED = "reading_id long, quality int, probability array<double>"
 
 
-def test_calibration_on_counts_equals_calibration_on_rows(spark):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import IsotonicRegression
-
+def test_platt_is_the_penalised_optimum(spark):
     from limnos.operators import calibrate as C
     data = _scored_rows()
-    df = spark.createDataFrame(data, SCORED)
-    rows = spark.createDataFrame([(max(p), float(p.index(max(p)) == y)) for _, y, p in data], "t double, hit double")
-    lr = LogisticRegression(featuresCol="v", labelCol="hit", regParam=1 / len(data), standardization=False).fit(
-        rows.withColumn("v", array_to_vector(F.array("t"))))
-    got = C.fit_platt(df)
-    assert got.intercept == pytest.approx(lr.intercept, abs=1e-3)
-    assert got.coefficients[0] == pytest.approx(lr.coefficients[0], abs=1e-3)
-    iso = IsotonicRegression(featuresCol="t", labelCol="hit").fit(rows)
-    got = C.fit_isotonic(df)
-    assert list(got.boundaries) == pytest.approx(list(iso.boundaries))
-    assert list(got.predictions) == pytest.approx(list(iso.predictions))
+    x = np.array([max(p) for _, _, p in data])
+    y = np.array([float(p[t] == max(p)) for _, t, p in data])
+    got = C.fit_platt(spark.createDataFrame(data, SCORED))
+    e = y - 1 / (1 + np.exp(-(got.intercept + got.slope * x)))
+    assert abs(e.sum()) < 1e-7 and abs((e * x).sum() - got.slope) < 1e-7
+    sure = spark.createDataFrame([(i, 0, [0.7, 0.1, 0.1, 0.1]) for i in range(9)], SCORED)
+    assert C.fit_platt(sure).intercept == pytest.approx(math.log(17)) and C.fit_platt(sure.limit(0)).slope == 0
+
+
+def slow_isotonic(x, hit):
+    """Pooled blocks (lo, hi, hits, n), by hand."""
+    out = []
+    points = pd.DataFrame({"t": x, "h": hit}).groupby("t").h.agg(["sum", "count"])
+    for t, h, k in zip(points.index, points["sum"], points["count"]):
+        out.append([t, t, h, k])
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            lo, _, h, n = out.pop(-2)
+            out[-1] = [lo, out[-1][1], out[-1][2] + h, out[-1][3] + n]
+    return [tuple(b) for b in out]
+
+
+@pytest.mark.parametrize("block_rows", [100_000, 40])
+def test_isotonic_blocks_match_pooling_by_hand(spark, monkeypatch, block_rows):
+    from limnos.operators import calibrate as C
+    monkeypatch.setattr(C, "BLOCK_ROWS", block_rows)        # 40: many ranges and rounds
+    rng = np.random.default_rng(5)
+    n = 100_000 if block_rows > 40 else 3000
+    top = np.round(0.3 + 0.7 * rng.random(n), 4 if block_rows > 40 else 9)
+    hit = rng.random(n) < 0.2 + 0.6 * top ** 3
+    rows = pd.DataFrame({"p": [[t, (1 - t) / 3, (1 - t) / 3, (1 - t) / 3] for t in top], "y": np.where(hit, 0, 1)})
+    df = spark.createDataFrame(rows, "p array<double>, y int").repartition(7)
+    got = C.fit_isotonic(df, "p", "y")
+    want = slow_isotonic(top, hit)
+    blocks = sorted(tuple(b) for b in got.blocks.select("lo", "hi", "hits", "n").collect())
+    assert [b[2:] for b in blocks] == [b[2:] for b in want]
+    assert np.allclose([b[:2] for b in blocks], [b[:2] for b in want], atol=1e-11)
+    grid = [0.0, 0.31, 0.5, 0.77, 0.999, 1.0, blocks[1][0], (blocks[0][1] + blocks[1][0]) / 2]
+    out = got.apply(spark.createDataFrame([(float(v),) for v in grid], "t double"), "t", "c").collect()
+    edges, values = np.ravel([b[:2] for b in blocks]), np.repeat([b[2] / b[3] for b in blocks], 2)
+    assert [r["c"] for r in out] == pytest.approx(np.interp([r["t"] for r in out], edges, values).tolist(), abs=1e-9)
+
+
+def test_temperature_is_the_minimum(spark):
+    from limnos.operators import calibrate as C
+    rng = np.random.default_rng(2)
+    for scale in (0.3, 1.0, 4.0, 200.0, 0.001):
+        z = rng.normal(size=(400, 4)) * 2
+        p = np.exp(z / 1.0)
+        y = [int(rng.choice(4, p=v / v.sum())) for v in p]
+        logits = z * scale
+        df = spark.createDataFrame([(i, y[i], logits[i].tolist()) for i in range(400)], "id long, quality int, logits array<double>")
+        t = C.fit_temperature(df)["temperature"]
+
+        def nll(t):
+            x = logits / t
+            return float((np.log(np.exp(x - x.max(1, keepdims=True)).sum(1)) + x.max(1) - x[np.arange(400), y]).sum())
+
+        near = [v for v in (t * (1 - 1e-4), t * (1 + 1e-4)) if 0.1 <= v <= 10]
+        assert all(nll(t) <= nll(v) + 1e-12 for v in near)
+        grid = np.geomspace(0.1, 10, 400)
+        assert nll(t) <= min(map(nll, grid)) + 1e-9
 
 
 @pytest.mark.parametrize("method", ["temperature", "platt", "isotonic", "ensemble"])
