@@ -2,14 +2,18 @@
 
 Each text yields base spans by three fixed patterns and further candidates by
 broader ones.  All candidates' value hashes are counted over the whole corpus
-by distinct owners: a value under many owners is a widely copied example, one
-that stays with few owners looks live, however many documents of theirs hold
-it (so the verdict does not turn with the size of the corpus).  Broader candidates
-become spans only when they look live; base spans stay and carry the verdict.
+by distinct repositories and owners: the verdict is the effective number of
+owners, each weighing its share r of the value's repositories (1 / sum of r^2).
+A value spread evenly over many owners is a widely copied example; one that
+stays with few, or with one but for stray copies, looks live, in however many
+repositories of theirs it stands (so the verdict does not turn with the size of
+the corpus).  Broader candidates become spans only when they look live; base
+spans stay and carry the verdict.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -36,7 +40,7 @@ WIDER = (("prefixed", re.compile(r"(?a:\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs
          ("random", re.compile(r"(?a:(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-]))")))
 ORDER = {k: i for i, k in enumerate((*KINDS, *(k for k, _ in WIDER)))}
 MIN_ENTROPY = 3.8      # bits a character of a random candidate
-MAX_OWNERS = 2         # most owners of a value that looks live
+MAX_OWNERS = 2         # most effective owners of a value that looks live
 
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -59,20 +63,25 @@ def entropy(value: str) -> float:
 
 
 def wider_spans(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
-    """Broader candidates that overlap no base span and no earlier one."""
+    """Broader candidates that overlap no base span and none of an earlier kind."""
     out = []
-    taken = [(s, e) for s, e, *_ in base]
+    taken = [(s, e) for s, e, *_ in base]       # by start; a kind's matches come in order too
     for kind, pattern in WIDER:
+        own, i, reach = [], 0, -1               # furthest end of the taken spans that start before this match
         for m in pattern.finditer(text):
             s, e = m.span()
-            v = m[0]
-            if any(s < b and a < e for a, b in taken):
+            while i < len(taken) and taken[i][0] < e:
+                reach = max(reach, taken[i][1])
+                i += 1
+            if reach > s:
                 continue
+            v = m[0]
             if kind == "random" and not (re.search("[0-9]", v) and re.search("[A-Z]", v) and re.search("[a-z]", v)
                                          and entropy(v) >= MIN_ENTROPY):
                 continue
-            taken.append((s, e))
-            out.append((s, e, kind, v))
+            own.append((s, e, kind, v))
+        out += own
+        taken = list(heapq.merge(taken, [(s, e) for s, e, *_ in own]))
     return sorted(out)
 
 
@@ -94,23 +103,27 @@ def _candidate_batches(batches):
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 max_owners: int = MAX_OWNERS) -> DataFrame:
+                 repo_col: str | None = None, max_owners: float = MAX_OWNERS) -> DataFrame:
     """One row per row of ``df``: id, ``n_assign``, ``n_access``, ``n_hex``,
     ``base`` and ``spans`` (text ``kind:start:end`` by start, then kind, joined
     by commas), ``n_live`` and ``n_example`` (candidates by verdict).
 
-    Null and empty texts have no spans.  A null owner is an owner of its own.
+    ``repo_col`` names a row's repository, that of the id if there is none.
+    Null and empty texts have no spans.  A null owner is an owner of its own,
+    a null repository one of its owner's.
     Null ids and repeated rows are rows like others.  Other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
     own = F.xxhash64(F.col(owner_col).isNull(), F.col(owner_col))
-    rows = checkpointed(df.select(F.col(id_col).alias("_id"), own.alias("_own"), F.col(text_col).alias("_text"))
-                        .mapInArrow(_candidate_batches, f"_id {kind}, _own long, found array<struct<"
+    repo = F.xxhash64(F.col(repo_col or id_col).isNull(), F.col(repo_col or id_col))
+    rows = checkpointed(df.select(F.col(id_col).alias("_id"), own.alias("_own"), repo.alias("_repo"), F.col(text_col).alias("_text"))
+                        .mapInArrow(_candidate_batches, f"_id {kind}, _own long, _repo long, found array<struct<"
                                     "start: long, end: long, kind: string, base: boolean, value: long>>"))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())   # stable: the rows are checkpointed
-    each = rows.select("_row", "_own", F.inline("found"))
-    owners = each.select("value", "_own").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
-    live = owners.select("value", (F.col("owners") <= max_owners).alias("live"))
+    each = rows.select("_row", "_own", "_repo", F.inline("found"))
+    repos = each.select("value", "_own", "_repo").distinct().groupBy("value", "_own").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    owners = repos.groupBy("value").agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("owners"))
+    live = owners.select("value", (F.col("owners") <= max_owners + 1e-9).alias("live"))
     place = F.struct("start", F.element_at(F.create_map(*[F.lit(x) for k in ORDER.items() for x in k]), F.col("kind")).alias("o"),
                      F.concat_ws(":", "kind", "start", "end").alias("s"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["s"]), ",")

@@ -324,6 +324,45 @@ def test_ownership_separates_examples_from_live(spark):
     assert all(got[i]["spans"] == "" and got[i]["n_example"] == 1 for i in range(6))
 
 
+def test_repositories_decide_between_owners(spark):
+    """Both values have three owners; the one that all but one repository each
+    of the strangers keep is that owner's, the other is an example."""
+    own, copied = "ghp_" + "a1B2" * 9, "ghp_" + "Z9y8" * 9
+    rows = [(i, f"x {own} y", "en", "a" if i < 20 else f"o{i}", 1) for i in range(22)]
+    rows += [(100 + i, f"x {copied} y", "en", f"s{i % 3}", 1) for i in range(22)]
+    rows += [(200 + i, f"x {copied[::-1]} y ghp_{'q1W2' * 9}", "en", f"t{i % 3}", 1) for i in range(3)]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(frame(spark, rows)).collect()}
+    assert all(got[i]["spans"] == "prefixed:2:42" and got[i]["n_live"] == 1 for i in range(22))
+    assert all(got[100 + i]["spans"] == "" and got[100 + i]["n_example"] == 1 for i in range(22))
+    # one repository of each owner holds every copy: as many effective owners as owners
+    flat = [(i, f"x {own} y", "en", "a" if i < 20 else f"o{i}", 7 if i < 20 else i) for i in range(22)]
+    assert {r["spans"] for r in secret_scan.scan_secrets(frame(spark, flat), repo_col="n_chars").collect()} == {""}
+
+
+def test_many_candidates_of_a_long_text_are_linear():
+    import random
+    import time
+    rng = random.Random(1)
+    letters = "ABCDEFabcdefghijkl0123456789"
+    text = " ".join("".join(rng.choices(letters, k=30)) for _ in range(60_000))
+    start = time.process_time()
+    base = secret_scan.base_spans(text)
+    got = secret_scan.wider_spans(text, base)
+    assert len(got) > 30_000 and time.process_time() - start < 20
+    small = text[:6000] + " token=abcdefgh " + "ghp_" + "a1B2" * 9 + " key=" + text[:300]
+    base, taken, want = secret_scan.base_spans(small), [], []
+    taken = [(s, e) for s, e, *_ in base]
+    for kind, pattern in secret_scan.WIDER:
+        for m in pattern.finditer(small):
+            v = m[0]
+            bad = kind == "random" and not (any(c.isdigit() for c in v) and any(c.isupper() for c in v) and any(c.islower() for c in v)
+                                            and secret_scan.entropy(v) >= secret_scan.MIN_ENTROPY)
+            if not bad and not any(m.start() < b and a < m.end() for a, b in taken):
+                taken.append(m.span())
+                want.append((*m.span(), kind, v))
+    assert secret_scan.wider_spans(small, base) == sorted(want) and len(want) > 50
+
+
 def test_secrets_of_one_owner_stay_live_in_many_documents(spark):
     live, example = "ghp_" + "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF", "ghp_" + "1111aaaaBBBB2222ccccDDDD3333eeee"
     rows = [(i, f"mine {live} in {i}", "en", "owner1", None) for i in range(20)] + [(50 + i, f"see {example}", "en", f"owner{i}", None) for i in range(3)]
