@@ -1,16 +1,19 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Each source is a stream of documents in seeded order.  Target words per source
-follow the weights, stopped at ``max_repeat`` times the source with the excess
-shared again.  The mix has a fixed number of words; the highest quotients
-target / (2 q + 1) hand them to the sources, for each output shard in turn (the
-method is house-monotone, so shard quotas are integers that add up to the
-whole).  Only their sums are used: shards are not held to their quotas.  A
-source's quota is filled by whole epochs and, for the rest, by its blocks, which
-are its documents, in the order of the seeded permutation.  No other source's
-size sets a block.  Only the document at the end of the rest can
-be cut, once, and it is not (dropped or taken whole, what is nearer) where that
-moves the source by ``SLACK`` of its target at most.
+Each source is a stream of documents in seeded order, cut into equal blocks of
+``BLOCK`` words; a document belongs to the block in which it starts, so blocks
+hold whole documents.  Target words per source follow the weights, stopped at
+``max_repeat`` times the source with the excess shared again.  The mix has a
+fixed number of blocks; the highest quotients target / (2 q + 1) give them to
+the sources, for each output shard in turn (the method is house-monotone, so a
+source's quotas per shard are integers that add up to its quota).  A shard gets
+its quota of each source as the next blocks of that stream, which after its end
+starts again.  A source that whole blocks would miss by more than ``SLACK`` of
+its target gets a last block of the words that are left over or missing.
+
+No other source's size sets a block.  Only the document at the end of a source's
+words can be cut, once, and it is not (dropped or taken whole, what is nearer)
+where that moves the source by ``SLACK`` of its target at most.
 
 A source's stream position is a two-level prefix sum: sums over about the
 square root of its rows in hash buckets, then within a bucket, so a source
@@ -33,8 +36,8 @@ from ._common import checkpointed, extended, slices, text_hash, texts, without,
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
-SEAT = 1               # words of a seat of the apportionment
-SLACK = 1 / 512        # share of its target by which a source may miss it to spare a document the cut
+BLOCK = 1024           # words of a block
+SLACK = 1 / 512        # share of its target by which a source may miss it
 N_SHARDS = 16
 SEED = 42
 MAX_SOURCES = 50_000   # most sources a mix may have: bounds what the driver holds
@@ -102,17 +105,20 @@ def sainte_lague(shares: list[float], seats: int) -> list[int]:
 
 def plan_mix(sources: list, sizes: list[int], weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
              n_shards: int = N_SHARDS) -> tuple[int, list[dict]]:
-    """(words of a seat, one dict per source) for sources in mixing order."""
+    """(words of a block, one dict per source) for sources in mixing order:
+    target, whole epochs and words of the epoch that is not whole, blocks per
+    shard (``quotas``) and up to the end of each (``upto``)."""
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], max_repeat)
-    seats = round(sum(goal) / SEAT)
-    upto = [sainte_lague(goal, seats * (s + 1) // n_shards) for s in range(n_shards)]
+    blocks = round(sum(goal) / BLOCK)
+    upto = [sainte_lague(goal, blocks * (s + 1) // n_shards) for s in range(n_shards)]
     out = []
     for i, (src, size, g) in enumerate(zip(sources, sizes, goal)):
-        quota = min(upto[-1][i] * SEAT, max_repeat * size)
-        out.append({"source": src, "source_size": size, "target": g, "epochs": quota // size if size else 0,
-                    "rest": quota % size if size else 0,
+        words = upto[-1][i] * BLOCK
+        words = min(words if abs(words - g) <= g * SLACK else round(g), max_repeat * size)
+        out.append({"source": src, "source_size": size, "target": g, "epochs": words // size if size else 0,
+                    "rest": words % size if size else 0, "upto": [u[i] for u in upto], "spare": i % n_shards,
                     "quotas": [u[i] - (upto[s - 1][i] if s else 0) for s, u in enumerate(upto)]})
-    return SEAT, out
+    return BLOCK, out
 
 
 def _size_batches(batches):
@@ -138,8 +144,8 @@ def _place(rows: DataFrame, id_col: str, source_col: str, weights, max_repeat: i
     spark = rows.sparkSession
     kind = rows.schema[source_col].dataType.simpleString()
     side = spark.createDataFrame(
-        [(p["source"], p["source_size"], p["target"], p["epochs"], p["rest"]) for p in plan],
-        f"__lm_src {kind}, __lm_total long, __lm_target double, __lm_epochs long, __lm_rest long")
+        [(p["source"], p["source_size"], p["target"], p["epochs"], p["rest"], p["upto"], p["spare"]) for p in plan],
+        f"__lm_src {kind}, __lm_total long, __lm_target double, __lm_epochs long, __lm_rest long, __lm_upto array<long>, __lm_spare int")
     placed = rows.withColumn("__lm_b", F.pmod(F.xxhash64(F.lit(seed), "__lm_h", F.col(id_col)), F.lit(n_buckets)).cast("int")) \
                  .withColumn("__lm_o", F.xxhash64(F.lit(seed + 1), "__lm_h", F.col(id_col)))
     before = Window.partitionBy("__lm_s").orderBy("__lm_bb").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,14 +162,24 @@ def _place(rows: DataFrame, id_col: str, source_col: str, weights, max_repeat: i
     part = F.least(F.greatest(F.col("__lm_rest") - F.col("__lm_at"), F.lit(0)), size)     # of the epoch that is not whole
     near = F.least(part, size - part) <= F.col("__lm_target") * SLACK
     part = F.when(near, F.when(2 * part < size, 0).otherwise(size)).otherwise(part).cast("long")
-    return j.select(*[rows[c] for c in names], "__lm_total", "__lm_target", "__lm_epochs", part.alias("__lm_part"))
+    j = j.withColumn("__lm_part", part)
+    copies = F.when(size > 0, F.col("__lm_epochs")).otherwise(0) + (F.col("__lm_part") > 0).cast("long")
+    last = F.element_at("__lm_upto", -1) - 1             # words left over go with the last block
+
+    def shard(copy):
+        block = F.least(F.floor((copy * F.col("__lm_total") + F.col("__lm_at")) / BLOCK), last)
+        return F.when(last < 0, F.col("__lm_spare")).otherwise(F.size(F.filter("__lm_upto", lambda u: u <= block)))
+
+    shards = F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), shard)).otherwise(F.array().cast("array<int>"))
+    return j.select(*[rows[c] for c in names], "__lm_total", "__lm_target", "__lm_epochs", "__lm_part", shards.alias("__lm_shards"))
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights=WEIGHTS, max_repeat: int = MAX_REPEAT, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
     """One row per row of ``df``: id, ``source``, ``size`` (words), ``source_size``,
-    ``target`` (words of its source in the mix) and ``taken`` (words the mix
-    takes of it, repeats counted; ``max_repeat`` times its size at most).
+    ``target`` (words of its source in the mix), ``taken`` (words the mix
+    takes of it, repeats counted; ``max_repeat`` times its size at most) and
+    ``shards`` (the shard of each copy, joined by commas; empty if none is taken).
 
     Weights go round the sources by code point, null last.  Null and empty
     texts have size 0 and take 0.  Null ids and repeated rows are rows like
@@ -176,7 +192,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     j = _place(rows, "id", "source", weights, max_repeat, n_shards, seed)
     return j.select(F.col("id").alias(id_col), "source", F.col("__lm_size").alias("size"), F.col("__lm_total").alias("source_size"),
                     F.col("__lm_target").alias("target"),
-                    (F.col("__lm_epochs") * F.col("__lm_size") + F.col("__lm_part")).alias("taken"))
+                    (F.col("__lm_epochs") * F.col("__lm_size") + F.col("__lm_part")).alias("taken"),
+                    F.concat_ws(",", "__lm_shards").alias("shards"))
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -190,17 +207,19 @@ def cut_words(text: bytes, n: int, size: int) -> bytes:
     return text[found[0].start():found[-1].end()]
 
 
-def _copy_batches(text_col: str, chars_col: str | None):
+def _copy_batches(text_col: str, chars_col: str | None, shard_col: str | None):
     def run(batches):
         for b in slices(batches, text_col):
-            row, out = [], []
+            row, out, shards = [], [], []
             epochs = b.column("__lm_epochs").to_pylist()
             parts = b.column("__lm_part").to_pylist()
             sizes = b.column("__lm_size").to_pylist()
+            dealt = b.column("__lm_shards").to_pylist()
             for i, t in enumerate(texts(b.column(text_col))):
                 n = epochs[i] if sizes[i] else 0
                 row += [i] * n
                 out += [t] * n
+                shards += dealt[i]
                 if parts[i]:
                     row.append(i)
                     out.append(cut_words(t, parts[i], sizes[i]))
@@ -211,18 +230,24 @@ def _copy_batches(text_col: str, chars_col: str | None):
             cols[text_col] = pa.array(out, pa.binary()).cast(pa.string())
             if chars_col in cols:
                 cols[chars_col] = pa.array([len(x.decode()) for x in out]).cast(cols[chars_col].type)
+            if shard_col:
+                cols[shard_col] = pa.array(shards, pa.int32())
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
     return run
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     chars_col: str | None = "n_chars", weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
-                    n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
+                    n_shards: int = N_SHARDS, seed: int = SEED, shard_col: str | None = None) -> DataFrame:
     """The mix itself, with the columns of ``df``: a row for each copy the mix
     takes of a document, with the text it takes (whole, or for one document a
-    source at most its first words) and ``chars_col`` set anew.  Documents
-    without words are not in a mix."""
+    source at most its first words) and ``chars_col`` set anew; ``shard_col``
+    names a further column for the copy's shard (a column of that name goes).
+    Documents without words, null and empty texts among them, are not in a mix;
+    an empty table gives none.  Nulls, ties, repeated rows and columns of other
+    names are as in ``mix_sources``."""
+    df = without(df, shard_col) if shard_col else df
     rows = _sized(df, text_col).withColumn("__lm_h", text_hash(F.col(text_col)))
     j = _place(rows, id_col, source_col, weights, max_repeat, n_shards, seed)
-    return j.select(*[rows[c] for c in df.columns], "__lm_size", "__lm_epochs", "__lm_part") \
-            .mapInArrow(_copy_batches(text_col, chars_col), df.schema)
+    return j.select(*[rows[c] for c in df.columns], "__lm_size", "__lm_epochs", "__lm_part", "__lm_shards") \
+            .mapInArrow(_copy_batches(text_col, chars_col, shard_col), extended(df.schema, **{shard_col: T.IntegerType()}) if shard_col else df.schema)

@@ -66,7 +66,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")) \
-        .select("doc_id", "size", "source_size", "target", "taken", "source")
+        .select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -541,9 +541,45 @@ def test_a_tiny_source_does_not_cut_the_others(spark):
 
 
 def test_shard_quotas_add_up():
-    block, plan = mixing.plan_mix(["a", "b", "c"], [50_000, 20_000, 900])
-    assert all(min(p["quotas"]) >= 0 for p in plan)
-    assert sum(sum(p["quotas"]) for p in plan) == round(sum(p["target"] for p in plan) / block)
+    block, plan = mixing.plan_mix(["a", "b", "c"], [5_000_000, 2_000_000, 90_000])
+    whole = round(sum(p["target"] for p in plan) / block)
+    assert all(min(p["quotas"]) >= 0 and sum(p["quotas"]) == p["upto"][-1] for p in plan)
+    assert sum(sum(p["quotas"]) for p in plan) == whole
+    assert [sum(p["quotas"][s] for p in plan) for s in range(16)] == [whole * (s + 1) // 16 - whole * s // 16 for s in range(16)]
+    want = [0, 0, 0]                            # highest quotients, one block at a time
+    for _ in range(whole):
+        want[max(range(3), key=lambda i: (plan[i]["target"] / (2 * want[i] + 1), -i))] += 1
+    assert want == [p["upto"][-1] for p in plan]
+    # a block is as large whatever other sources there are
+    assert mixing.plan_mix(["a", "t"], [5_000_000, 40])[0] == block
+
+
+def test_shards_hold_their_quotas(spark):
+    text = lambda i, n: " ".join(f"d{i}w{j}" for j in range(n))
+    sizes = {"hot": [60 + i % 90 for i in range(900)], "mid": [40 + i % 50 for i in range(300)], "low": [30 + i % 20 for i in range(150)],
+             "tiny": [25, 30]}
+    rows = [(1000 * k + i, text(1000 * k + i, n), "en", src, 1) for k, (src, own) in enumerate(sizes.items()) for i, n in enumerate(own)]
+    df = frame(spark, rows).withColumn("Shard", F.lit("x"))
+    block, plan = mixing.plan_mix(sorted(sizes), [sum(sizes[s]) for s in sorted(sizes)], n_shards=4)
+    got, copies = Counter(), Counter()
+    out = mixing.mixed_documents(df, n_shards=4, shard_col="shard")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard"]
+    for r in out.collect():
+        got[r["source"], r["shard"]] += len(r["text"].split())
+        copies[r["doc_id"], r["shard"]] += 1
+    for p in plan:
+        quota = [q * block for q in p["quotas"]]
+        total = sum(got[p["source"], s] for s in range(4))
+        assert abs(total - p["target"]) <= p["target"] * mixing.SLACK + 1
+        if not sum(quota):                      # less than half a block: one shard holds the source
+            assert got[p["source"], p["spare"]] == total
+            continue
+        last = max(s for s in range(4) if p["quotas"][s])
+        for s in range(4):                      # whole documents, and words left over in the last block
+            spare = abs(total - sum(quota)) if s == last else 0
+            assert abs(got[p["source"], s] - quota[s]) <= max(sizes[p["source"]]) + spare
+    dealt = {r["doc_id"]: r["shards"] for r in mixing.mix_sources(df, n_shards=4).collect()}
+    assert +copies == Counter((i, s) for i, own in dealt.items() for s in map(int, own.split(",") if own else []))
 
 
 # ------------------------------------------------------------------ all operators on odd tables
