@@ -206,12 +206,13 @@ def smote(df: DataFrame, k: int = 5, label: str = "quality", key: str = "reading
     chosen_rows = (base.join(F.broadcast(pl), label)
                    .withColumn("_m", F.col("_q") + extra.cast("long")).where(F.col("_m") > 0))
     syn = (_with_neighbors(chosen_rows, lists, k, label, key, feats)
-           .select(F.col(key).alias("source_id"), label, *feats, "_nn",
+           .select(F.col(key).alias("source_id"), label, *feats, "_nn", "_h",
                    F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("copy")))
     kb = F.greatest(F.coalesce(F.size("_nn"), F.lit(0)), F.lit(0))
-    idm = F.pmod(F.col("source_id"), F.lit(HASH_MOD))
-    pick = F.pmod(F.pmod(idm * 48271 + F.col("copy") * 7919, F.lit(HASH_MOD)), F.greatest(kb, F.lit(1)))
-    lam = F.pmod(F.pmod(idm * 16807 + F.col("copy") * 104729, F.lit(HASH_MOD)), F.lit(1000)) / 1000.0
+    # both draws come from the seeded hash of the whole id, and the copy
+    high, low = F.call_function("div", F.col("_h"), F.lit(2147483648).cast("long")), F.pmod("_h", F.lit(2147483648).cast("long"))
+    pick = F.pmod(F.pmod(high * 48271 + F.col("copy") * 7919, F.lit(HASH_MOD)), F.greatest(kb, F.lit(1)))
+    lam = F.pmod(F.pmod(low * 16807 + F.col("copy") * 104729, F.lit(HASH_MOD)), F.lit(1000)) / 1000.0
     chosen = F.col("_nn")[pick.cast("int")]
     new_vals = [F.when(kb > 0, F.col(f) + lam * (chosen[f] - F.col(f))).otherwise(F.col(f)).alias(f)
                 for f in feats]

@@ -574,13 +574,13 @@ SMOTE_SQL = SMOTE_BASE + f"""
 , hh AS (SELECT p.*, {HASH_SQL} AS _h FROM pts p)
 , pos AS (SELECT hh.*, row_number() OVER (PARTITION BY quality ORDER BY _h, reading_id) - 1 AS _pos FROM hh)
 , cp AS (SELECT pos.*, q + CASE WHEN _pos < rem THEN 1 ELSE 0 END AS _m FROM pos JOIN plan2 USING (quality))
-, syn AS (SELECT reading_id AS source_id, quality, tds, turbidity, ph, unnest(range(0, _m)) AS copy
+, syn AS (SELECT reading_id AS source_id, quality, tds, turbidity, ph, _h, unnest(range(0, _m)) AS copy
           FROM cp WHERE _m > 0)
 , kb AS (SELECT pid, count(*) AS kb FROM nn GROUP BY pid)
 , pk AS (SELECT s.*, coalesce(kb.kb, 0) AS k_b,
-                (((source_id % 2147483647) * 48271 + copy * 7919) % 2147483647)
+                (((_h // 2147483648) * 48271 + copy * 7919) % 2147483647)
                   % greatest(coalesce(kb.kb, 0), 1) + 1 AS _rank,
-                ((((source_id % 2147483647) * 16807 + copy * 104729) % 2147483647) % 1000) / 1000e0 AS lam
+                ((((_h % 2147483648) * 16807 + copy * 104729) % 2147483647) % 1000) / 1000e0 AS lam
          FROM syn s LEFT JOIN kb ON kb.pid = s.source_id)
 , smoted AS (
   SELECT source_id, CAST(copy AS INTEGER) AS copy, pk.quality,

@@ -357,3 +357,18 @@ def test_net_has_the_configured_shape_and_learns(spark):
     assert list(model.stages[-1].getLayers()) == [3, 64, 32, 16, 4]
     out = MD.predicted_class(MD.model_probabilities(model)(df))
     assert out.where("predicted = quality").count() >= 360
+
+
+def test_synthetic_rows_follow_the_seed_and_the_whole_id(spark):
+    random.seed(9)
+    data = [(i, 0 if i % 5 else 1, random.random() * 100, random.random() * 9, 7.0) for i in range(200)]
+    data += [(i + 2 ** 33, 1, t, u, p) for i, q, t, u, p in data if q == 1]      # the same points under far ids
+    df = spark.createDataFrame(data, "reading_id long, quality int, tds double, turbidity double, ph double")
+    runs = []
+    for seed in (42, 43):
+        out = smote(df, seed=seed).where("copy >= 0").collect()
+        runs.append({(x.source_id, x.copy): (x.tds, x.turbidity) for x in out})
+    both = set(runs[0]) & set(runs[1])
+    assert len(both) > 20 and sum(runs[0][k] != runs[1][k] for k in both) > 0.7 * len(both)
+    again = {(x.source_id, x.copy): (x.tds, x.turbidity) for x in smote(df.repartition(5)).where("copy >= 0").collect()}
+    assert again == runs[0]
