@@ -4,7 +4,9 @@ The text-content view is a naive Bayes model over hashed words and word
 shapes; the page-metadata view one over source, language and layout facts
 (lengths, lines, capitals, marks).  Both start from a bounded sample of the
 labelled rows.  In each round one pass over all unlabelled documents lets each
-view label those it is sure of, and these pseudo-labels train the other view.
+view label those it is sure of, and these pseudo-labels train the other view; a
+class's weigh at most ``PSEUDO`` of its labelled rows, so that easy documents do
+not outvote them, and a round is kept only if the calibration rows' loss falls.
 Views are calibrated on labelled rows that no model was fitted on, and a
 logistic combination of the calibrated views scores every document.
 """
@@ -24,6 +26,7 @@ TEXT_BUCKETS = 1 << 16
 META_BUCKETS = 1 << 12
 ROUNDS = 2
 CONFIDENT = 0.98
+PSEUDO = 0.5           # most weight of a class's pseudo-labels against its labelled rows
 MAX_FIT = 20_000       # most labelled rows a model is fitted on
 MAX_CALIBRATE = 10_000 # most further labelled rows for calibration
 SMOOTH = 1.0
@@ -219,19 +222,26 @@ def co_train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         x = np.array([(r["t"], r["m"]) for r in got], dtype=float).reshape(-1, 2)
         y, w = np.array([r["y"] for r in got], dtype=float), np.array([r["count"] for r in got], dtype=float)
         if len(set(y.tolist())) < 2:
-            return views, np.array([0.5, 0.5, 0.0])
+            return views, np.array([0.5, 0.5, 0.0]), np.inf
         logits = []
         for i, v in enumerate(views):
             v.calibration = tuple(fit_logistic(x[:, i:i + 1], y, w))
             logits.append(v.calibration[0] * x[:, i] + v.calibration[1])
-        return views, fit_logistic(np.column_stack(logits), y, w)
+        both = np.column_stack(logits)
+        beta = fit_logistic(both, y, w)
+        z = both @ beta[:2] + beta[2]
+        return views, beta, float((w * (np.logaddexp(0, z) - y * z)).sum())
 
-    views, beta = calibrated(base)
+    views, beta, loss = calibrated(base)
     sure = float(np.log(CONFIDENT / (1 - CONFIDENT)))
     free = rows.join(F.broadcast(fit.select("_id").union(hold.select("_id"))), "_id", "left_anti")
     for _ in range(rounds):
         gained = _gather(free, _exchange_counts(spark.sparkContext.broadcast((*[v.plain() for v in views], sure))))
-        views, beta = calibrated([b + g for b, g in zip(base, gained)])
+        share = [np.minimum(1.0, PSEUDO * b.sum(axis=1) / np.maximum(1, g.sum(axis=1))) for b, g in zip(base, gained)]
+        after = calibrated([b + g * s[:, None] for b, g, s in zip(base, gained, share)])
+        if not after[2] < loss:
+            break
+        views, beta, loss = after
     return views[0], views[1], beta
 
 

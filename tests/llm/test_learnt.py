@@ -119,6 +119,23 @@ def test_co_training_accuracy_on_unseen_labels(spark):
     assert right >= 0.95 and sum(good) / len(good) >= 0.98
 
 
+def test_exchange_does_not_lower_the_result(spark):
+    """On labels that the model never saw, two rounds rank documents as well as none."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    at = docs(spark).cache()
+
+    def auc(rows):
+        good = np.array([r["score"] for r in rows if r["quality"] == 1])
+        return np.mean([(r["score"] < good).mean() + (r["score"] == good).mean() / 2 for r in rows if r["quality"] == 0])
+
+    for seed in (1, 2, 3):
+        part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2 if seed == 3 else 4))
+        seen, rest = labels.filter(part > 0), labels.filter(part == 0)
+        none, two = (auc(quality_classifier.classify_quality(at, seen, rounds=n).join(rest, "doc_id").collect()) for n in (0, 2))
+        assert two >= none - 0.004, (seed, none, two)
+    at.unpersist()
+
+
 def test_co_training_without_both_classes(spark, odd, no_labels):
     out = quality_classifier.classify_quality(odd, no_labels).collect()
     assert len(out) == odd.count()
