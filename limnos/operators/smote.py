@@ -1,20 +1,8 @@
 """SMOTE oversampling (M9) with exact within-class k-nearest neighbours
 (J2) and the union of original and synthetic rows (J6).
 
-Neighbours are Euclidean on the raw sensors, ties by id.  Rows of a class
-with equal sensors are one point that carries its k + 1 smallest ids, so
-any number of identical readings costs one point.  Points are searched on a
-multi-level grid instead of all pairs of a class: each unresolved point
-probes the 3 x 3 x 3 block of cells around its own.  Any point outside the
-block is farther than one cell side ``s``, so once the k-th neighbour is
-within ``s`` the list is exact; otherwise the point is retried on a grid with
-twice the cell side.  A block that spans its class's whole range has seen
-every point, so the levels end by log2(range / first side) + 2.  The first
-side of a class is the coarsest tried at which a point meets about
-``CELL_POINTS`` points in its own cell (counted, so dense regions decide).
-A point's candidates are cut to its nearest k + 1 before they are shuffled.
-Each level's lists are checkpointed to the shared folder (lineage cut,
-executor-loss safe).  Rows with a NULL, NaN or infinite sensor have no
+Neighbours are Euclidean on the raw sensors, ties by id, found on a k-d
+partition (``knn``).  Rows with a NULL, NaN or infinite sensor have no
 neighbours and are nobody's neighbour.
 
 Synthesis is deterministic: every class below the majority size gets
@@ -27,129 +15,16 @@ x_new = x + lambda (nn - x).
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-from itertools import product
-from typing import List, Sequence
+from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
 from ..sources.samples import HASH_MOD, row_hash
+from .knn import neighbor_lists
 from .ml import kth_keys
 
 FEATURES = ["tds", "turbidity", "ph"]
-CELL_POINTS = 4.0
-# sides tried for the first grid, as powers of two of the class-average one
-FIRST_SIDES = range(-10, 1, 2)
-
-
-def _side(spans: Sequence[float], n: int) -> float:
-    """Cube side that holds about CELL_POINTS of ``n`` points spread evenly
-    over ``spans``; axes shorter than the side do not split."""
-    lo, hi = 0.0, max(max(spans), 1e-9)
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        share = 1.0
-        for sp in spans:
-            share *= min(1.0, mid / sp) if sp > 0 else 1.0
-        lo, hi = (mid, hi) if n * share < CELL_POINTS else (lo, mid)
-    return max(hi, 1e-9)
-
-
-def _cells(feats: Sequence[str], side: Column) -> List[Column]:
-    return [F.floor((F.col(f) - F.col(f"_lo_{f}")) / side).alias(f"_g{i}") for i, f in enumerate(feats)]
-
-
-def _points(df: DataFrame, k: int, label: str, key: str, feats: Sequence[str], classes) -> DataFrame:
-    """One row per class and distinct sensors: the k + 1 smallest ids."""
-    finite = [F.abs(F.col(f).cast("double")) < float("inf") for f in feats]
-    rows = df.where(reduce(lambda a, b: a & b, finite))
-    if classes is not None:
-        rows = rows.where(F.col(label).isin(list(classes)))
-    rows = rows.select(F.col(key).alias("_id"), F.col(label).alias("_c"),
-                       *[F.col(f).cast("double").alias(f) for f in feats])
-    # the rank limit is applied before the shuffle too: a hot point sends k + 1 rows a task
-    first = Window.partitionBy("_c", *feats).orderBy("_id")
-    return (rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
-            .groupBy("_c", *feats).agg(F.array_sort(F.collect_list("_id")).alias("_ids"))
-            .withColumn("_rep", F.col("_ids")[0]))
-
-
-def _first_sides(pts: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """One row per class: lower corner, ranges and the first cell side."""
-    spark = pts.sparkSession
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for f in feats:
-        aggs += [F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}")]
-    stats = pts.groupBy("_c").agg(*aggs).collect()  # one row per class
-    lab_type = dict(pts.dtypes)["_c"]
-    rows = [(r["_c"], _side([r[f"hi_{f}"] - r[f"lo_{f}"] for f in feats], r["n"]),
-             *[r[f"lo_{f}"] for f in feats], *[r[f"hi_{f}"] for f in feats]) for r in stats]
-    dims = spark.createDataFrame(
-        rows, f"_c {lab_type}, _s double, " + ", ".join(f"_lo_{f} double" for f in feats) + ", "
-        + ", ".join(f"_hi_{f} double" for f in feats))
-    tried = (pts.join(F.broadcast(dims), "_c")
-             .select("_c", "_s", *feats, *[f"_lo_{f}" for f in feats],
-                     F.explode(F.array(*[F.lit(p) for p in FIRST_SIDES])).alias("_p"))
-             .select("_c", "_p", *_cells(feats, F.col("_s") * F.pow(F.lit(2.0), F.col("_p"))))
-             .groupBy("_c", "_p", *[f"_g{i}" for i in range(len(feats))]).agg(F.count(F.lit(1)).alias("_n"))
-             .groupBy("_c", "_p").agg((F.sum(F.col("_n").cast("double") * F.col("_n")) / F.sum("_n")).alias("_met"))
-             .groupBy("_c").agg(F.coalesce(F.max(F.when(F.col("_met") <= 2 * CELL_POINTS, F.col("_p"))),
-                                           F.lit(min(FIRST_SIDES))).alias("_p")))
-    chosen = {r["_c"]: r["_p"] for r in tried.collect()}
-    rows = [(r[0], r[1] * 2.0 ** chosen[r[0]], *r[2:]) for r in rows]
-    return spark.createDataFrame(rows, dims.schema)
-
-
-def neighbor_lists(df: DataFrame, k: int, label: str, key: str, feats: Sequence[str], classes=None) -> DataFrame:
-    """One row per class ``_c`` and distinct sensors: ``_nn``, the k + 1
-    nearest rows of the class (d2, id, sensors) in order, its own rows among
-    them (at d2 = 0)."""
-    checkpoint_dir(df.sparkSession)
-    pts = _points(df, k, label, key, feats, classes).checkpoint(eager=True)
-    dims = _first_sides(pts, feats)
-    # one row per class: bounded, broadcast
-    pts = pts.join(F.broadcast(dims), "_c")
-    grid = [f"_g{i}" for i in range(len(feats))]
-    around = F.array(*[F.array(*[F.lit(o) for o in off]) for off in product((-1, 0, 1), repeat=len(feats))])
-    spans = [r for r in dims.collect()]
-    levels = max((math.ceil(math.log2(max(max(r[f"_hi_{f}"] - r[f"_lo_{f}"] for f in feats) / r["_s"], 1.0)))
-                  for r in spans), default=0) + 2
-    found: List[DataFrame] = []
-    waiting = None
-    for level in range(levels):
-        side = F.col("_s") * float(2.0 ** level)
-        cells = pts.select("_c", "_rep", "_ids", *feats, side.alias("_side"), *_cells(feats, side),
-                           *[F.floor((F.col(f"_hi_{f}") - F.col(f"_lo_{f}")) / side).alias(f"_m{i}")
-                             for i, f in enumerate(feats)])
-        asked = cells if waiting is None else cells.join(waiting, ["_c", "_rep"], "left_semi")
-        whole = reduce(lambda a, b: a & b, [(F.col(g) <= 1) & (F.col(g) >= F.col(f"_m{i}") - 1)
-                                            for i, g in enumerate(grid)])
-        probe = asked.select("_c", F.col("_rep").alias("_pid"), "_side", whole.alias("_whole"),
-                             *[F.col(f).alias(f"_p_{f}") for f in feats], *grid, F.explode(around).alias("_off"))
-        probe = probe.select("_c", "_pid", "_side", "_whole", *[f"_p_{f}" for f in feats],
-                             *[(F.col(g) + F.col("_off")[i]).alias(g) for i, g in enumerate(grid)])
-        build = cells.select("_c", "_rep", "_ids", *feats, *grid)
-        d2 = reduce(lambda a, b: a + b, [(F.col(f"_p_{f}") - F.col(f)) * (F.col(f"_p_{f}") - F.col(f)) for f in feats])
-        near = Window.partitionBy("_c", "_pid").orderBy("_d2", "_rep")
-        # k + 1 nearest points hold the k + 1 nearest rows; the limit runs before the shuffle too
-        top = (probe.join(build, ["_c", *grid]).withColumn("_d2", d2)
-               .withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k + 1))
-        row = F.transform("_ids", lambda i: F.struct(F.col("_d2").alias("d2"), i.alias("id"), *feats))
-        lists = (top.groupBy("_c", "_pid", "_side", "_whole", *[f"_p_{f}" for f in feats])
-                 .agg(F.slice(F.array_sort(F.flatten(F.collect_list(row))), 1, k + 1).alias("_nn")))
-        done = F.col("_whole") | ((F.size("_nn") > k)
-                                  & (F.element_at("_nn", -1)["d2"] <= F.col("_side") * F.col("_side")))
-        lists = lists.withColumn("_done", done).checkpoint(eager=True)
-        found.append(lists.where("_done").select("_c", *[F.col(f"_p_{f}").alias(f) for f in feats], "_nn"))
-        waiting = lists.where(~F.col("_done")).select("_c", F.col("_pid").alias("_rep"))
-        if waiting.isEmpty():
-            break
-    else:
-        raise RuntimeError("a grid of the classes' whole range left points unresolved")
-    return reduce(DataFrame.unionByName, found)
 
 
 def _with_neighbors(rows: DataFrame, lists: DataFrame, k: int, label: str, key: str,
