@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +58,7 @@ def distinct_classes(df: DataFrame, cls: str = "quality") -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str] = SENSORS) -> DataFrame:
     """A3: count, mean, std (ddof 1), min, exact 25/50/75 % (linear
     interpolation, like pandas), max — one row per column.  Moments come from
-    one aggregation; quartiles from ``order_stats`` (bounded passes)."""
+    one aggregation; quartiles from ``order_stats`` (two scans)."""
     aggs = []
     for c in cols:
         x = F.when(~F.isnan(F.col(c)), F.col(c))
@@ -67,16 +66,12 @@ def describe(df: DataFrame, cols: Sequence[str] = SENSORS) -> DataFrame:
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
                  F.max(x).alias(f"{c}__max")]
     moments = df.agg(*aggs).collect()[0]
-    # all columns' quartiles in one bisection run: stack (column, value) and
-    # let the column name be the group
+    # all columns' quartiles at once: stack (column, value) and let the column
+    # name be the group; its two scans read these columns only
     long = df.selectExpr("stack({}, {}) AS (_col, _val)".format(
         len(cols), ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)))
     n_by = {c: moments[f"{c}__count"] for c in cols}
-    long = long.persist(StorageLevel.MEMORY_AND_DISK)  # read by every bisection pass
-    try:
-        q = quantiles(long, "_val", [0.25, 0.5, 0.75], group="_col", n_by_group=n_by)
-    finally:
-        long.unpersist()
+    q = quantiles(long, "_val", [0.25, 0.5, 0.75], group="_col", n_by_group=n_by)
     rows = []
     for c in cols:
         n = n_by[c]

@@ -208,6 +208,28 @@ def test_order_statistics_are_exact_on_big_integers_and_infinities(spark):
         order_statistics(df, "x", {0: (None, len(want))})
 
 
+@pytest.mark.parametrize("direct", [0, 1 << 16])
+def test_order_statistics_of_many_values(spark, direct):
+    """Ranks of 40,000 values of all scales, on the driver's walk and on the bisection of counted values."""
+    rng = np.random.default_rng(3)
+    inf = float("inf")
+    doubles = np.concatenate([rng.normal(size=20_000) * 10.0 ** rng.integers(-300, 300, 20_000), np.full(15_000, 7.25),
+                              np.full(2_500, inf), np.full(2_500, -inf)])
+    longs = np.concatenate([rng.integers(-2 ** 63, 2 ** 63 - 1, 20_000), np.full(20_000, 2 ** 62 + 1)])
+    df = spark.createDataFrame(list(zip(doubles.tolist(), longs.tolist())), "d double, l long").repartition(8)
+    ranks = [0, 1, 2_499, 2_500, 9_999, 20_000, 33_333, 37_499, 37_500, 39_999]
+    for col, values in (("d", np.sort(doubles)), ("l", np.sort(longs))):
+        got = order_statistics(df, col, {r: (None, r) for r in ranks}, direct=direct)
+        assert [got[r] for r in ranks] == values[ranks].tolist()
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    from limnos.operators import order_stats
+    monkeypatch.setattr(order_stats, "_below", lambda v, number: number(10 ** 6))    # a sketch that is wrong
+    df = spark.range(5000).select(F.col("id").alias("x"))
+    assert order_statistics(df, "x", {0: (None, 2500)}) == {0: 2500}
+
+
 def test_seeds_give_unrelated_samples(spark):
     from limnos.sources.samples import sample_n
     df = spark.range(100_000).withColumnRenamed("id", "reading_id")
