@@ -25,6 +25,17 @@ def quality_distribution(df: DataFrame, cls: str = "quality",
     return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
 
 
+def ordered_distribution(df: DataFrame, by: str = "class", cls: str = "quality",
+                         label: str = "quality_label") -> DataFrame:
+    """A1 + A2 as a sorted report with its 1-based ``position``: ``by``
+    the class, or by count, largest first (equal counts by class).  A null
+    class comes first among classes; an empty table gives an empty report."""
+    order = {"class": [F.col(cls), F.col(label)], "count": [F.col("n").desc(), F.col(cls), F.col(label)]}[by]
+    # one row per class: the window and the sort are tiny
+    return (quality_distribution(df, cls, label)
+            .withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long")).orderBy("position"))
+
+
 def class_share_all(df: DataFrame, label: str = "quality_label") -> DataFrame:
     """A2 (dashboard form): count and percent for all four labels, 0 when
     a label is absent (left join from the fixed 4-row label dimension)."""

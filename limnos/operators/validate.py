@@ -6,6 +6,8 @@ whole batch, and the same code runs in streaming plans.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,31 +112,58 @@ def round_readings(df: DataFrame, digits: int = 2, half_even: bool = True) -> Da
                        for c in df.columns])
 
 
-def with_row_index(df: DataFrame, order_cols, name: str = "row_index", base: int = 0) -> DataFrame:
-    """P10: dense 0-/1-based position in ``order_cols`` order, computed
-    without funnelling rows through one task.
+def _key_positions(keys: DataFrame):
+    """(distinct keys with ``_first``, the 0-based position of their first
+    row, and ``_n`` rows; whether every key has one row).  Only keys are
+    sorted and written: a range-partitioned sort puts ascending key ranges in
+    ascending partitions, a row per partition gives its offset."""
+    order = keys.columns
+    placed = (keys.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).orderBy(*order)
+              .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+              .withColumn("_pid", F.shiftright("_mid", 33)))
+    counts = placed.groupBy("_pid").agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_most"))
+    unique = (counts.agg(F.max("_most")).first()[0] or 1) == 1
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("_off"))
+    # one row per partition: bounded by the partition count, safe to broadcast
+    placed = placed.join(F.broadcast(offsets), "_pid")
+    if unique:
+        within = F.col("_mid") - F.shiftleft("_pid", 33)
+    else:
+        within = F.sum("_n").over(Window.partitionBy("_pid").orderBy("_mid")) - F.col("_n")
+    return placed.select(*order, "_n", (F.col("_off") + within).alias("_first")), unique
 
-    A range-partitioned sort puts ordered key ranges in ascending partitions;
-    ``monotonically_increasing_id`` then encodes (partition, position) and a
-    per-partition count (one row per partition) gives each partition's
-    offset.  The order key must be unique for the index to be deterministic.
+
+def with_row_index(df: DataFrame, order_cols, name: str = "row_index", base: int = 0) -> DataFrame:
+    """P10: dense 0-/1-based position in ``order_cols`` order (nulls first),
+    computed without funnelling rows through one task.
+
+    Positions are found on the keys alone and joined back, so whole rows are
+    shuffled once and never written; ``df`` is read twice and must give the
+    same rows both times.  Rows of equal keys are ordered by a hash of the
+    row, so reruns agree but for which of two equal rows comes first.  No
+    rows give no rows; a column called ``name`` is replaced.
     """
     from ..session import checkpoint_dir
 
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     checkpoint_dir(df.sparkSession)
-    # materialise once (reliable checkpoint in the shared folder): both the
-    # counts and the rows must see the same partitioning
-    sorted_df = (df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-                 .checkpoint(eager=True))
-    sorted_df = sorted_df.withColumn("_pid", F.shiftright("_mid", 33))
-    counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # one row per partition: bounded by the partition count, safe to broadcast
-    out = sorted_df.join(F.broadcast(offsets), "_pid")
-    idx = F.col("_off") + (F.col("_mid") - F.shiftleft(F.col("_pid"), 33)) + base
-    return out.withColumn(name, idx.cast("long")).drop("_mid", "_pid", "_off")
+    columns = [c for c in df.columns if c != name]
+    keyed = df.withColumns({f"_o{i}": F.col(c) for i, c in enumerate(order_cols)})
+    on = [f"_o{i}" for i in range(len(order_cols))]
+    placed, unique = _key_positions(keyed.select(*on))
+    if not unique:
+        # the hash splits a key that many rows hold
+        whole = [f.name for f in df.schema if f.name != name and "map<" not in f.dataType.simpleString()]
+        keyed, on = keyed.withColumn("_oh", F.xxhash64(*whole)), [*on, "_oh"]
+        placed, unique = _key_positions(keyed.select(*on))
+    theirs = placed.withColumnsRenamed({c: f"_p{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in on])
+    out = keyed.join(theirs, same)
+    place = F.col("_first")
+    if not unique:
+        place = place + F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(0))) - 1
+    return out.withColumn("_place", (place + base).cast("long")).select(*columns, F.col("_place").alias(name))
 
 
 def batch_error_records(df: DataFrame, key: str = "reading_id") -> DataFrame:

@@ -151,3 +151,23 @@ def p06_low_confidence(spark, sf_dir):
     """Low-confidence predictions (< 0.7)."""
     return scored(spark, sf_dir).where(F.col("confidence") < 0.7).select(
         "reading_id", r("confidence").alias("confidence"))
+
+
+ORDERED_SQL = """
+SELECT row_number() OVER (ORDER BY {order}) AS position, quality, quality_label, count(*) AS n,
+       round(count(*) * 100e0 / sum(count(*)) OVER (), 6) AS pct
+FROM labelled GROUP BY quality, quality_label ORDER BY position"""
+
+
+@query("w02_report_by_class", BASE + ORDERED_SQL.format(order="quality"))
+def w02_report_by_class(spark, sf_dir):
+    """The class report in class order, with positions."""
+    out = profile.ordered_distribution(labelled(spark, sf_dir), "class")
+    return out.select("position", "quality", "quality_label", "n", r("pct").alias("pct"))
+
+
+@query("w02_report_by_count", BASE + ORDERED_SQL.format(order="count(*) DESC, quality"))
+def w02_report_by_count(spark, sf_dir):
+    """The class report by count, largest first, with positions."""
+    out = profile.ordered_distribution(labelled(spark, sf_dir), "count")
+    return out.select("position", "quality", "quality_label", "n", r("pct").alias("pct"))

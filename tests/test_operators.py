@@ -126,6 +126,39 @@ def test_row_index_dense(spark):
     assert [r.i for r in out] == list(range(1, len(out) + 1))
 
 
+def test_row_index_of_equal_keys_nulls_and_clashing_names(spark):
+    data = [(i % 7 if i % 3 else None, f"v{i % 40}", i) for i in range(400)] + [(3, "v1", 1)] * 50
+    df = spark.createDataFrame(data, "k int, name string, row_index long").repartition(6)
+    out = with_row_index(df, ["k", "name"], "row_index", 0)
+    assert out.columns == ["k", "name", "row_index"]
+    rows = sorted(out.collect(), key=lambda x: x.row_index)
+    assert [x.row_index for x in rows] == list(range(450))
+    order = [(x.k is not None, x.k or 0, x.name) for x in rows]
+    assert order == sorted(order)
+    assert sorted((x[0] is None, x[0] or 0, x[1]) for x in data) == sorted((x.k is None, x.k or 0, x.name) for x in rows)
+    assert with_row_index(df.limit(0), "k", "i").count() == 0
+
+
+def test_row_index_writes_keys_only(spark):
+    df = spark.range(2000).select((F.col("id") * 7 % 2003).alias("k"), F.repeat(F.lit("x"), 100).alias("wide"))
+    out = with_row_index(df, "k", "i", 1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    written = [x for x in plan.splitlines() if "LogicalRDD" in x]
+    assert written and all("wide" not in x for x in written)
+    assert [x.i for x in out.orderBy("k").collect()] == list(range(1, 2001))
+
+
+def test_ordered_reports_come_in_order(spark):
+    from limnos.operators.profile import ordered_distribution
+    df = spark.createDataFrame([(c, f"q{c}") for c, n in ((3, 5), (0, 9), (2, 5), (1, 1)) for _ in range(n)],
+                               "quality int, quality_label string").repartition(5)
+    by_class = ordered_distribution(df, "class").collect()
+    assert [(x.position, x.quality) for x in by_class] == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    by_count = ordered_distribution(df, "count").collect()
+    assert [(x.position, x.quality, x.n) for x in by_count] == [(1, 0, 9), (2, 2, 5), (3, 3, 5), (4, 1, 1)]
+    assert ordered_distribution(df.limit(0)).collect() == []
+
+
 def test_histogram_matches_numpy(spark):
     random.seed(2)
     data = [("a", random.uniform(0, 50)) for _ in range(500)] + [("b", 5.0), ("b", 5.0)]
