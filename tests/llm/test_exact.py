@@ -285,6 +285,29 @@ def test_line_dedup_matches_brute_force(spark, odd, bits):
         assert Counter(got) == Counter(slow_lines(rows))
 
 
+@pytest.mark.parametrize("bits", [None, 1 << 10])
+def test_line_dedup_by_range_gives_the_same(spark, odd, bits):
+    """Filters too large to be broadcast: hashes with their places go to the ranges instead."""
+    for df in (odd, odd.unionByName(odd)):
+        for first in (False, True):
+            small, large = (sorted(map(str, line_dedup.dedup_lines(df, bits=bits, min_docs=2, keep_first=first, broadcast_bits=b).collect()))
+                            for b in (1 << 29, 0))
+            assert small == large and len(small) == df.count()
+
+
+def test_line_dedup_lets_few_unique_lines_through(spark):
+    """2^20 lines in filters of 2^18 bits (32 ranges): the share of unique lines that shuffle is that of one filter."""
+    n, lines = 1 << 12, 1 << 8
+    docs = spark.range(n).select(F.col("id").alias("_id"), F.lit(0).cast("long").alias("_h"), F.concat_ws(
+        "\n", F.lit("the same"), F.transform(F.sequence(F.lit(2), F.lit(lines)), lambda i: F.concat(F.col("id"), F.lit(":"), i.cast("string")))).alias("_text"))
+    bits, ranges = 1 << 18, 32
+    filters = line_dedup.twice_filters(docs, ranges, bits, 1)
+    assert filters.count() == ranges and filters.agg(F.sum("rows")).first()[0] == n * lines
+    found = line_dedup._suspects_by_range(docs, filters, ranges, bits, 1, "bigint").groupBy((F.col("_key") == "the same").alias("k")).count()
+    got = {r["k"]: r["count"] for r in found.collect()}
+    assert got[True] == n and got.get(False, 0) < 0.01 * n * lines
+
+
 def test_line_dedup_first_occurrence(spark):
     df = frame(spark, [(i, "head\nbody %d" % i, None, None, None) for i in range(12)])
     got = {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(df, keep_first=True).collect()}
