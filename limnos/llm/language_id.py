@@ -2,8 +2,10 @@
 
 Training is one pass that counts hashed n-grams (orders 1 to 3) per language,
 pre-aggregated in each partition; the log-probability matrix (``BUCKETS`` x
-languages, a fixed bound per language) is broadcast, and scoring is a sparse
-batch product in numpy.
+languages, a fixed bound per language) is broadcast.  Scoring is a sparse batch
+product in numpy: the texts of a slice are one sparse matrix of bucket counts
+(rows of distinct buckets), multiplied with the log-probabilities in blocks of
+``PRODUCT`` terms.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTH = 0.5
 MAX_LANGS = 2000       # most languages a model may have: bounds the broadcast matrix
+PRODUCT = 1 << 21      # terms of the product held at once
 UNDETERMINED = "und"
 _MIX = np.uint32(0x9E3779B1)
 
@@ -83,30 +86,69 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     return [r["lang"] for r in packed], logs
 
 
+def bucket_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sparse count matrix of texts: (row offsets, buckets, counts); rows of
+    texts without a letter are empty."""
+    off, at, n = [0], [], []
+    for t in texts:
+        if has_letter(t):
+            g = grams(code_points(t))
+            if len(g) > BUCKETS // 8:
+                whole = np.bincount(g, minlength=BUCKETS)
+                own = np.flatnonzero(whole)
+                times = whole[own]
+            else:
+                own, times = np.unique(g, return_counts=True)
+            at.append(own.astype(np.int64))
+            n.append(times.astype(np.float64))
+            off.append(off[-1] + len(own))
+        else:
+            off.append(off[-1])
+    return np.array(off), np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(n or [np.zeros(0)])
+
+
+def sparse_product(off: np.ndarray, at: np.ndarray, n: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Rows x languages: counts times log-probabilities, some rows and languages at a time."""
+    out = np.zeros((len(off) - 1, logs.shape[1]))
+    rows = np.flatnonzero(np.diff(off))
+    wide = max(1, min(logs.shape[1], PRODUCT // BUCKETS))        # a row holds BUCKETS entries at most
+    for lo in range(0, logs.shape[1], wide):
+        part = logs[:, lo:lo + wide]
+        k = 0
+        while k < len(rows):
+            to = max(k + 1, int(np.searchsorted(off[rows + 1], off[rows[k]] + PRODUCT // part.shape[1], side="right")))
+            first, last = off[rows[k]], off[rows[to - 1] + 1]
+            out[rows[k:to], lo:lo + wide] = np.add.reduceat(n[first:last, None] * part[at[first:last]], off[rows[k:to]] - first, axis=0)
+            k = to
+    return out
+
+
+def predict_batch(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(languages, posterior probabilities) of texts; undetermined without a letter."""
+    if not langs:
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    off, at, n = bucket_counts(texts)
+    total = sparse_product(off, at, n, logs)
+    best = total.argmax(axis=1)
+    score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    known = np.diff(off) > 0
+    return [langs[i] if k else UNDETERMINED for i, k in zip(best.tolist(), known.tolist())], np.where(known, score, 0.0)
+
+
 def predict(text: str | None, langs: list[str], logs: np.ndarray) -> tuple[str, float]:
-    """(language, posterior probability); undetermined without a letter."""
-    if not langs or not has_letter(text):
-        return UNDETERMINED, 0.0
-    g = grams(code_points(text))
-    if len(g) > 4096:
-        n = np.bincount(g, minlength=BUCKETS)
-        at = np.flatnonzero(n)
-        total = n[at].astype(np.float64) @ logs[at]
-    else:
-        total = logs[g].sum(axis=0, dtype=np.float64)
-    best = int(np.argmax(total))
-    return langs[best], float(1.0 / np.exp(total - total[best]).sum())
+    """(language, posterior probability) of one text."""
+    lang, score = predict_batch([text], langs, logs)
+    return lang[0], float(score[0])
 
 
 def _predict_batches(langs: list[str], held):
     def run(batches):
         logs = held.value
         for b in slices(batches, "_text"):
-            out = [predict(t, langs, logs) for t in b.column("_text").to_pylist()]
+            lang, score = predict_batch(b.column("_text").to_pylist(), langs, logs)
             keep = [c for c in b.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in keep], pa.array([x for x, _ in out], pa.string()),
-                 pa.array([x for _, x in out], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                             [*keep, "lang_pred", "score"])
     return run
 
 

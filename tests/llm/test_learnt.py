@@ -109,6 +109,29 @@ def test_training_reads_no_held_out_row(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("product", [1 << 21, 1 << 15, 40])
+def test_language_batch_is_the_dense_product(monkeypatch, product):
+    """One sparse product a batch: texts without letters between others, short and very long ones, blocks of any size."""
+    monkeypatch.setattr(language_id, "PRODUCT", product)
+    rng = np.random.default_rng(2)
+    logs = np.log(rng.dirichlet(np.ones(language_id.BUCKETS) * 0.1, 5).T + 1e-9).astype(np.float32)
+    langs = list("abcde")
+    texts = [None, "a", "12 34", "", *("".join(map(chr, rng.integers(97, 400, n))) for n in (3, 50, 900, 9000)), "ß", None]
+    got = language_id.predict_batch(texts, langs, logs)
+    for t, lang, score in zip(texts, *got):
+        if not language_id.has_letter(t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        dense = np.zeros(language_id.BUCKETS)
+        for b in language_id.grams(language_id.code_points(t)).tolist():
+            dense[b] += 1
+        total = dense @ logs.astype(np.float64)
+        p = np.exp(total - total.max())
+        assert lang == langs[int(p.argmax())] and abs(score - p.max() / p.sum()) < 1e-9
+    assert language_id.predict_batch(texts, [], logs)[0] == ["und"] * len(texts)
+    assert language_id.predict_batch([], langs, logs)[0] == []
+
+
 def test_co_training_accuracy_on_unseen_labels(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     seen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0)
