@@ -600,8 +600,8 @@ def _smote_frame(spark, sf_dir):
 @query("j02_smote_neighbors", SMOTE_BASE + """
 SELECT pid, quality, rank, nid, round(d2, 6) AS d2 FROM nn""")
 def j02_smote_neighbors(spark, sf_dir):
-    """Exact 5 nearest neighbours within each minority class (grid
-    levels, never all pairs of a class)."""
+    """Exact 5 nearest neighbours within each minority class (k-d
+    partition, never all pairs of a class)."""
     from ..operators.smote import nearest_neighbors
     lab = labelled(spark, sf_dir)
     counts = {r[0]: r[1] for r in lab.groupBy("quality").count().collect()}
