@@ -1,10 +1,12 @@
 """The class-weighted softmax net (M6): dense ReLU layers, trained by
 data-parallel gradient descent.
 
-Rows stay where they are.  Each step broadcasts the parameters (their number is
-fixed by the layers), every partition adds up the gradient of its training rows
-and the loss of its validation rows in one pass, Spark sums the partials, and
-the driver makes one Adam step.  The gradient is that of all rows, so the fit
+Rows stay where they are, packed once into blocks of ``BLOCK`` (one binary a
+column) that are kept for all steps.  Each step broadcasts the parameters (their
+number is fixed by the layers), every partition adds up the gradient of its
+training rows and the loss of its validation rows in one pass over its blocks,
+``STEP`` rows at a time so that what is between two layers stays in the
+processor's cache, Spark sums the partials, and the driver makes one Adam step.  The gradient is that of all rows, so the fit
 does not depend on how they are partitioned.  Kernels of hidden layers carry an
 L2 penalty, classes their weights; on the validation loss the rate is cut, and
 training stops and goes back to its best parameters.
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TASK_ROWS = 20_000  # a task of a step has this many rows at least (as far as there are rows)
+BLOCK = 2048        # rows of a packed block, at most
+STEP = 1024         # rows whose gradient is taken at once
 FOLD = 64           # partials are summed in Spark down to this many before the driver adds them
 
 
@@ -79,31 +83,43 @@ def initial(sizes: Sequence[int], seed: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def forward(layers, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Inputs of each layer, and the class probabilities."""
+def _activations(layers, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Inputs of each layer and the class probabilities, a column a row of data."""
     inputs = [x]
     for kernel, bias in layers[:-1]:
-        inputs.append(np.maximum(inputs[-1] @ kernel + bias, 0.0))
-    z = inputs[-1] @ layers[-1][0] + layers[-1][1]
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return inputs, z / z.sum(axis=1, keepdims=True)
+        z = kernel.T @ inputs[-1]
+        z += bias[:, None]
+        inputs.append(np.maximum(z, 0.0, out=z))
+    z = layers[-1][0].T @ inputs[-1]
+    z += layers[-1][1][:, None]
+    z -= z.max(axis=0)
+    np.exp(z, out=z)
+    z /= z.sum(axis=0)
+    return inputs, z
+
+
+def forward(layers, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Inputs of each layer, and the class probabilities."""
+    inputs, p = _activations(layers, x.T)
+    return [i.T for i in inputs], p.T
 
 
 def gradient(flat: np.ndarray, sizes: Sequence[int], x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
     """Sum over rows of the weighted cross entropy, and its gradient."""
     layers = unpack(flat, sizes)
-    inputs, p = forward(layers, x)
-    loss = float(-(w * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))).sum())
+    inputs, d = _activations(layers, x.T)
+    at = np.arange(len(y))
+    loss = float(-(w * np.log(np.maximum(d[y, at], 1e-300))).sum())
     out = np.zeros_like(flat)
     grads = unpack(out, sizes)
-    d = p
-    d[np.arange(len(y)), y] -= 1
-    d *= w[:, None]
+    d[y, at] -= 1
+    d *= w
     for i in range(len(layers) - 1, -1, -1):
-        grads[i][0][:] = inputs[i].T @ d
-        grads[i][1][:] = d.sum(axis=0)
+        grads[i][0][:] = inputs[i] @ d.T
+        grads[i][1][:] = d.sum(axis=1)
         if i:
-            d = (d @ layers[i][0].T) * (inputs[i] > 0)
+            d = layers[i][0] @ d
+            d *= inputs[i] > 0
     return loss, out
 
 
@@ -117,23 +133,50 @@ def penalty(flat: np.ndarray, sizes: Sequence[int], l2: float) -> tuple[float, n
     return total, out
 
 
+PACKED = "val boolean, n long, low int, high int, x binary, y binary, w binary"
+
+
+def _pack(n_inputs: int):
+    """Rows to blocks of training or validation rows, ``x`` by input."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(start, BLOCK)
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, n_inputs)
+                y, w, val = (b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "val"))
+                rows = []
+                for held, mine in ((False, ~val), (True, val)):
+                    if mine.any():
+                        own = y[mine]
+                        rows.append((held, len(own), int(own.min()), int(own.max()), np.ascontiguousarray(x[mine].T, dtype=np.float64).tobytes(),
+                                     own.astype(np.int32).tobytes(), w[mine].astype(np.float64).tobytes()))
+                kinds = (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                                 ["val", "n", "low", "high", "x", "y", "w"])
+    return run
+
+
 def _partials(held, sizes: list[int]):
     """One row a partition: gradient, training loss and rows, validation loss,
     rows and right ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = held.value
+        layers = unpack(flat, sizes)
         total = np.zeros(len(flat) + 5)
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, sizes[0])
-            y, w, val = (b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "val"))
-            fit = ~val
-            loss, grad = gradient(flat, sizes, x[fit], y[fit], w[fit])
-            p = forward(unpack(flat, sizes), x[val])[1]
-            own = np.maximum(p[np.arange(len(p)), y[val]], 1e-300)
-            total[:len(flat)] += grad
-            total[len(flat):] += [loss, fit.sum(), -np.log(own).sum(), val.sum(), (p.argmax(axis=1) == y[val]).sum()]
+            for val, x, y, w in zip(*(b.column(c) for c in ("val", "x", "y", "w"))):
+                y, w = np.frombuffer(y.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float64)
+                x = np.frombuffer(x.as_buffer(), np.float64).reshape(sizes[0], len(y))
+                for i in range(0, len(y), STEP):
+                    part, own = x[:, i:i + STEP], y[i:i + STEP]
+                    if val.as_py():
+                        p = _activations(layers, part)[1]
+                        right = np.maximum(p[own, np.arange(len(own))], 1e-300)
+                        total[len(flat) + 2:] += [-np.log(right).sum(), len(own), (p.argmax(axis=0) == own).sum()]
+                    else:
+                        loss, grad = gradient(flat, sizes, part.T, own, w[i:i + STEP])
+                        total[:len(flat)] += grad
+                        total[len(flat):len(flat) + 2] += [loss, len(own)]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
     return run
 
@@ -168,7 +211,8 @@ def train_net(rows: DataFrame, x: str, label: str, weight: str, validation: str,
     xs = F.col(x) if kind == "array" else vector_to_array(x)
     data = (rows.where(F.col(label).isNotNull() & F.col(weight).isNotNull())
             .select(xs.alias("x"), F.col(label).cast("int").alias("y"), F.col(weight).cast("double").alias("w"),
-                    F.col(validation).alias("val")).persist(StorageLevel.MEMORY_AND_DISK))
+                    F.col(validation).alias("val"))
+            .mapInArrow(_pack(n_inputs), PACKED).persist(StorageLevel.MEMORY_AND_DISK))
     sizes = [n_inputs, *config.hidden, config.classes]
     flat = initial(sizes, config.seed)
     mean, square = np.zeros_like(flat), np.zeros_like(flat)
@@ -176,7 +220,7 @@ def train_net(rows: DataFrame, x: str, label: str, weight: str, validation: str,
     fitted = Fitted(sizes, flat)
     try:
         low, high, parts, n_rows = (
-            data.groupBy(F.spark_partition_id().alias("p")).agg(F.min("y").alias("a"), F.max("y").alias("b"), F.count(F.lit(1)).alias("n"))
+            data.groupBy(F.spark_partition_id().alias("p")).agg(F.min("low").alias("a"), F.max("high").alias("b"), F.sum("n").alias("n"))
             .agg(F.min("a"), F.max("b"), F.count("p"), F.sum("n")).collect()[0])
         if low is None:
             raise ValueError("no labelled rows to train on")

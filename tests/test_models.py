@@ -58,6 +58,20 @@ def test_loss_does_not_depend_on_partitions(spark, monkeypatch):
     assert a.history_frame(spark).count() == 26
 
 
+def test_rows_are_packed_into_bounded_blocks(spark, monkeypatch):
+    config = N.NetConfig(hidden=(8, 6), epochs=5, rate=0.02)
+    data = blobs(spark)
+    a = N.train_net(data, "x", "y", "w", "val", 2, config)
+    monkeypatch.setattr(N, "BLOCK", 50)
+    monkeypatch.setattr(N, "STEP", 7)
+    b = N.train_net(data, "x", "y", "w", "val", 2, config)
+    for p, q in zip(a.history, b.history):
+        assert p[1] == pytest.approx(q[1], abs=1e-9) and p[2] == pytest.approx(q[2], abs=1e-9)
+    blocks = data.mapInArrow(N._pack(2), N.PACKED).collect()
+    assert max(r["n"] for r in blocks) <= 50 and sum(r["n"] for r in blocks) == 600
+    assert sum(r["n"] for r in blocks if r["val"]) == 150 and all(len(r["x"]) == 16 * r["n"] for r in blocks)
+
+
 def test_early_stop_keeps_the_best_and_cuts_the_rate(spark):
     noise = blobs(spark, 120).withColumn("y", F.when(F.col("val"), 3 - F.col("y")).otherwise(F.col("y")))
     got = N.train_net(noise, "x", "y", "w", "val", 2, N.NetConfig(hidden=(8,), epochs=60, stop_patience=6, cut_patience=3, rate=0.05))
