@@ -189,26 +189,19 @@ def _staged(df: DataFrame, groups) -> DataFrame:
     """The features as three projections.  Later stages refer to earlier
     outputs by name, so no sub-expression is copied into another feature's
     tree (CollapseProject keeps a shared non-trivial expression in its own
-    projection); each stage stays a compact whole-stage-codegen block."""
+    projection).  What no other feature needs comes last, with the variances:
+    those fold an array, so this projection is not fused with the others into
+    one method, which would be too long for the JVM to compile."""
     t, u, p = F.col("tds"), F.col("turbidity"), F.col("ph")
     a = OrderedDict()
     if "who" in groups:
         a.update(list(who_indices(t, u, p).items())[:3])
-    if "ccme" in groups:
-        a["ccme_wqi"] = ccme_wqi(t, u, p)
-    if "cpi" in groups:
-        a["cpi"] = cpi(t, u, p)
-    if "interactions" in groups:
-        a.update(interactions(t, u, p))
     if "risk" in groups:
         a.update(list(risk_features(t, u, p).items())[:3])
     if "stats" in groups:
         st = stat_features(t, u, p)
-        for n in ("ph_zscore", "tds_zscore", "turbidity_zscore", "ph_deviation", "tds_deviation",
-                  "turbidity_deviation"):
+        for n in ("ph_zscore", "tds_zscore", "turbidity_zscore"):
             a[n] = st[n]
-    if "health" in groups:
-        a.update(health_scores(t, u, p))
     df = df.select("*", *[c.alias(n) for n, c in a.items()])
     b = OrderedDict()
     if "who" in groups:
@@ -224,15 +217,26 @@ def _staged(df: DataFrame, groups) -> DataFrame:
         b["param_mean"] = _row_mean(F.col("ph_zscore"), F.col("tds_zscore"),
                                     F.col("turbidity_zscore"))
     df = df.select("*", *[c.alias(n) for n, c in b.items()])
+
+    def variance(names, m):
+        return F.aggregate(F.array(*names), F.lit(0.0), lambda total, x: total + (x - m) * (x - m)) / 2.0
+
     c3 = OrderedDict()
+    if "ccme" in groups:
+        c3["ccme_wqi"] = ccme_wqi(t, u, p)
+    if "cpi" in groups:
+        c3["cpi"] = cpi(t, u, p)
+    if "interactions" in groups:
+        c3.update(interactions(t, u, p))
+    if "health" in groups:
+        c3.update(health_scores(t, u, p))
     if "risk" in groups:
         m = F.col("total_risk_score") / 3.0
-        c3["risk_variance"] = sum(((F.col(n) - m) * (F.col(n) - m) for n in
-                                   ("ph_risk", "tds_risk", "turbidity_risk")), F.lit(0.0)) / 2.0
+        c3["risk_variance"] = variance(("ph_risk", "tds_risk", "turbidity_risk"), m)
     if "stats" in groups:
         zs = [F.col("ph_zscore"), F.col("tds_zscore"), F.col("turbidity_zscore")]
-        m = F.col("param_mean")
-        c3["param_std"] = F.sqrt(sum(((z - m) * (z - m) for z in zs), F.lit(0.0)) / 2.0)
+        c3.update((n, st[n]) for n in ("ph_deviation", "tds_deviation", "turbidity_deviation"))
+        c3["param_std"] = F.sqrt(variance(zs, F.col("param_mean")))
         c3["param_range"] = F.greatest(*zs) - F.least(*zs)
     return df.select("*", *[c.alias(n) for n, c in c3.items()])
 
