@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +164,49 @@ def test_output_rounding_matches_duckdb(spark):
     assert got == exp
 
 
+def method_sizes(df, capsys):
+    """Bytecode sizes of the longest generated methods of a plan's stages."""
+    capsys.readouterr()
+    df.explain("codegen")
+    return [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+
+
+def test_feature_queries_fit_into_methods_that_the_jvm_compiles(spark, tmp_path, capsys):
+    from limnos.plans.q_features import f00_all_features, f00_all_features_lineitem
+    from limnos.plans.q_ml import p01_features_target
+    (spark.range(50).selectExpr("id AS l_orderkey", "id * 7 AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "double(id) AS l_quantity",
+                                "id * 900.5D AS l_extendedprice", "'A' AS l_returnflag", "'F' AS l_linestatus", "timestamp '2024-01-01' AS l_shipdate")
+     .write.parquet(str(tmp_path / "lineitem.parquet")))
+    (spark.range(50).selectExpr("id AS event_id", "id * 3 AS user_id", "'view' AS event_type", "timestamp_ntz '2024-01-01 00:00:00' AS ts",
+                                "id * 9.5D AS value", "concat('{\"k\": ', id, '}') AS props")
+     .write.parquet(str(tmp_path / "events.parquet")))
+    for query in (f00_all_features_lineitem, f00_all_features, p01_features_target):
+        sizes = method_sizes(query(spark, str(tmp_path)), capsys)
+        assert sizes and max(sizes) < 8000
+
+
+def test_scaling_fits_into_methods_that_the_jvm_compiles(spark, tmp_path, capsys):
+    from limnos.plans.q_ml import m02_scale_features
+    (spark.range(200).selectExpr("id AS event_id", "id * 3 AS user_id", "'view' AS event_type", "timestamp_ntz '2024-01-01 00:00:00' AS ts",
+                                 "id % 60 * 9.5D AS value", "concat('{\"k\": ', id % 90, '}') AS props")
+     .write.parquet(str(tmp_path / "events.parquet")))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")     # the adaptive plan shows no code before it runs
+    try:
+        sizes = method_sizes(m02_scale_features(spark, str(tmp_path)), capsys)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) < 8000
+
+
+def test_rounding_of_halves_and_special_values(spark):
+    below = 0.49999999999999994
+    got = [x[0] for x in spark.createDataFrame([(v,) for v in (0.5, -0.5, 1.5, -2.5, below, -below, 4503599627370497.5, -0.2, float("nan"), None)],
+                                               "x double").select(r("x", 0)).collect()]
+    assert got[:8] == [1.0, -1.0, 2.0, -3.0, 0.0, 0.0, 4503599627370498.0, 0.0] and math.copysign(1, got[7]) == 1
+    assert math.isnan(got[8]) and got[9] is None
+
+
 def test_scoring_chain_record(spark):
     df = rule_model(rows(spark, [(250.0, 0.8, 7.2), (975.0, 8.13, 4.0), (1500.0, 15.0, 13.0)]))
     rec = prediction_record(df).collect()
