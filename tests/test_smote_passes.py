@@ -38,7 +38,7 @@ def test_neighbors_make_each_row_once(spark):
     assert calls.value == 300
 
 
-@pytest.mark.parametrize("name", ["a12_imbalance_ratio", "m09_smote_resample"])
+@pytest.mark.parametrize("name", ["a12_imbalance_ratio", "m09_smote_resample", "j02_smote_neighbors"])
 def test_result_does_not_scan_the_table_again(spark, tmp_path, name):
     load_all()
     (spark.range(240).select(
