@@ -13,32 +13,40 @@ cut there into units and each distinct unit is aligned once per cache.
 
 An id pair's count is the number of documents that hold it linked.  A text's
 counts need the whole corpus: texts are encoded once, in chunks that keep each
-document's distinct pairs as positions in the chunk's own sorted pair list.
-Chunk lists are counted by pair, the counts travel back to the chunks by a join,
-and a cogroup sums them per document, so what meets in a task is one chunk.
+document's distinct pairs as positions in the chunk's own pair list.  A
+document is a row and so is a pair of a list, and rows leave the task with the
+slice that made them.  The lists are counted by pair, the counts travel back to
+the chunks by a join, and a cogroup sums them per document, so what meets in a
+task is one chunk.
 """
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import re
+import sys
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shared_path, slices
+from ._common import binary, flat, shared_path, slices
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE = 1 << 20          # bytes of text encoded at a time
 CHUNK_BYTES = 8 << 20    # bytes of text whose pairs are counted together before they shuffle
+ROW_BYTES = 100          # what a document counts for in a chunk besides its text
+LIST_ROWS = 1 << 14      # pairs of a list given out at a time
 CACHE_UNITS = 1 << 18    # distinct units a task remembers
-BATCH_UNITS = 1 << 15    # units aligned at a time
+CACHE_BYTES = 64 << 20   # bytes of them
+BATCH_UNITS = 1 << 13    # units aligned at a time
 WIDE_GROUP = 1 << 16     # links of a group from which they are made by distinct ids
 LEAD = " a"              # a unit before the others, so that each has one before it
 
@@ -151,12 +159,18 @@ def common_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
     return ends_a[ends_b[at] == ends_a]
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as hold them all."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(next((t for t in (np.uint8, np.uint16, np.uint32) if top <= np.iinfo(t).max), np.int64))
+
+
 class Aligned:
     """What a batch of units gives: counts, digest pieces, distinct id pairs."""
 
     def __init__(self, n_a, n_b, n_groups, n_links, valid, digests, pair_at, pairs, mult):
-        self.n_a, self.n_b, self.n_groups, self.n_links, self.valid = n_a, n_b, n_groups, n_links, valid
-        self.digests, self.pair_at, self.pairs, self.mult = digests, pair_at, pairs, mult
+        self.n_a, self.n_b, self.n_groups, self.n_links = map(narrow, (n_a, n_b, n_groups, n_links))
+        self.valid, self.digests, self.pair_at, self.pairs, self.mult = valid, digests, pair_at, narrow(pairs), narrow(mult)
 
 
 def _invalid(n: int) -> Aligned:
@@ -249,12 +263,12 @@ class UnitCache:
     """Aligned units by their text; emptied when it is full."""
 
     def __init__(self, pair: Pair):
-        self.pair, self.index, self.store = pair, {}, None
+        self.pair, self.index, self.store, self.size = pair, {}, None, 0
 
     def look_up(self, lists: list[list[str]]) -> list[list[int]]:
         """Unit numbers of each text's units, aligning those not yet known."""
-        if len(self.index) > CACHE_UNITS:
-            self.index, self.store = {}, None
+        if len(self.index) > CACHE_UNITS or self.size > CACHE_BYTES:
+            self.index, self.store, self.size = {}, None, 0
         index = self.index
         new = [u for u in dict.fromkeys(chain.from_iterable(lists)) if u not in index]
         # a unit that ends in white space is the last of its text, one with U+2581 never gives its bytes back
@@ -276,6 +290,8 @@ class UnitCache:
             index.update(zip(run, range(first, first + len(run))))
             first += len(run)
         if new:
+            made = parts if self.store is None else parts[1:]
+            self.size += sum(map(sys.getsizeof, new)) + sum(sum(map(sys.getsizeof, p.digests)) + p.pairs.nbytes + p.mult.nbytes for p in made)
             self.store = _concat(parts)
         return [[index[u] for u in units] for units in lists]
 
@@ -313,61 +329,118 @@ def _align_slice(cache: UnitCache, texts: list[str | None]):
 _STATS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def _lists(values: pa.Array) -> pa.Array:
-    """One list that holds all the values."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-
-def _chunk(number: int, ids: list[pa.Array], parts: list) -> pa.RecordBatch:
-    doc, base = [], 0
-    for stats, _, d, _, _ in parts:
-        doc.append(d + base)
-        base += stats.shape[1]
-    doc = np.concatenate(doc)
-    pairs = np.concatenate([p[3] for p in parts])
-    links = np.concatenate([p[4] for p in parts])
-    distinct, at, docs = np.unique(pairs, return_inverse=True, return_counts=True)
-    stats = np.concatenate([p[0] for p in parts], axis=1)
-    sha = [x for p in parts for x in p[1]]
-    cols = {"chunk": pa.array([number], pa.int64()), "ids": _lists(pa.concat_arrays(ids)),
-            **{n: _lists(pa.array(stats[j])) for j, n in enumerate(_STATS)}, "sha": _lists(pa.array(sha, pa.string())),
-            "held": _lists(pa.array(np.bincount(doc, minlength=base).astype(np.int64))),
-            "at": _lists(pa.array(at.astype(np.int32))), "links": _lists(pa.array(links)),
-            "pair": _lists(pa.array(distinct)), "docs": _lists(pa.array(docs.astype(np.int64)))}
-    return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+class PairList:
+    """The distinct pairs of a chunk, in the order in which slices bring them,
+    with the number of documents that hold each."""
+
+    def __init__(self):
+        self.known, self.pos, self.docs = (np.zeros(0, dtype=np.int64) for _ in range(3))
+
+    def add(self, pairs: np.ndarray) -> np.ndarray:
+        """Positions of the pairs of further documents, none twice in one."""
+        mine, of, docs = np.unique(pairs, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.known, mine)
+        new = np.ones(len(mine), dtype=bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != mine[inside]
+        n, more = len(self.known), int(new.sum())
+        self.known = np.insert(self.known, at[new], mine[new])
+        self.pos = np.insert(self.pos, at[new], np.arange(n, n + more))
+        self.docs = np.concatenate((self.docs, np.zeros(more, dtype=np.int64)))
+        pos = self.pos[np.searchsorted(self.known, mine)]
+        self.docs[pos] += docs
+        return pos[of]
+
+    def pairs(self) -> np.ndarray:
+        """All pairs by position."""
+        out = np.empty(len(self.known), dtype=np.int64)
+        out[self.pos] = self.known
+        return out
+
+
+def packed(values: np.ndarray, held: np.ndarray) -> pa.Array:
+    """Numbers from 0 on, ``held`` of them a row, as the bytes of the narrowest
+    kind that holds them all."""
+    values = narrow(values)
+    ends = np.concatenate(([0], np.cumsum(held))) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(held), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def unpacked(col: pa.Array, held: np.ndarray) -> np.ndarray:
+    """What ``packed`` had, from rows that may be of different widths."""
+    buf, off = flat(col)
+    size = np.diff(off)
+    width = size // np.maximum(held, 1)
+    out = np.empty(int(held.sum()), dtype=np.int64)
+    for w in np.unique(width[held > 0]).tolist():
+        out[np.repeat(width == w, held)] = buf[np.repeat(width == w, size)].view(f"u{w}" if w < 8 else "i8")
+    return out
+
+
+def _document_rows(chunk: int, ids: pa.Array, part: tuple, listed: PairList) -> pa.RecordBatch:
+    stats, sha, doc, pairs, links = part
+    held = np.bincount(doc, minlength=len(ids))
+    none = [pa.nulls(len(ids), pa.int64())] * 2
+    cols = [pa.array(np.full(len(ids), chunk)), ids, *map(pa.array, stats), pa.array(sha, pa.string()), pa.array(held),
+            packed(listed.add(pairs), held), packed(links, held), pa.nulls(len(ids), pa.int32()), *none]
+    return pa.RecordBatch.from_arrays(cols, _COLUMNS)
+
+
+def _list_rows(chunk: int, kind: pa.DataType, listed: PairList):
+    pairs, docs = listed.pairs(), listed.docs
+    for i in range(0, len(pairs), LIST_ROWS):
+        own = pairs[i:i + LIST_ROWS]
+        n = len(own)
+        none = [pa.nulls(n, t) for t in (kind, *[pa.int64()] * len(_STATS), pa.string(), pa.int64(), pa.binary(), pa.binary())]
+        cols = [pa.array(np.full(n, chunk)), *none, pa.array(np.arange(i, i + n, dtype=np.int32)), pa.array(own), pa.array(docs[i:i + n])]
+        yield pa.RecordBatch.from_arrays(cols, _COLUMNS)
+
+
+_COLUMNS = ["chunk", "_id", *_STATS, "sha", "held", "at", "links", "pos", "pair", "docs"]
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system: a worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def _chunks(files):
-    def run(batches):
+    def rows(batches):
         cache = UnitCache(Pair(*files.value))
-        task, seq = TaskContext.get().partitionId(), 0
-        ids, parts, held = [], [], 0
+        task, seq = TaskContext.get().partitionId() << 32, 0
+        listed, size, kind = PairList(), 0, None
         for b in slices(batches, "_text", SLICE):
-            col = b.column("_text").to_pylist()
-            parts.append(_align_slice(cache, col))
-            ids.append(b.column("_id"))
-            held += sum(len(t) for t in col if t)
-            if held >= CHUNK_BYTES:
-                yield _chunk(task << 32 | seq, ids, parts)
-                ids, parts, held, seq = [], [], 0, seq + 1
-        if parts:
-            yield _chunk(task << 32 | seq, ids, parts)
+            ids, kind = b.column("_id"), b.column("_id").type
+            yield _document_rows(task | seq, ids, _align_slice(cache, b.column("_text").to_pylist()), listed)
+            size += ROW_BYTES * len(ids) + (pc.sum(pc.binary_length(binary(b.column("_text")))).as_py() or 0)
+            if size >= CHUNK_BYTES:
+                yield from _list_rows(task | seq, kind, listed)
+                listed, size, seq = PairList(), 0, seq + 1
+        if size:
+            yield from _list_rows(task | seq, kind, listed)
+
+    def run(batches):
+        yield from rows(batches)
+        _give_back()
     return run
 
 
 def _sum_counts(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk with the counts of its pairs: sums per document."""
-    row = {n: left.column(n).chunk(0)[0].values for n in left.schema.names if n != "chunk"} if left.num_rows else {}
-    ids = row["ids"]
-    at, links, held = (row[n].to_numpy(zero_copy_only=False) for n in ("at", "links", "held"))
-    right = right.combine_chunks()
+    """A chunk's documents with the counts of its pairs: sums per document."""
+    left, right = left.combine_chunks(), right.combine_chunks()
+    row = {n: left.column(n).combine_chunks() for n in left.schema.names}
+    held = row["held"].to_numpy(zero_copy_only=False).astype(np.int64)
+    at, links = unpacked(row["at"], held), unpacked(row["links"], held)
     count, best = np.zeros(right.num_rows, dtype=np.int64), np.zeros(right.num_rows, dtype=bool)
     pos = right.column("pos").to_numpy()
     count[pos], best[pos] = right.column("count").to_numpy(), right.column("best").to_numpy()
     ends = np.concatenate(([0], np.cumsum(held)))
     per_doc = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[ends])
     return pa.Table.from_arrays(
-        [ids, *[row[n] for n in _STATS], pa.array(per_doc(links * best[at])), pa.array(per_doc(links * count[at])), row["sha"]],
+        [row["_id"], *[row[n] for n in _STATS], pa.array(per_doc(links * best[at])), pa.array(per_doc(links * count[at])), row["sha"]],
         ["_id", *_STATS, "n_best", "count_sum", "groups_sha256"])
 
 
@@ -398,20 +471,18 @@ def align_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     path = shared_path(spark, "token-align")
-    lists = ", ".join(f"{n} array<long>" for n in (*_STATS, "held"))
-    rows.mapInArrow(_chunks(files), f"chunk long, ids array<{kind}>, {lists.rsplit(', ', 1)[0]}, sha array<string>, "
-                                    "held array<long>, at array<int>, links array<long>, pair array<long>, docs array<long>") \
-        .write.parquet(path)
+    rows.mapInArrow(_chunks(files), f"chunk long, _id {kind}, {', '.join(f'{n} long' for n in _STATS)}, sha string, held long, "
+                                    "at binary, links binary, pos int, pair long, docs long").write.parquet(path)
     chunks = spark.read.parquet(path)
-    listed = chunks.select("chunk", F.posexplode(F.arrays_zip("pair", "docs")).alias("pos", "own")) \
-                   .select("chunk", "pos", F.col("own.pair").alias("pair"), F.col("own.docs").alias("docs"))
+    listed = chunks.filter(F.col("pair").isNotNull()).select("chunk", "pos", "pair", "docs")
+    held = chunks.filter(F.col("pair").isNull()).drop("pos", "pair", "docs")
     totals = listed.groupBy("pair").agg(F.sum("docs").alias("count"))
     a_id = F.floor(F.col("pair") / n_b)
     top = totals.groupBy(a_id.alias("a_id")).agg(F.max("count").alias("top"))       # at most A's vocabulary
     scored = totals.withColumn("a_id", a_id).join(F.broadcast(top), "a_id") \
                    .select("pair", "count", (F.col("count") == F.col("top")).alias("best"))
     answers = listed.join(scored, "pair").select(F.col("chunk").alias("of"), "pos", "count", "best")
-    out = chunks.drop("pair", "docs").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(
+    out = held.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(
         _sum_counts, f"_id {kind}, {', '.join(f'{n} long' for n in _STATS)}, n_best long, count_sum long, groups_sha256 string")
     return out.withColumnRenamed("_id", id_col)
 

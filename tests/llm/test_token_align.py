@@ -2,8 +2,11 @@
 
 import hashlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +127,88 @@ def test_other_kinds_of_tokenizers_are_refused():
     words = open("/opt/tokenizers/word_bpe_49k.json", "rb").read()
     with pytest.raises(ValueError):
         token_align.Pair(words, open(token_align.PIECE_BPE, "rb").read())
+
+
+class Context:
+    """Stands in for a task's context where a task's function runs here."""
+
+    @staticmethod
+    def get():
+        return Context
+
+    @staticmethod
+    def partitionId():
+        return 3
+
+
+def chunk_rows(monkeypatch, texts, rows=50, **small):
+    """What a task makes of a table whose ids are positions."""
+    files = SimpleNamespace(value=tuple(open(p, "rb").read() for p in (token_align.BYTE_BPE, token_align.PIECE_BPE)))
+    monkeypatch.setattr(token_align, "TaskContext", Context)
+    for name, value in small.items():
+        monkeypatch.setattr(token_align, name, value)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, min(i + rows, len(texts))), pa.int64()), pa.array(texts[i:i + rows], pa.string())],
+                                          ["_id", "_text"]) for i in range(0, len(texts), rows)]
+    return list(token_align._chunks(files)(iter(batches)))
+
+
+def test_no_row_of_a_task_holds_a_whole_chunk(monkeypatch):
+    texts = [" ".join(f"word{i}x{j % 40}" for j in range(200)) for i in range(400)]
+    got = chunk_rows(monkeypatch, texts, CHUNK_BYTES=1 << 30)
+    assert sum(b.num_rows - b.column("pair").null_count for b in got) == len(set(pa.Table.from_batches(got)["pair"].drop_null().to_pylist())) > 500
+    for b in got:
+        assert b.num_rows <= max(50, token_align.LIST_ROWS)
+        assert max(sum(len(v) for v in (r["at"], r["links"]) if v) for r in b.to_pylist()) < 10000
+
+
+def test_chunks_of_any_size_give_the_counts(pair, monkeypatch):
+    texts = [t for t in HARD if len(t or "") < 3000] * 3 + [r[1] for r in odd_rows()[13:40]]
+    want = list(slow_corpus(pair, texts))
+    for size in (1, 3000, 1 << 30):
+        table = pa.Table.from_batches(chunk_rows(monkeypatch, texts, 7, CHUNK_BYTES=size, LIST_ROWS=5))
+        listed, docs = table.filter(pc.is_valid(table["pair"])), table.filter(pc.is_null(table["pair"]))
+        chunks = sorted(set(docs["chunk"].to_pylist()))
+        assert len(chunks) == 1 if size > 3000 else len(chunks) > 3
+        count = Counter()
+        for r in listed.to_pylist():
+            count[r["pair"]] += r["docs"]
+        top = defaultdict(int)
+        for p, n in count.items():
+            top[p // pair.n_b] = max(top[p // pair.n_b], n)
+        got = {}
+        for c in chunks:
+            rows = [r for r in listed.to_pylist() if r["chunk"] == c]
+            assert [r["pos"] for r in rows] == list(range(len(rows)))
+            rows.reverse()
+            right = pa.table({"pos": pa.array([r["pos"] for r in rows], pa.int32()), "count": pa.array([count[r["pair"]] for r in rows], pa.int64()),
+                              "best": pa.array([count[r["pair"]] == top[r["pair"] // pair.n_b] for r in rows], pa.bool_())})
+            for r in token_align._sum_counts(docs.filter(pc.equal(docs["chunk"], c)), right).to_pylist():
+                got[r["_id"]] = tuple(r[x] for x in COLUMNS)
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_documents_without_text_fill_a_chunk_too(monkeypatch):
+    got = chunk_rows(monkeypatch, [None, ""] * 100, 10, CHUNK_BYTES=5000)
+    assert sum(b.num_rows for b in got) == 200 and len({c for b in got for c in b.column("chunk").to_pylist()}) == 4
+
+
+def test_cache_is_bounded_in_bytes(pair, monkeypatch):
+    monkeypatch.setattr(token_align, "CACHE_BYTES", 20000)
+    cache = token_align.UnitCache(pair)
+    for i in range(10):
+        text = " ".join(f"{i}{j}" * 200 for j in range(5))
+        stats, sha, _, _, _ = token_align._align_slice(cache, [text])
+        (want,) = slow_corpus(pair, [text])
+        assert (*stats[:, 0].tolist(), sha[0]) == (*want[:4], want[6])
+        assert len(cache.index) < 20
+
+
+def test_packed_numbers_come_back():
+    held = np.array([0, 2, 0, 3, 1, 0])
+    for top in (1, 255, 256, 1 << 16, 1 << 32, 1 << 62):
+        values = np.array([0, top, 1, top - 1, 0, top])
+        rows = token_align.packed(values, held)
+        assert token_align.unpacked(rows, held).tolist() == values.tolist()
+    mixed = [token_align.packed(np.array(v), np.array([len(v)])) for v in ([1, 2], [], [300], [1 << 40, 5], [70000])]
+    assert [len(x[0].as_py()) for x in mixed] == [2, 0, 2, 16, 4]
+    assert token_align.unpacked(pa.concat_arrays(mixed), np.array([2, 0, 1, 2, 1])).tolist() == [1, 2, 300, 1 << 40, 5, 70000]
