@@ -136,6 +136,17 @@ class Pair:
         return ids_a, ends_a, ids_b, refined(own[:, 1] + 1, own[:, 2] + 1, self.b_len[ids_b])
 
 
+_KEPT: dict = {}
+
+
+def kept_pair(files: tuple[bytes, bytes]) -> Pair:
+    """The pair of these files, made once a process: what a tokenizer caches of
+    new words stays in memory when it is dropped."""
+    if _KEPT.get("files") != files:
+        _KEPT.update(files=files, pair=Pair(*files))
+    return _KEPT["pair"]
+
+
 def refined(start: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Byte ends of tokens from coarse spans: a token that ends where the next
     one starts keeps its end; any other (one of several in a character) ends by
@@ -409,7 +420,7 @@ def _give_back() -> None:
 
 def _chunks(files):
     def rows(batches):
-        cache = UnitCache(Pair(*files.value))
+        cache = UnitCache(kept_pair(files.value))
         task, seq = TaskContext.get().partitionId() << 32, 0
         listed, size, kind = PairList(), 0, None
         for b in slices(batches, "_text", SLICE):
@@ -489,7 +500,7 @@ def align_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _span_batches(files):
     def run(batches):
-        pair = Pair(*files.value)
+        pair = kept_pair(files.value)
         for b in slices(batches, "_text", SLICE):
             rows = []
             for t in b.column("_text").to_pylist():

@@ -212,3 +212,11 @@ def test_packed_numbers_come_back():
     mixed = [token_align.packed(np.array(v), np.array([len(v)])) for v in ([1, 2], [], [300], [1 << 40, 5], [70000])]
     assert [len(x[0].as_py()) for x in mixed] == [2, 0, 2, 16, 4]
     assert token_align.unpacked(pa.concat_arrays(mixed), np.array([2, 0, 1, 2, 1])).tolist() == [1, 2, 300, 1 << 40, 5, 70000]
+
+
+def test_tasks_of_a_process_share_the_models(monkeypatch):
+    made = []
+    monkeypatch.setattr(token_align, "_KEPT", {})
+    monkeypatch.setattr(token_align, "Pair", lambda *f, real=token_align.Pair: made.append(1) or real(*f))
+    first, again = (pa.Table.from_batches(chunk_rows(monkeypatch, ["a b", "x", None])) for _ in range(2))
+    assert first.equals(again) and len(made) == 1
